@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import idfiles, packing, secrets, tokens, toxicity
+from quire.llm import bagminhash, idfiles, packing, secrets, tokens, toxicity
 from quire.llm.common import table
 
 TOKENIZERS = public_tokenizers.path
@@ -27,6 +27,10 @@ def op4_tier_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(table(spark, sf_dir, "documents"), TOKENIZERS("byte_bpe_50k.json"))
 
 
+def op6_bag_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bagminhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op7_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
     # a source stands for an owner, and its texts of one language for a repository
     return secrets.scan(table(spark, sf_dir, "documents"), owner=F.col("source"), repo=F.concat_ws("/", "source", "lang"))
@@ -37,7 +41,7 @@ def op10_counterfactual_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op3_ranked_id_files, op4_tier_packing, op7_secret_ownership, op10_counterfactual_toxicity)}
+    return {f.__name__: f for f in (op1_token_counts, op3_ranked_id_files, op4_tier_packing, op6_bag_minhash, op7_secret_ownership, op10_counterfactual_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
