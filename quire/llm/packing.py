@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm.common import whole_text
-from quire.llm.pretoken import BytePairIds
+from quire.llm.pretoken import byte_pair_ids
 
 TIERS = (1024, 512, 256, 128, 64)
 #: Pieces that wait in the tiers at most, and sequences that are dealt to steps together.
@@ -155,7 +155,7 @@ def packed(docs: DataFrame, path: str, end_id: int = 0, id_col: str = "doc_id",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base = TaskContext.get().partitionId() << 36
-        encoder, rows, made = BytePairIds(path), [], 0
+        encoder, rows, made = byte_pair_ids(path), [], 0
         open_steps: dict[int, list[tuple[int, list[Piece]]]] = {}
         groups = 0
 

@@ -12,6 +12,7 @@ the tokenizer's special strings, goes to the library whole.
 
 from __future__ import annotations
 
+import functools
 import os
 import re
 import struct
@@ -20,8 +21,9 @@ from collections.abc import Iterator
 
 #: Code points below this are split here, other texts by the library.
 SAFE = 0x300
-#: Pre-tokens a memo holds before it starts anew; about 150 bytes each.
-MEMO = 400_000
+#: Pre-tokens a memo holds, in two halves: the newer, and the older that is dropped when the newer
+#: is full. About 200 bytes each.
+MEMO = 1_000_000
 #: Texts are split in segments of about so many characters, cut where no pre-token spans the cut.
 SEGMENT = 1 << 20
 
@@ -70,34 +72,56 @@ def load(path: str):
     return found
 
 
+def byte_alphabet() -> dict[int, str]:
+    """The byte-level alphabet: printable bytes stand for themselves, the others follow from 256 on."""
+    plain = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    rest = iter(range(256, 512))
+    return {b: chr(b if b in plain else next(rest)) for b in range(256)}
+
+
+class PieceIds(dict):
+    """The ids of pre-tokens as little-endian unsigned 32-bit bytes, by the library's merges.
+
+    Two halves: this one, and the older one that is dropped when this one is full, so pieces that
+    come again and again stay.
+    """
+
+    def __init__(self, tokenizer):
+        super().__init__()
+        self.merges = tokenizer.model.tokenize
+        self.letters = {b: ord(c) for b, c in byte_alphabet().items()}
+        self.older: dict[str, bytes] = {}
+
+    def __missing__(self, piece: str) -> bytes:
+        if (found := self.older.get(piece)) is None:
+            got = self.merges(piece.encode().decode("latin-1").translate(self.letters))
+            found = struct.pack(f"<{len(got)}I", *(x.id for x in got))
+        if len(self) >= MEMO // 2:
+            self.older = dict(self)
+            self.clear()
+        self[piece] = found
+        return found
+
+
 class BytePairIds:
     """Ids of whole texts for a byte-level tokenizer file, as little-endian unsigned 32-bit bytes."""
 
     def __init__(self, path: str):
         self.tokenizer = load(path)
         self.special = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
-        self.memo: dict[str, bytes] = {}
-
-    def _learn(self, pieces: list[str]) -> None:
-        if len(self.memo) + len(pieces) > MEMO:
-            self.memo = {}
-        memo = self.memo
-        for piece, got in zip(pieces, self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False), strict=True):
-            memo[piece] = struct.pack(f"<{len(ids := got.ids)}I", *ids)
-
-    def plain(self, text: str) -> bool:
-        return is_safe(text) and not any(x in text for x in self.special)
+        self.pieces = PieceIds(self.tokenizer)
 
     def encode(self, text: str) -> bytes:
-        if not self.plain(text):
+        if not is_safe(text) or any(x in text for x in self.special):
             ids = self.tokenizer.encode(text, add_special_tokens=False).ids
             return struct.pack(f"<{len(ids)}I", *ids)
-        out = []
-        for part in segments(text):
-            pieces = BYTE_LEVEL.findall(part)
-            if new := list(set(pieces).difference(self.memo)):
-                self._learn(new)
-                if not self.memo.keys() >= set(pieces):  # the memo started anew
-                    self._learn(list(set(pieces)))
-            out.append(b"".join(map(self.memo.__getitem__, pieces)))
-        return out[0] if len(out) == 1 else b"".join(out)
+        get = self.pieces.__getitem__
+        if len(text) <= SEGMENT:
+            return b"".join(map(get, BYTE_LEVEL.findall(text)))
+        return b"".join(b"".join(map(get, BYTE_LEVEL.findall(part))) for part in segments(text))
+
+
+@functools.cache
+def byte_pair_ids(path: str) -> BytePairIds:
+    """One encoder a Python worker: its memo serves all tasks that the worker runs."""
+    return BytePairIds(path)

@@ -24,13 +24,6 @@ from quire.llm.common import whole_text
 LIMIT = 2048
 
 
-def _byte_alphabet() -> dict[str, int]:
-    """The byte-level alphabet: printable bytes stand for themselves, the others follow from 256 on."""
-    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    rest = [b for b in range(256) if b not in plain]
-    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
-
-
 def _kind(tokenizer) -> tuple[str, str]:
     """('word' or 'byte', the suffix that marks a word's end)."""
     suffix = getattr(tokenizer.model, "end_of_word_suffix", None) or ""
@@ -43,7 +36,7 @@ def prove(path: str) -> frozenset[str]:
     tokenizer = pretoken.load(path)
     kind, suffix = _kind(tokenizer)
     pattern = pretoken.WORD_LEVEL if kind == "word" else pretoken.BYTE_LEVEL
-    back, strings = _byte_alphabet(), []
+    back, strings = {c: b for b, c in pretoken.byte_alphabet().items()}, []
     for entry in tokenizer.get_vocab():
         if suffix and not entry.endswith(suffix):
             continue

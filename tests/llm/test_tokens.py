@@ -33,7 +33,7 @@ def test_ids_equal_library():
 
 
 def test_memo_that_starts_anew(monkeypatch):
-    monkeypatch.setattr(pretoken, "MEMO", 5)
+    monkeypatch.setattr(pretoken, "MEMO", 4)
     monkeypatch.setattr(pretoken, "SEGMENT", 20)
     encoder, library = pretoken.BytePairIds(BYTE), Tokenizer.from_file(BYTE)
     counter = tokens.Counter(WORD, frozenset())
