@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import bagminhash, idfiles, packing, secrets, tokens, toxicity
+from quire.llm import bagminhash, idfiles, langid, media, packing, secrets, tokens, toxicity
 from quire.llm.common import table
 
 TOKENIZERS = public_tokenizers.path
@@ -18,6 +18,10 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_counts(table(spark, sf_dir, "documents"), TOKENIZERS("word_bpe_49k.json"))
 
 
+def op2_avi_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.digests(media.media_column(table(spark, sf_dir, "documents")))
+
+
 def op3_ranked_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     blocks, ranks = idfiles.write_files(table(spark, sf_dir, "documents"), TOKENIZERS("byte_bpe_50k.json"))
     return idfiles.read_files(blocks, ranks)
@@ -36,12 +40,17 @@ def op7_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents"), owner=F.col("source"), repo=F.concat_ws("/", "source", "lang"))
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.predictions(table(spark, sf_dir, "documents"), TOKENIZERS("piece_bpe_32k.model"))
+
+
 def op10_counterfactual_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.predictions(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op3_ranked_id_files, op4_tier_packing, op6_bag_minhash, op7_secret_ownership, op10_counterfactual_toxicity)}
+    all_ = (op1_token_counts, op2_avi_media, op3_ranked_id_files, op4_tier_packing, op6_bag_minhash, op7_secret_ownership, op8_language_id, op10_counterfactual_toxicity)
+    return {f.__name__: f for f in all_}
 
 
 def oracle_sql() -> dict[str, str]:
