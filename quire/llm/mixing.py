@@ -1,14 +1,15 @@
 """Operator 9: mixing sources to target weights by iterative proportional fitting.
 
 Token weights are summed by cell (source, language, topic). Raking scales the cells so that the shares
-of every source, language and topic meet their targets, one dimension after the other, until no
-share is off by more than ``CLOSE``. A cell's calibrated weight over its tokens, times the largest
-factor that needs no document more than once, is the probability with which each of its documents
+of every source, language and topic meet their targets, one dimension after the other, until nothing
+moves. The output is to have ``KEEP`` of all tokens and no document twice, so a cell's share is bounded
+by what it has; a bounded cell gives all it has, and the others of its values make up for it as far as they
+can. Where targets can't be met together, a cell still keeps ``LEAST`` of its share. A cell's calibrated tokens over its tokens are the probability with which each of its documents
 stays. The draw is a hash of the id and the text, so it repeats at any partitioning.
 
 Targets that are not given are the square roots of the shares as they are (``flatten``), which lifts
-small sources and languages without ruling out large ones. A target for a value that has no tokens
-can't be met and is left out; the others are scaled up. A value without a target gets none and its
+small sources and languages without ruling out large ones. A target above what its value has is
+lowered to that, and one for a value without tokens left out; the other targets take up the rest. A value without a target gets none and its
 documents go; null is a value like any other.
 
 Cells are as many as there are combinations of values that occur, and values are categories, not keys:
@@ -22,6 +23,8 @@ alike. An empty table gives an empty result. Other columns are kept.
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -29,6 +32,10 @@ from pyspark.sql import functions as F
 from quire.llm.common import Stage, whole_text
 
 CLOSE, ROUNDS, CELLS = 1e-9, 200, 100_000
+#: Share of all tokens that the output is to have.
+KEEP = 0.7
+#: A cell whose values all have targets keeps at least this part of its share, where targets can't be met together.
+LEAST = 0.2
 #: fixed values: marks of topics in a text; a text has the topic whose marks are the most, by share of words
 TOPICS = {
     "contact": r"[\w.+-]+@[\w-]+\.\w+|https?://|www\.|\(\d{3}\)|\d{3}[- ]\d{4}",
@@ -66,73 +73,96 @@ def flatten(shares: dict) -> dict:
     return {k: v / total for k, v in root.items()}
 
 
-def rake(keys: list[tuple], tokens: np.ndarray, targets: list[dict]) -> np.ndarray:
-    """Cell weights whose shares meet the targets, from cell tokens; a cell without a target gets 0."""
-    w = tokens / max(tokens.sum(), 1e-300)
+def attainable(target: dict, most: dict) -> dict:
+    """The target's shares, none above what its value has; the others take up the rest in proportion."""
+    want = {v: max(0.0, float(x)) for v, x in target.items() if v in most}
+    full: dict = {}
+    while want:
+        left, total = 1.0 - sum(full.values()), sum(want.values())
+        if total <= 0 or left <= 0:
+            full |= dict.fromkeys(want, 0.0)
+            break
+        scaled = {v: x * left / total for v, x in want.items()}
+        over = {v: most[v] for v, x in scaled.items() if x > most[v]}
+        if not over:
+            return full | scaled
+        full |= over
+        want = {v: x for v, x in want.items() if v not in over}
+    return full
+
+
+def rake(keys: list[tuple], tokens: np.ndarray, targets: list[dict], keep: float = KEEP) -> np.ndarray:
+    """Cell shares of the output that meet the targets, none above what the cell has."""
+    total = max(float(tokens.sum()), 1e-300)
+    w, most, least = tokens / total, tokens / total / keep, LEAST * tokens / total
+    for d, target in enumerate(targets):
+        least = least * np.array([target.get(k[d], 0.0) > 0 for k in keys])
     index, goal = [], []
     for d, target in enumerate(targets):
         values = sorted({k[d] for k in keys}, key=lambda v: (v is None, str(v)))
         place = {v: i for i, v in enumerate(values)}
         index.append(np.array([place[k[d]] for k in keys], np.int64))
-        want = np.array([target.get(v, 0.0) for v in values], float)
-        goal.append(want / want.sum() if want.sum() else want)
+        goal.append(np.array([target.get(v, 0.0) for v in values], float))
     for _ in range(ROUNDS):
-        off = 0.0
+        before = w
         for at, want in zip(index, goal, strict=True):
             have = np.bincount(at, w, len(want))
-            off = max(off, float(np.abs(have - want).max(initial=0)))
             factor = np.divide(want, have, out=np.zeros_like(want), where=have > 0)
-            w = w * factor[at]
-        if off <= CLOSE:
+            w = np.clip(w * factor[at], least, most)
+        if np.abs(w - before).max(initial=0) <= CLOSE:
             break
     return w
 
 
-def rake_frames(cell: DataFrame, dims: list[str], targets: list[dict], stage: Stage, rounds: int = 30) -> DataFrame:
+def rake_frames(cell: DataFrame, dims: list[str], targets: list[dict], stage: Stage, keep: float = KEEP, rounds: int = 30) -> DataFrame:
     """``rake`` in DataFrame steps: (*dims, tokens, w); for more cells than the driver may hold."""
     spark = cell.sparkSession
-    now = stage.keep(cell.withColumn("w", F.col("tokens") / cell.agg(F.sum("tokens").alias("t")).first()["t"]), "rake-0")
+    total = cell.agg(F.sum("tokens").alias("t")).first()["t"] or 1.0
+    least = F.lit(LEAST) * F.col("tokens") / total
+    for dim, target in zip(dims, targets, strict=True):
+        goals = [v for v, x in target.items() if x > 0]
+        least = F.when(F.coalesce(F.col(dim).isin([v for v in goals if v is not None]), F.lit(None in goals)), least).otherwise(0.0)
+    now = stage.keep(cell.select("*", least.alias("least"), (F.col("tokens") / total).alias("w")), "rake-0")
     for k in range(1, rounds + 1):
+        first = now
         for d, (dim, target) in enumerate(zip(dims, targets, strict=True)):
             goal = spark.createDataFrame([(v, float(x)) for v, x in target.items()], f"`__{dim}` {cell.schema[dim].dataType.simpleString()}, goal double")
             have = now.groupBy(dim).agg(F.sum("w").alias("have")).join(goal, F.col(dim).eqNullSafe(F.col(f"__{dim}")), "left")
             have = stage.keep(have.select(F.col(dim).alias(f"__{dim}"), F.coalesce("goal", F.lit(0.0)).alias("goal"), "have"), f"have-{k}-{d}")
-            total = have.agg(F.sum("goal").alias("t")).first()["t"] or 1.0
-            factor = F.when(F.col("have") > 0, F.col("goal") / total / F.col("have")).otherwise(0.0)
-            now = stage.keep(now.join(have, F.col(dim).eqNullSafe(F.col(f"__{dim}"))).select(*dims, "tokens", (F.col("w") * factor).alias("w")), f"rake-{k}-{d}")
-        off = have.agg(F.max(F.abs(F.col("goal") / total - F.col("have"))).alias("x")).first()["x"]
-        if off <= CLOSE:
+            factor = F.when(F.col("have") > 0, F.col("goal") / F.col("have")).otherwise(0.0)
+            scaled = F.least(F.greatest(F.col("w") * factor, F.col("least")), F.col("tokens") / total / keep)
+            now = stage.keep(now.join(have, F.col(dim).eqNullSafe(F.col(f"__{dim}"))).select(*dims, "tokens", "least", scaled.alias("w")), f"rake-{k}-{d}")
+        same = [F.col(n).eqNullSafe(F.col(f"__{n}")) for n in dims]
+        moved = now.join(first.select(*(F.col(n).alias(f"__{n}") for n in dims), F.col("w").alias("was")), functools.reduce(lambda a, b: a & b, same))
+        if (moved.agg(F.max(F.abs(F.col("w") - F.col("was"))).alias("x")).first()["x"] or 0) <= CLOSE:
             break
-    return now
+    return now.drop("least")
 
 
-def calibrated(docs: DataFrame, dims: dict[str, Column], targets: dict[str, dict] | None = None, text_col: str = "text", limit: int = CELLS) -> DataFrame:
-    """(*dims, tokens, w, p) of every cell: token sum, raked share, and probability to stay."""
+def calibrated(docs: DataFrame, dims: dict[str, Column], targets: dict[str, dict] | None = None, text_col: str = "text", limit: int = CELLS, keep: float = KEEP) -> DataFrame:
+    """(*dims, tokens, w, p) of every cell: token sum, raked share of the output, and probability to stay."""
     stage = Stage(docs.sparkSession, "mixing")
     names = list(dims)
     rows = docs.select(*(x.alias(n) for n, x in dims.items()), token_weight(whole_text(text_col)).alias("__weight"))
     cell = stage.keep(cells(rows, names, "__weight"), "cells")
-    given = targets or {}
     goals = []
     for n in names:
-        if n in given:
-            goals.append(given[n])
-        else:
-            sums = cell.groupBy(n).agg(F.sum("tokens").alias("t"))
-            found = sums.limit(limit + 1).collect()  # values of a category, counted against the bound
-            if len(found) > limit:
-                raise ValueError(f"{n} has more than {limit} values: give its targets, or a coarser category")
-            total = sum(r["t"] for r in found)
-            goals.append(flatten({r[n]: r["t"] / total for r in found}))
+        found = cell.groupBy(n).agg(F.sum("tokens").alias("t")).limit(limit + 1).collect()  # a category's values, counted against the bound
+        if len(found) > limit:
+            raise ValueError(f"{n} has more than {limit} values: give a coarser category")
+        total = sum(r["t"] for r in found)
+        shares = {r[n]: r["t"] / total for r in found}
+        target = targets[n] if targets and n in targets else flatten(shares)
+        goals.append(attainable(target, {v: x / keep for v, x in shares.items()}))
     found = cell.limit(limit + 1).collect()
     if len(found) > limit:
-        weighed = rake_frames(cell, names, goals, stage)
+        weighed = rake_frames(cell, names, goals, stage, keep)
     else:
         found.sort(key=lambda r: tuple((r[n] is None, str(r[n])) for n in names))
-        w = rake([tuple(r[n] for n in names) for r in found], np.array([r["tokens"] for r in found], float), goals)
+        w = rake([tuple(r[n] for n in names) for r in found], np.array([r["tokens"] for r in found], float), goals, keep)
         weighed = docs.sparkSession.createDataFrame([(*(r[n] for n in names), r["tokens"], float(x)) for r, x in zip(found, w, strict=True)], cell.select(*names, "tokens", F.lit(0.0).alias("w")).schema)
-    most = weighed.agg(F.max(F.col("w") / F.col("tokens")).alias("x")).first()["x"] or 1.0
-    return weighed.withColumn("p", F.col("w") / F.col("tokens") / F.lit(most))
+    total = cell.agg(F.sum("tokens").alias("t")).first()["t"] or 1.0
+    return weighed.withColumn("p", F.least(F.lit(1.0), F.col("w") * F.lit(keep * total) / F.col("tokens")))
 
 
 def draw(id_col: str, text_col: str, seed: int) -> Column:
@@ -140,15 +170,12 @@ def draw(id_col: str, text_col: str, seed: int) -> Column:
     return F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col(id_col), whole_text(text_col)), 11).cast("double") / float(1 << 53)
 
 
-def mixed(docs: DataFrame, dims: dict[str, Column], targets: dict[str, dict] | None = None, id_col: str = "doc_id", text_col: str = "text", seed: int = 9, limit: int = CELLS) -> DataFrame:
+def mixed(docs: DataFrame, dims: dict[str, Column], targets: dict[str, dict] | None = None, id_col: str = "doc_id", text_col: str = "text", seed: int = 9, limit: int = CELLS, keep: float = KEEP) -> DataFrame:
     """``docs`` with __p (probability to stay) and __stays for every row."""
-    cell = calibrated(docs, dims, targets, text_col, limit)
+    cell = calibrated(docs, dims, targets, text_col, limit, keep)
     renamed = cell.select(*(F.col(n).alias(f"__{n}") for n in dims), F.col("p").alias("__p"))
     same = [x.eqNullSafe(F.col(f"__{n}")) for n, x in dims.items()]
     if cell.limit(limit + 1).count() <= limit:
         renamed = F.broadcast(renamed)
-    on = same[0]
-    for x in same[1:]:
-        on = on & x
-    joined = docs.join(renamed, on, "left").drop(*(f"__{n}" for n in dims))
+    joined = docs.join(renamed, functools.reduce(lambda a, b: a & b, same), "left").drop(*(f"__{n}" for n in dims))
     return joined.withColumn("__p", F.coalesce("__p", F.lit(0.0))).withColumn("__stays", draw(id_col, text_col, seed) < F.col("__p"))

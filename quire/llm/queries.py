@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import bagminhash, idfiles, langid, media, packing, secrets, tokens, toxicity
-from quire.llm.common import table
+from quire.llm import bagminhash, idfiles, langid, media, mixing, packing, secrets, tokens, toxicity
+from quire.llm.common import table, whole_text
 
 TOKENIZERS = public_tokenizers.path
 
@@ -44,12 +44,18 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predictions(table(spark, sf_dir, "documents"), TOKENIZERS("piece_bpe_32k.model"))
 
 
+def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    dims = {"source": F.col("source"), "lang": F.col("lang"), "topic": mixing.topic_of(whole_text("text"))}
+    rows = mixing.mixed(table(spark, sf_dir, "documents"), dims)
+    return rows.select("doc_id", "source", "lang", mixing.topic_of(whole_text("text")).alias("topic"), mixing.token_weight(whole_text("text")).alias("n_words"), F.col("__p").alias("probability"), F.col("__stays").alias("kept"))
+
+
 def op10_counterfactual_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.predictions(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    all_ = (op1_token_counts, op2_avi_media, op3_ranked_id_files, op4_tier_packing, op6_bag_minhash, op7_secret_ownership, op8_language_id, op10_counterfactual_toxicity)
+    all_ = (op1_token_counts, op2_avi_media, op3_ranked_id_files, op4_tier_packing, op6_bag_minhash, op7_secret_ownership, op8_language_id, op9_source_mixing, op10_counterfactual_toxicity)
     return {f.__name__: f for f in all_}
 
 
