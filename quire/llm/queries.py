@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import bagminhash, idfiles, langid, media, mixing, packing, secrets, tokens, toxicity
+from quire.llm import bagminhash, idfiles, langid, media, mixing, packing, secrets, tokens, toxicity, vectorgraph
 from quire.llm.common import table, whole_text
 
 TOKENIZERS = public_tokenizers.path
@@ -31,6 +31,10 @@ def op4_tier_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(table(spark, sf_dir, "documents"), TOKENIZERS("byte_bpe_50k.json"))
 
 
+def op5_vector_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectorgraph.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op6_bag_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bagminhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -55,7 +59,7 @@ def op10_counterfactual_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    all_ = (op1_token_counts, op2_avi_media, op3_ranked_id_files, op4_tier_packing, op6_bag_minhash, op7_secret_ownership, op8_language_id, op9_source_mixing, op10_counterfactual_toxicity)
+    all_ = (op1_token_counts, op2_avi_media, op3_ranked_id_files, op4_tier_packing, op5_vector_graph, op6_bag_minhash, op7_secret_ownership, op8_language_id, op9_source_mixing, op10_counterfactual_toxicity)
     return {f.__name__: f for f in all_}
 
 
