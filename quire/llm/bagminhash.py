@@ -15,12 +15,18 @@ all slots are filled are drawn (``SLOTS`` x (ln SLOTS + 3) points on average wha
 length; the few documents with an empty slot draw again, with doubled time).
 
 Candidates share a band of ``ROWS`` slots; at similarity 0.8 a pair shares none of the bands with a
-probability of 3e-6. Equal word sequences are collapsed first and count as one text. Every text of a
-bucket is compared with the bucket's first text; then, in the buckets whose texts are not yet
-one component, each text outside the bucket's main component with all texts of other components. A
-pair that is skipped is one that is already connected, so components lose no candidate link and a
-group of thousands of copies costs one comparison for each copy. Every comparison is exact, on whole
-texts.
+probability of 3e-6. Equal word sequences are collapsed first and count as one text. Then
+
+1. every text of a bucket is compared with the bucket's first text, and the links' components are
+   formed: a group of thousands of copies costs one comparison for each copy and band;
+2. in buckets whose texts are in several components, each text outside the bucket's main component
+   meets the texts of other components. A pair is taken up in the first bucket it shares, and is
+   compared if it can be similar: shingles that no other text of such buckets has bound the overlap
+   from above (an exact bound, so passages that thousands of else unlike texts share cost nothing), and
+   ``AGREE`` of the slots must agree (a similar pair has fewer with a probability below 1e-5).
+
+A pair that is skipped otherwise is one that is already connected, so components lose no candidate
+link. Every comparison is exact, on whole texts.
 
 Hot buckets: bucket counts and firsts are aggregated before they are shuffled; the joins that bring
 texts together are plain joins, which adaptive execution splits.
@@ -47,7 +53,7 @@ from quire.llm.components import components
 from quire.llm.pretoken import segments
 
 WORDS, SIMILAR = 5, 0.8
-SLOTS, ROWS = 96, 4
+SLOTS, ROWS, AGREE = 96, 4, 60
 #: Texts whose points are drawn together.
 GROUP = 64
 _WORD = re.compile(r"\w+")
@@ -178,7 +184,12 @@ def text_key(text: str, words: np.ndarray) -> bytes:
 
 
 def sketches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, fingerprint, key, bands): fingerprint is xxhash64 of the text, to find the row again."""
+    """(doc_id, fingerprint, key, n, bands, slots) of every row.
+
+    fingerprint: xxhash64 of the text, to find the row again; n: the multiset's size; slots: 16 bits of
+    each slot's entry.
+    """
+    names = ["doc_id", "fingerprint", "key", "n", "bands", "slots"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -186,22 +197,27 @@ def sketches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 part = batch.slice(at, GROUP)
                 texts = part.column(2).to_pylist()
                 words = list(map(words_of, texts))
-                some = [i for i, x in enumerate(words) if len(x)]
-                found = np.zeros((len(words), SLOTS // ROWS), np.int64)
-                if some:
-                    found[some] = bands(signatures([bag(words[i]) for i in some])).view(np.int64)
-                size = np.zeros(len(words), np.int64)
-                size[some] = SLOTS // ROWS
-                lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *size]), pa.int32()), pa.array(found[size > 0].reshape(-1)))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(list(map(text_key, texts, words)), pa.binary()), lists], names=["doc_id", "fingerprint", "key", "bands"])
+                some = np.flatnonzero([len(x) > 0 for x in words])
+                n = np.zeros(len(words), np.int64)
+                found, slots = np.zeros((0, SLOTS // ROWS), np.int64), np.zeros((0, SLOTS), np.int16)
+                if len(some):
+                    bags = [bag(words[i]) for i in some]
+                    n[some] = [c.sum() for _, c in bags]
+                    entries = signatures(bags)
+                    found, slots = bands(entries).view(np.int64), (entries & _U(0xFFFF)).astype(np.uint16).view(np.int16)
+                lists = []
+                for values in (found, slots):
+                    ends = np.cumsum([0, *np.where(n > 0, values.shape[1], 0)])
+                    lists.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values.reshape(-1))))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(list(map(text_key, texts, words)), pa.binary()), pa.array(n), *lists], names=names)
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(whole_text(text_col)).alias("fingerprint"), whole_text(text_col).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, fingerprint long, key binary, bands array<long>")
+    return rows.mapInArrow(run, "doc_id long, fingerprint long, key binary, n long, bands array<long>, slots array<short>")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, stage: Stage, name: str) -> DataFrame:
-    """The pairs (a, b) of keys whose texts are similar, compared exactly."""
-    left, right = (texts.select(F.col("key").alias(k), F.col("text").alias(f"text_{k}")) for k in "ab")
+    """The pairs (a, b) of nodes whose texts are similar, compared exactly."""
+    left, right = (texts.select(F.col("node").alias(k), F.col("text").alias(f"text_{k}")) for k in "ab")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, bag_a = None, None
@@ -213,48 +229,80 @@ def _verified(pairs: DataFrame, texts: DataFrame, stage: Stage, name: str) -> Da
                 keep.append(similarity(bag_a, bag(words_of(batch.column(3)[k].as_py()))) >= SIMILAR)
             yield pa.RecordBatch.from_arrays([x.filter(pa.array(keep, pa.bool_())) for x in batch.columns[:2]], names=["a", "b"])
 
-    # pairs with b's text first, then a's: the first text of a large group is a hot key of the second join only
+    # b's text first, then a's: the first text of a large group is a hot key of the second join only
     with_b = stage.keep(pairs.join(right, "b"), f"{name}-b")
     both = with_b.join(left, "a").select("a", "b", "text_a", "text_b")
-    found = stage.keep(both.mapInArrow(run, "a binary, b binary"), f"{name}-links")
+    found = stage.keep(both.mapInArrow(run, "a long, b long"), f"{name}-links")
     stage.drop(f"{name}-b")
     return found
 
 
+def _own_shingles(texts: DataFrame) -> DataFrame:
+    """(node, own): the multiset elements of each text that no other of the texts has."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                shingles, counts = bag(words_of(batch.column(1)[k].as_py()))
+                # an element: a shingle and the number of its occurrence
+                number = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+                elements = mix(np.repeat(shingles, counts) ^ mix(number.astype(np.uint64)))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(elements), batch.column(0)[k].as_py(), np.int64)), pa.array(elements.view(np.int64))], names=["node", "element"])
+
+    elements = texts.select("node", "text").mapInArrow(run, "node long, element long")
+    own = elements.groupBy("element").agg(F.count("*").alias("k"), F.min("node").alias("node")).filter("k = 1")
+    return own.groupBy("node").agg(F.count("*").alias("own"))
+
+
+def _crossing(members: DataFrame, root: DataFrame, nodes: DataFrame, texts: DataFrame, stage: Stage) -> DataFrame:
+    """Pairs (a, b) that share a bucket but no component yet, can be similar, and weren't compared."""
+    placed = members.join(root, "node", "left").select("bucket", "a", "node", F.coalesce("root", "node").alias("root"))
+    parts = stage.keep(placed.groupBy("bucket", "root").agg(F.count("*").alias("n")), "parts")
+    main = parts.groupBy("bucket").agg(F.max(F.struct("n", "root")).alias("main"), F.count("*").alias("k")).filter("k > 1").select("bucket", F.col("main.root").alias("main"))
+    mixed = stage.keep(placed.join(stage.keep(main, "main"), "bucket"), "mixed")
+    some = stage.keep(mixed.select("node").distinct(), "mixed-nodes")
+    own = stage.keep(_own_shingles(texts.join(some, "node", "left_semi")), "own")
+    facts = stage.keep(nodes.join(some, "node", "left_semi").join(own, "node", "left").select("node", "n", (F.col("n") - F.coalesce("own", F.lit(0))).alias("shared"), "bands", "slots"), "facts")
+    mixed = stage.keep(mixed.join(facts, "node"), "mixed-facts")
+    mixed = mixed.select("bucket", "a", "main", F.struct("node", "root", "n", "shared", "bands", "slots").alias("x"))
+    outside = mixed.filter("x.root <> main").select("bucket", "a", "x")
+    others = mixed.select("bucket", "main", F.col("x").alias("y"))
+    # overlap >= 0.8 x union means overlap >= 4/9 of both sizes
+    conditions = [
+        "x.root <> y.root and x.node <> a and y.node <> a and (y.root = main or x.node < y.node)",
+        "9 * least(x.shared, y.shared) >= 4 * (x.n + y.n)",
+        "element_at(filter(zip_with(x.bands, y.bands, (p, q) -> if(p = q, p, null)), p -> p is not null), 1) = bucket",
+        f"size(filter(zip_with(x.slots, y.slots, (p, q) -> p = q), p -> p)) >= {AGREE}",
+    ]
+    pairs = outside.join(others, "bucket").filter(" and ".join(f"({c})" for c in conditions))
+    return stage.keep(pairs.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")), "crossing")
+
+
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", stage: Stage | None = None) -> DataFrame:
-    """(doc_id, fingerprint, key, root) of every row: rows of one root are copies or near copies."""
+    """(doc_id, fingerprint, root) of every row: rows of one root are copies or near copies."""
     stage = stage or Stage(docs.sparkSession, "bagminhash")
     rows = stage.keep(sketches(docs, id_col, text_col), "rows")
-    # one row for each different text
-    nodes = stage.keep(rows.groupBy("key").agg(F.first("bands").alias("bands"), F.min(F.struct("doc_id", "fingerprint")).alias("who")), "nodes")
-    members = nodes.select(F.explode("bands").alias("bucket"), "key")
-    firsts = members.groupBy("bucket").agg(F.min("key").alias("a"), F.count("*").alias("n")).filter("n > 1")
-    firsts = stage.keep(firsts.select("bucket", "a"), "firsts")
+    # one row for each different text; ids are drawn once, the written table fixes them
+    nodes = rows.groupBy("key").agg(F.first(F.struct("n", "bands", "slots")).alias("x"), F.min(F.struct("doc_id", "fingerprint")).alias("who"))
+    nodes = stage.keep(nodes.select(F.monotonically_increasing_id().alias("node"), "key", "x.*", "who"), "nodes")
+    members = nodes.select(F.explode("bands").alias("bucket"), "node")
+    firsts = stage.keep(members.groupBy("bucket").agg(F.min("node").alias("a"), F.count("*").alias("n")).filter("n > 1").select("bucket", "a"), "firsts")
     members = stage.keep(members.join(firsts, "bucket"), "members")  # of buckets with two texts or more
-    pairs = stage.keep(members.filter("key <> a").select("a", F.col("key").alias("b")).distinct(), "pairs")
-    wanted = stage.keep(nodes.join(members.select("key").distinct(), "key", "left_semi").select("key", "who"), "wanted")
+    pairs = stage.keep(members.filter("node <> a").select("a", F.col("node").alias("b")).distinct(), "pairs")
+    who = nodes.join(members.select("node").distinct(), "node", "left_semi").select("node", F.col("who.doc_id").alias("__id"), F.col("who.fingerprint").alias("__print"))
+    who = stage.keep(who, "who")
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(whole_text(text_col)).alias("fingerprint"), whole_text(text_col).alias("text"))
     # a text for each candidate: rows of equal id and text are one
-    who = wanted.select("key", F.col("who.doc_id").alias("__id"), F.col("who.fingerprint").alias("__print"))
-    texts = stage.keep(texts.join(who, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("fingerprint") == F.col("__print"))).select("key", "text").dropDuplicates(["key"]), "texts")
+    texts = texts.join(who, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("fingerprint") == F.col("__print"))).select("node", "text")
+    texts = stage.keep(texts.dropDuplicates(["node"]), "texts")
     links = _verified(pairs, texts, stage, "near")
     root = stage.keep(components(links, stage, "cc1"), "roots1")
-
-    # buckets whose texts are in several components: their texts outside the main component meet the others
-    placed = members.join(root.select(F.col("node").alias("key"), "root"), "key", "left").select("bucket", "a", "key", F.coalesce("root", "key").alias("root"))
-    parts = stage.keep(placed.groupBy("bucket", "root").agg(F.count("*").alias("n")), "parts")
-    main = parts.groupBy("bucket").agg(F.max(F.struct("n", "root")).alias("main"), F.count("*").alias("k")).filter("k > 1").select("bucket", F.col("main.root").alias("main"))
-    main = stage.keep(main, "main")
-    mixed = stage.keep(placed.join(main, "bucket"), "mixed")
-    outside = mixed.filter("root <> main").select("bucket", F.col("key").alias("x"), F.col("root").alias("root_x"))
-    others = mixed.select("bucket", "a", "main", F.col("key").alias("y"), F.col("root").alias("root_y"))
-    # pairs with the bucket's first text are done; of two texts outside, the smaller leads
-    more = outside.join(others, "bucket").filter("root_x <> root_y and x <> a and y <> a and (root_y = main or x < y)")
-    more = stage.keep(more.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "more")
-    links2 = _verified(more, texts, stage, "far") if not more.isEmpty() else more
-    if not links2.isEmpty():
-        root = stage.keep(components(links.unionByName(links2), stage, "cc2"), "roots2")
-    return rows.join(root.select(F.col("node").alias("key"), "root"), "key", "left").select("doc_id", "fingerprint", "key", F.coalesce("root", "key").alias("root"))
+    crossing = _crossing(members, root, nodes, texts, stage)
+    more = _verified(crossing, texts, stage, "far")
+    if not more.isEmpty():
+        root = stage.keep(components(links.unionByName(more), stage, "cc2"), "roots2")
+    roots = nodes.join(root, "node", "left").select("key", F.coalesce("root", "node").alias("root"))
+    return rows.join(stage.keep(roots, "roots"), "key").select("doc_id", "fingerprint", "root")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
