@@ -38,9 +38,10 @@ class Stage:
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
 
-    def keep(self, df: DataFrame, name: str) -> DataFrame:
-        """Write ``df`` and return the written table."""
-        df.write.mode("overwrite").parquet(self.path(name))
+    def keep(self, df: DataFrame, name: str, packed: bool = True) -> DataFrame:
+        """Write ``df`` and return the written table; without ``packed``, bytes that don't compress as they are."""
+        writer = df.write.mode("overwrite")
+        (writer if packed else writer.option("compression", "none").option("parquet.enable.dictionary", "false")).parquet(self.path(name))
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
     def drop(self, name: str) -> None:

@@ -12,9 +12,9 @@ A rank is an id's place by falling corpus frequency (ties: the smaller id first)
 one byte. Control and data bytes are apart: a reader looks up the lengths of four ids at once in a
 table of 256 rows and gathers the data bytes with numpy, without a loop over ids.
 
-Steps: (1) documents are range-partitioned by id and tokenised once, into a written table; (2) ids are
-counted, one row for each partition and id, into the rank table (at most the vocabulary's size,
-broadcast); (3) blocks are written in ascending id order; (4) the blocks are read back and decoded.
+Steps: (1) documents are range-partitioned by id, the only shuffle of their size, and tokenised once,
+into a written table of blocks with plain ids; (2) ids are counted on the way, one table for each partition, into the rank table (at most the vocabulary's size,
+broadcast); (3) each block is coded and written, in place; (4) the blocks are read back and decoded.
 No step holds more than a block and one document. Lost executors only repeat their partitions.
 
 Null text: empty, so only the end id. Null ids come first. Equal ids are ordered by text hash, equal
@@ -29,13 +29,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from quire.llm.common import Stage, whole_text
-from quire.llm.pretoken import BytePairIds
+from quire.llm.pretoken import byte_pair_ids
 
 #: A block closes once it holds this many ids.
 BLOCK = 1 << 18
@@ -50,33 +51,52 @@ LENGTHS = (_BITS + 1).astype(np.uint8)
 def pack_ids(values: np.ndarray) -> tuple[bytes, bytes]:
     """Control and data bytes of unsigned 32-bit values."""
     values = np.ascontiguousarray(values, "<u4")
-    size = 1 + (values > 0xFF) + (values > 0xFFFF) + (values > 0xFFFFFF)
-    padded = np.zeros(-(-len(values) // 4) * 4, np.uint8)
-    padded[: len(values)] = size - 1
-    quads = padded.reshape(-1, 4)
+    more = np.zeros(-(-len(values) // 4) * 4, np.uint8)  # bytes of each value, less one
+    for limit in (0xFF, 0xFFFF, 0xFFFFFF):
+        over = values > limit
+        if not over.any():
+            break
+        more[: len(values)] += over.view(np.uint8)
+    quads = more.reshape(-1, 4)
     control = quads[:, 0] | quads[:, 1] << 2 | quads[:, 2] << 4 | quads[:, 3] << 6
-    data = values.view(np.uint8).reshape(-1, 4)[np.arange(4) < size[:, None]]
-    return control.astype(np.uint8).tobytes(), data.tobytes()
+    more = more[: len(values)]
+    end = np.cumsum(more + np.uint8(1), dtype=np.int64)
+    start = end - more - 1
+    data = np.empty(int(end[-1]) if len(end) else 0, np.uint8)
+    data[start] = values & np.uint32(255)
+    for k in (1, 2, 3):
+        at = np.flatnonzero(more >= k)
+        if not len(at):
+            break
+        data[start[at] + k] = values[at] >> np.uint32(8 * k) & np.uint32(255)
+    return control.tobytes(), data.tobytes()
 
 
 def unpack_ids(control: bytes, data: bytes, n: int) -> np.ndarray:
     """The ``n`` values of the control and data bytes."""
-    size = LENGTHS[np.frombuffer(control, np.uint8)].reshape(-1)[:n].astype(np.int64)
-    start = np.cumsum(size) - size
-    if n and start[-1] + size[-1] != len(data):
+    size = LENGTHS[np.frombuffer(control, np.uint8)].reshape(-1)[:n]
+    end = np.cumsum(size, dtype=np.int32 if len(data) < 1 << 31 else np.int64)
+    if n and end[-1] != len(data):
         raise ValueError("data bytes do not match the control bytes")
     raw = np.frombuffer(data + b"\0\0\0", np.uint8)
+    start = end - size
     out = raw[start].astype(np.uint32)
+    at = np.flatnonzero(size > 1)
     for k in (1, 2, 3):
-        at = np.flatnonzero(size > k)
         out[at] |= raw[start[at] + k].astype(np.uint32) << np.uint32(8 * k)
+        at = at[size[at] > k + 1]
+        if not len(at):
+            break
     return out
 
 
-def write_block(docs: list[tuple[int | None, int]], ranks: np.ndarray) -> bytes:
-    table = np.array([(0 if i is None else i, i is not None, n) for i, n in docs], DOC)
+def doc_table(docs: list[tuple[int | None, int]]) -> bytes:
+    return np.array([(0 if i is None else i, i is not None, n) for i, n in docs], DOC).tobytes()
+
+
+def write_block(table: bytes, ranks: np.ndarray) -> bytes:
     control, data = pack_ids(ranks)
-    return HEAD.pack(MAGIC, len(table), len(ranks)) + table.tobytes() + control + data
+    return HEAD.pack(MAGIC, len(table) // DOC.itemsize, len(ranks)) + table + control + data
 
 
 def read_block(image: bytes) -> tuple[list[tuple[int | None, int]], np.ndarray]:
@@ -89,37 +109,61 @@ def read_block(image: bytes) -> tuple[list[tuple[int | None, int]], np.ndarray]:
     return [(int(x["id"]) if x["known"] else None, int(x["n"])) for x in table], unpack_ids(image[at:end], image[end:], n)
 
 
-def encode_table(docs: DataFrame, path: str, end_id: int, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, ids): little-endian unsigned 32-bit ids of each text and the end id, in id order."""
-    end = struct.pack("<I", end_id)
+def encode_blocks(docs: DataFrame, path: str, end_id: int, id_col: str, text_col: str) -> DataFrame:
+    """Blocks of documents in id order: shard, block, first, n_ids, table, width, ids.
+
+    ids: each text's ids and the end id, unsigned, of ``width`` bytes (2 where all ids fit). Each shard
+    ends with a row of block -1, whose ids are its counts of all ids as 64-bit integers.
+    """
+    names = ["shard", "block", "first", "n_ids", "table", "width", "ids"]
+    kinds = [*[pa.int64()] * 4, pa.binary(), pa.int32(), pa.binary()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = BytePairIds(path)
+        encoder, shard = byte_pair_ids(path, end_id < 1 << 16), TaskContext.get().partitionId()
+        width, end = encoder.width, struct.pack(f"<{encoder.code}", end_id)
+        block, first, n, docs, parts = 0, 0, 0, [], []
+        seen = np.zeros(max(encoder.tokenizer.get_vocab_size(), end_id + 1), np.int64)
+
+        def row(*values) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(values, kinds, strict=True)], names=names)
+
+        def close() -> pa.RecordBatch:
+            nonlocal block, first, n, docs, parts, seen
+            ids = b"".join(parts)
+            seen += np.bincount(np.frombuffer(ids, f"<u{width}"), minlength=len(seen))
+            out = row(shard, block, first, n, doc_table(docs), width, ids)
+            block, first, n, docs, parts = block + 1, first + n, 0, [], []
+            return out
+
         for batch in batches:
-            # one row a time: a batch of ids can be larger than the batch of its texts
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([encoder.encode(x.as_py()) + end for x in part.column(1)], pa.binary())], names=["doc_id", "ids"])
+            for doc, text in zip(batch.column(0), batch.column(1), strict=True):
+                ids = encoder.encode(text.as_py()) + end
+                docs.append((doc.as_py(), len(ids) // width))
+                parts.append(ids)
+                n += len(ids) // width
+                if n >= BLOCK:
+                    yield close()
+        if docs:
+            yield close()
+        if block:
+            yield row(shard, -1, 0, 0, None, 8, seen.tobytes())
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), whole_text(text_col).alias("text"))
-    return rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.xxhash64("text")).mapInArrow(run, "doc_id long, ids binary")
+    ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
+    return ordered.mapInArrow(run, "shard long, block long, first long, n_ids long, table binary, width int, ids binary")
 
 
 def id_ranks(encoded: DataFrame) -> DataFrame:
-    """(id, n, rank) of every id of the corpus."""
+    """(id, n, rank) of every id of the corpus, from the shards' rows of counts."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(0, np.int64)
         for batch in batches:
             for x in batch.column(0):
-                seen = np.bincount(np.frombuffer(x.as_buffer(), "<u4"))
-                if len(seen) > len(total):
-                    total, seen = seen.astype(np.int64), total
-                total[: len(seen)] += seen
-        ids = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(total[ids], pa.int64())], names=["id", "n"])
-
-    counts = encoded.select("ids").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+                total = np.frombuffer(x.as_buffer(), "<i8")
+                ids = np.flatnonzero(total)
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(total[ids], pa.int64())], names=["id", "n"])
+
+    counts = encoded.filter("block < 0").select("ids").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
     # one row for each id of the vocabulary, so one task suffices at any corpus size
     return counts.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("n"), "id")) - 1)
 
@@ -132,45 +176,22 @@ def write_files(docs: DataFrame, path: str, end_id: int = 0, id_col: str = "doc_
     """
     spark = docs.sparkSession
     stage = stage or Stage(spark, "ids")
-    encoded = stage.keep(encode_table(docs, path, end_id, id_col, text_col).withColumn("shard", F.spark_partition_id()), "encoded")
+    encoded = stage.keep(encode_blocks(docs, path, end_id, id_col, text_col), "encoded", packed=False)
     ranks = stage.keep(id_ranks(encoded), "ranks")
     found = np.array([(r["id"], r["rank"]) for r in ranks.select("id", "rank").collect()], np.int64).reshape(-1, 2)  # at most the vocabulary's size
     place = np.zeros(int(found[:, 0].max(initial=-1)) + 1, np.uint32)
     place[found[:, 0]] = found[:, 1]
     shared = spark.sparkContext.broadcast(place)
-    names = ["shard", "block", "first", "n_ids", "image"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place = shared.value
-        shard, block, first = None, 0, 0
-        docs, parts, n = [], [], 0
-
-        def close() -> pa.RecordBatch:
-            nonlocal block, first, docs, parts, n
-            row = [shard, block, first, n, write_block(docs, place[np.concatenate(parts)])]
-            block, first = block + 1, first + n
-            docs, parts, n = [], [], 0
-            return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=names)
-
         for batch in batches:
-            for doc, ids, at in zip(*(batch.column(i) for i in range(3)), strict=True):
-                if at.as_py() != shard:
-                    if docs:
-                        yield close()
-                    shard, block, first = at.as_py(), 0, 0
-                values = np.frombuffer(ids.as_py(), "<u4")
-                docs.append((doc.as_py(), len(values)))
-                parts.append(values)
-                n += len(values)
-                if n >= BLOCK:
-                    yield close()
-        if docs:
-            yield close()
+            for k in range(batch.num_rows):
+                table, width, ids = (batch.column(c)[k].as_py() for c in (4, 5, 6))
+                image = write_block(table, place[np.frombuffer(ids, f"<u{width}")])
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(k, 1) for c in range(4)), pa.array([image], pa.binary())], names=["shard", "block", "first", "n_ids", "image"])
 
-    # a shard's files may be read by several tasks: bring each shard together, in order, again.
-    # Shards are the range partitions above, so of like size whatever the data.
-    whole = encoded.repartition(F.col("shard")).sortWithinPartitions("shard", "doc_id", F.xxhash64("ids"))
-    blocks = stage.keep(whole.mapInArrow(run, "shard long, block long, first long, n_ids long, image binary"), "blocks")
+    blocks = stage.keep(encoded.filter("block >= 0").mapInArrow(run, "shard long, block long, first long, n_ids long, image binary"), "blocks", packed=False)
     stage.drop("encoded")
     return blocks, ranks
 

@@ -23,7 +23,7 @@ from collections.abc import Iterator
 SAFE = 0x300
 #: Pre-tokens a memo holds, in two halves: the newer, and the older that is dropped when the newer
 #: is full. About 200 bytes each.
-MEMO = 1_000_000
+MEMO = 800_000
 #: Texts are split in segments of about so many characters, cut where no pre-token spans the cut.
 SEGMENT = 1 << 20
 
@@ -80,14 +80,15 @@ def byte_alphabet() -> dict[int, str]:
 
 
 class PieceIds(dict):
-    """The ids of pre-tokens as little-endian unsigned 32-bit bytes, by the library's merges.
+    """The ids of pre-tokens as little-endian unsigned bytes of a width, by the library's merges.
 
     Two halves: this one, and the older one that is dropped when this one is full, so pieces that
     come again and again stay.
     """
 
-    def __init__(self, tokenizer):
+    def __init__(self, tokenizer, code: str):
         super().__init__()
+        self.code = code
         self.merges = tokenizer.model.tokenize
         self.letters = {b: ord(c) for b, c in byte_alphabet().items()}
         self.older: dict[str, bytes] = {}
@@ -95,7 +96,7 @@ class PieceIds(dict):
     def __missing__(self, piece: str) -> bytes:
         if (found := self.older.get(piece)) is None:
             got = self.merges(piece.encode().decode("latin-1").translate(self.letters))
-            found = struct.pack(f"<{len(got)}I", *(x.id for x in got))
+            found = struct.pack(f"<{len(got)}{self.code}", *(x.id for x in got))
         if len(self) >= MEMO // 2:
             self.older = dict(self)
             self.clear()
@@ -104,17 +105,22 @@ class PieceIds(dict):
 
 
 class BytePairIds:
-    """Ids of whole texts for a byte-level tokenizer file, as little-endian unsigned 32-bit bytes."""
+    """Ids of whole texts for a byte-level tokenizer file, as little-endian unsigned bytes.
 
-    def __init__(self, path: str):
+    Four bytes an id; with ``narrow`` two, where all ids fit.
+    """
+
+    def __init__(self, path: str, narrow: bool = False):
         self.tokenizer = load(path)
+        self.code = "H" if narrow and self.tokenizer.get_vocab_size() <= 1 << 16 else "I"
+        self.width = struct.calcsize(f"<{self.code}")
         self.special = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
-        self.pieces = PieceIds(self.tokenizer)
+        self.pieces = PieceIds(self.tokenizer, self.code)
 
     def encode(self, text: str) -> bytes:
         if not is_safe(text) or any(x in text for x in self.special):
             ids = self.tokenizer.encode(text, add_special_tokens=False).ids
-            return struct.pack(f"<{len(ids)}I", *ids)
+            return struct.pack(f"<{len(ids)}{self.code}", *ids)
         get = self.pieces.__getitem__
         if len(text) <= SEGMENT:
             return b"".join(map(get, BYTE_LEVEL.findall(text)))
@@ -122,6 +128,6 @@ class BytePairIds:
 
 
 @functools.cache
-def byte_pair_ids(path: str) -> BytePairIds:
+def byte_pair_ids(path: str, narrow: bool = False) -> BytePairIds:
     """One encoder a Python worker: its memo serves all tasks that the worker runs."""
-    return BytePairIds(path)
+    return BytePairIds(path, narrow)

@@ -22,7 +22,7 @@ def test_coding_round_trip(values):
 
 def test_block_round_trip_and_damage():
     docs = [(None, 2), (-5, 0), (2**40, 3)]
-    image = idfiles.write_block(docs, np.array([1, 256, 65536, 2**24, 0], np.uint32))
+    image = idfiles.write_block(idfiles.doc_table(docs), np.array([1, 256, 65536, 2**24, 0], np.uint32))
     got, values = idfiles.read_block(image)
     assert got == docs and values.tolist() == [1, 256, 65536, 2**24, 0]
     with pytest.raises(ValueError):
