@@ -17,8 +17,8 @@ length; the few documents with an empty slot draw again, with doubled time).
 Candidates share a band of ``ROWS`` slots; at similarity 0.8 a pair shares none of the bands with a
 probability of 3e-6. Equal word sequences are collapsed first and count as one text. Then
 
-1. every text of a bucket is compared with the bucket's first text, and the links' components are
-   formed: a group of thousands of copies costs one comparison for each copy and band;
+1. every text of a bucket is compared with the bucket's leader, the text that meets the most others in
+   all its buckets (as the original of a group of copies does), and the links' components are formed: a group of thousands of copies costs one comparison for each copy and band;
 2. in buckets whose texts are in several components, each text outside the bucket's main component
    meets the texts of other components. A pair is taken up in the first bucket it shares, and is
    compared if it can be similar: shingles that no other text of such buckets has bound the overlap
@@ -28,7 +28,7 @@ probability of 3e-6. Equal word sequences are collapsed first and count as one t
 A pair that is skipped otherwise is one that is already connected, so components lose no candidate
 link. Every comparison is exact, on whole texts.
 
-Hot buckets: bucket counts and firsts are aggregated before they are shuffled; the joins that bring
+Hot buckets: bucket counts and leaders are aggregated before they are shuffled; the joins that bring
 texts together are plain joins, which adaptive execution splits.
 
 Defined results: null text is empty. Texts without words are alike only if they are equal. Texts of
@@ -229,7 +229,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, stage: Stage, name: str) -> Da
                 keep.append(similarity(bag_a, bag(words_of(batch.column(3)[k].as_py()))) >= SIMILAR)
             yield pa.RecordBatch.from_arrays([x.filter(pa.array(keep, pa.bool_())) for x in batch.columns[:2]], names=["a", "b"])
 
-    # b's text first, then a's: the first text of a large group is a hot key of the second join only
+    # b's text first, then a's: the leader of a large group is a hot key of the second join only
     with_b = stage.keep(pairs.join(right, "b"), f"{name}-b")
     both = with_b.join(left, "a").select("a", "b", "text_a", "text_b")
     found = stage.keep(both.mapInArrow(run, "a long, b long"), f"{name}-links")
@@ -286,14 +286,20 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sta
     nodes = rows.groupBy("key").agg(F.first(F.struct("n", "bands", "slots")).alias("x"), F.min(F.struct("doc_id", "fingerprint")).alias("who"))
     nodes = stage.keep(nodes.select(F.monotonically_increasing_id().alias("node"), "key", "x.*", "who"), "nodes")
     members = nodes.select(F.explode("bands").alias("bucket"), "node")
-    firsts = stage.keep(members.groupBy("bucket").agg(F.min("node").alias("a"), F.count("*").alias("n")).filter("n > 1").select("bucket", "a"), "firsts")
-    members = stage.keep(members.join(firsts, "bucket"), "members")  # of buckets with two texts or more
+    sizes = stage.keep(members.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1"), "sizes")
+    members = stage.keep(members.join(sizes, "bucket"), "shared")  # of buckets with two texts or more
+    # a bucket's leader: the text that meets the most others in all its buckets, as a group's original does
+    met = stage.keep(members.groupBy("node").agg(F.sum("n").alias("met")), "met")
+    leads = members.join(met, "node").groupBy("bucket").agg(F.max(F.struct("met", -F.col("node"))).alias("x"))
+    leads = stage.keep(leads.select("bucket", (-F.col("x.col2")).alias("a")), "leads")
+    members = stage.keep(members.join(leads, "bucket").select("bucket", "a", "node"), "members")
     pairs = stage.keep(members.filter("node <> a").select("a", F.col("node").alias("b")).distinct(), "pairs")
     who = nodes.join(members.select("node").distinct(), "node", "left_semi").select("node", F.col("who.doc_id").alias("__id"), F.col("who.fingerprint").alias("__print"))
     who = stage.keep(who, "who")
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(whole_text(text_col)).alias("fingerprint"), whole_text(text_col).alias("text"))
     # a text for each candidate: rows of equal id and text are one
-    texts = texts.join(who, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("fingerprint") == F.col("__print"))).select("node", "text")
+    # the same plan at every size: the texts are dealt to the candidates, never the candidates broadcast
+    texts = texts.join(who.hint("merge"), F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("fingerprint") == F.col("__print"))).select("node", "text")
     texts = stage.keep(texts.dropDuplicates(["node"]), "texts")
     links = _verified(pairs, texts, stage, "near")
     root = stage.keep(components(links, stage, "cc1"), "roots1")
