@@ -37,7 +37,7 @@ def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     dims = {"source": F.col("source"), "lang": F.col("lang"), "topic": mixing.topic_of(whole_text("text"))}
-    return mixing.mixed(docs, dims).filter("__stays").select(*docs.columns)
+    return mixing.mixed(docs, dims)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -36,29 +36,27 @@ CLOSE, ROUNDS, CELLS = 1e-9, 200, 100_000
 KEEP = 0.7
 #: A cell whose values all have targets keeps at least this part of its share, where targets can't be met together.
 LEAST = 0.2
-#: fixed values: marks of topics in a text; a text has the topic whose marks are the most, by share of words
+#: fixed values: marks of topics in a text, cheap to count; a topic needs this many marks for 100 characters
 TOPICS = {
-    "contact": r"[\w.+-]+@[\w-]+\.\w+|https?://|www\.|\(\d{3}\)|\d{3}[- ]\d{4}",
-    "code": r"[{};=<>\\]|</|\(\)|::|->",
-    "numbers": r"\d+",
-    "listing": r"[|#*%&$]{1,}",
+    "code": (r"[{};=<>\\]", 2.0),
+    "contact": (r"@|://|www\.", 0.3),
+    "listing": (r"[|#*%&$]", 3.0),
+    "numbers": (r"[0-9]", 10.0),
 }
 NO_TOPIC = "prose"
-#: A topic needs this share of a text's words.
-TOPIC_SHARE = 0.1
 
 
 def token_weight(text: Column) -> Column:
-    """White-space words, at least one."""
-    return F.greatest(F.lit(1), F.regexp_count(text, F.lit(r"\S+"))).cast("long")
+    """Estimated tokens, a quarter of the characters, at least one."""
+    return F.greatest(F.lit(1), F.floor(F.length(text) / 4)).cast("long")
 
 
 def topic_of(text: Column) -> Column:
-    """The topic whose marks are the most, if they are ``TOPIC_SHARE`` of the words; ties go by name."""
-    words = token_weight(text)
-    scores = [F.struct(F.regexp_count(text, F.lit(mark)).alias("n"), F.lit(name).alias("name")) for name, mark in sorted(TOPICS.items(), reverse=True)]
+    """The topic whose marks pass their share the most; ties go by name; without any, ``NO_TOPIC``."""
+    size = F.greatest(F.lit(1), F.length(text))
+    scores = [F.struct((F.regexp_count(text, F.lit(mark)) * 100.0 / size / need).alias("n"), F.lit(name).alias("name")) for name, (mark, need) in sorted(TOPICS.items())]
     best = F.greatest(*scores)
-    return F.when(best["n"] >= TOPIC_SHARE * words, best["name"]).otherwise(F.lit(NO_TOPIC))
+    return F.when(best["n"] >= 1, best["name"]).otherwise(F.lit(NO_TOPIC))
 
 
 def cells(rows: DataFrame, dims: list[str], weight: str) -> DataFrame:
@@ -139,11 +137,9 @@ def rake_frames(cell: DataFrame, dims: list[str], targets: list[dict], stage: St
     return now.drop("least")
 
 
-def calibrated(docs: DataFrame, dims: dict[str, Column], targets: dict[str, dict] | None = None, text_col: str = "text", limit: int = CELLS, keep: float = KEEP) -> DataFrame:
-    """(*dims, tokens, w, p) of every cell: token sum, raked share of the output, and probability to stay."""
-    stage = Stage(docs.sparkSession, "mixing")
-    names = list(dims)
-    rows = docs.select(*(x.alias(n) for n, x in dims.items()), token_weight(whole_text(text_col)).alias("__weight"))
+def calibrated(rows: DataFrame, names: list[str], targets: dict[str, dict] | None = None, limit: int = CELLS, keep: float = KEEP, stage: Stage | None = None) -> DataFrame:
+    """(*names, tokens, w, p) of every cell of rows (*names, __weight): token sum, raked share of the output, and probability to stay."""
+    stage = stage or Stage(rows.sparkSession, "mixing")
     cell = stage.keep(cells(rows, names, "__weight"), "cells")
     goals = []
     for n in names:
@@ -160,7 +156,7 @@ def calibrated(docs: DataFrame, dims: dict[str, Column], targets: dict[str, dict
     else:
         found.sort(key=lambda r: tuple((r[n] is None, str(r[n])) for n in names))
         w = rake([tuple(r[n] for n in names) for r in found], np.array([r["tokens"] for r in found], float), goals, keep)
-        weighed = docs.sparkSession.createDataFrame([(*(r[n] for n in names), r["tokens"], float(x)) for r, x in zip(found, w, strict=True)], cell.select(*names, "tokens", F.lit(0.0).alias("w")).schema)
+        weighed = rows.sparkSession.createDataFrame([(*(r[n] for n in names), r["tokens"], float(x)) for r, x in zip(found, w, strict=True)], cell.select(*names, "tokens", F.lit(0.0).alias("w")).schema)
     total = cell.agg(F.sum("tokens").alias("t")).first()["t"] or 1.0
     return weighed.withColumn("p", F.least(F.lit(1.0), F.col("w") * F.lit(keep * total) / F.col("tokens")))
 
@@ -170,12 +166,32 @@ def draw(id_col: str, text_col: str, seed: int) -> Column:
     return F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col(id_col), whole_text(text_col)), 11).cast("double") / float(1 << 53)
 
 
-def mixed(docs: DataFrame, dims: dict[str, Column], targets: dict[str, dict] | None = None, id_col: str = "doc_id", text_col: str = "text", seed: int = 9, limit: int = CELLS, keep: float = KEEP) -> DataFrame:
-    """``docs`` with __p (probability to stay) and __stays for every row."""
-    cell = calibrated(docs, dims, targets, text_col, limit, keep)
-    renamed = cell.select(*(F.col(n).alias(f"__{n}") for n in dims), F.col("p").alias("__p"))
-    same = [x.eqNullSafe(F.col(f"__{n}")) for n, x in dims.items()]
+def _facts(docs: DataFrame, dims: dict[str, Column], id_col: str, text_col: str, seed: int) -> DataFrame:
+    return docs.select(F.col(id_col), *(x.alias(f"__{n}") for n, x in dims.items()), token_weight(whole_text(text_col)).alias("__weight"), draw(id_col, text_col, seed).alias("__draw"))
+
+
+def _with_p(rows: DataFrame, on: list[Column], names: list[str], cell: DataFrame, limit: int) -> DataFrame:
+    """Rows with __p of their cell; cells are broadcast below ``limit``."""
+    renamed = cell.select(*(F.col(n).alias(f"__cell_{n}") for n in names), F.col("p").alias("__p"))
     if cell.limit(limit + 1).count() <= limit:
         renamed = F.broadcast(renamed)
-    joined = docs.join(renamed, functools.reduce(lambda a, b: a & b, same), "left").drop(*(f"__{n}" for n in dims))
-    return joined.withColumn("__p", F.coalesce("__p", F.lit(0.0))).withColumn("__stays", draw(id_col, text_col, seed) < F.col("__p"))
+    same = [x.eqNullSafe(F.col(f"__cell_{n}")) for n, x in zip(names, on, strict=True)]
+    joined = rows.join(renamed, functools.reduce(lambda a, b: a & b, same), "left").drop(*(f"__cell_{n}" for n in names))
+    return joined.withColumn("__p", F.coalesce("__p", F.lit(0.0)))
+
+
+def decisions(docs: DataFrame, dims: dict[str, Column], targets: dict[str, dict] | None = None, id_col: str = "doc_id", text_col: str = "text", seed: int = 9, limit: int = CELLS, keep: float = KEEP) -> DataFrame:
+    """(id, *dims, weight, probability, kept) of every row; texts are read once."""
+    stage, names = Stage(docs.sparkSession, "mixing"), list(dims)
+    facts = stage.keep(_facts(docs, dims, id_col, text_col, seed), "facts")
+    cell = calibrated(facts.select(*(F.col(f"__{n}").alias(n) for n in names), "__weight"), names, targets, limit, keep, stage)
+    rows = _with_p(facts, [F.col(f"__{n}") for n in names], names, cell, limit)
+    return rows.select(id_col, *(F.col(f"__{n}").alias(n) for n in names), F.col("__weight").alias("weight"), F.col("__p").alias("probability"), (F.col("__draw") < F.col("__p")).alias("kept"))
+
+
+def mixed(docs: DataFrame, dims: dict[str, Column], targets: dict[str, dict] | None = None, id_col: str = "doc_id", text_col: str = "text", seed: int = 9, limit: int = CELLS, keep: float = KEEP) -> DataFrame:
+    """The rows of ``docs`` that stay; texts are read twice, and never shuffled."""
+    names = list(dims)
+    rows = docs.select(*(x.alias(n) for n, x in dims.items()), token_weight(whole_text(text_col)).alias("__weight"))
+    cell = calibrated(rows, names, targets, limit, keep)
+    return _with_p(docs, list(dims.values()), names, cell, limit).filter(draw(id_col, text_col, seed) < F.col("__p")).select(*docs.columns)

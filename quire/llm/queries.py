@@ -50,8 +50,7 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     dims = {"source": F.col("source"), "lang": F.col("lang"), "topic": mixing.topic_of(whole_text("text"))}
-    rows = mixing.mixed(table(spark, sf_dir, "documents"), dims)
-    return rows.select("doc_id", "source", "lang", mixing.topic_of(whole_text("text")).alias("topic"), mixing.token_weight(whole_text("text")).alias("n_words"), F.col("__p").alias("probability"), F.col("__stays").alias("kept"))
+    return mixing.decisions(table(spark, sf_dir, "documents"), dims)
 
 
 def op10_counterfactual_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
