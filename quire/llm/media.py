@@ -8,9 +8,9 @@ numpy packs and unpacks for all frames at once. ``read_avi`` parses any chunk or
 the index, and ``decode_frame`` any lossless or table layout of one component: tables that are not of
 that even kind, and predictors 1 to 7, go through a bit-by-bit decoder.
 
-Shots: a frame's grey histogram is compared with the one before; a cut is a difference above the mean
-plus ``DEVIATIONS`` standard deviations of the last ``WINDOW`` differences plus ``LEAST``. The threshold so adapts
-to how much the clip moves. Runs between cuts are clips with times in milliseconds.
+Shots: a frame's grey histogram is compared with the one before; a cut is a difference above the median
+of the last ``WINDOW`` differences plus ``DEVIATIONS`` times their median deviation plus ``LEAST``. The threshold so
+adapts to how much the clip moves. Runs between cuts are clips with times in milliseconds.
 
 Defined results: null or empty text is stored as one frame of 255; equal texts give equal media;
 repeated rows stay repeated; other columns are ignored. Damaged media raises ValueError.
@@ -274,13 +274,14 @@ def cuts(samples: np.ndarray) -> np.ndarray:
     flat = samples.reshape(n, -1)
     bins = np.bincount((np.arange(n)[:, None] * BINS + (flat >> 4)).reshape(-1), minlength=n * BINS).reshape(n, BINS)
     d = np.abs(np.diff(bins, axis=0)).sum(1) / (2 * flat.shape[1])
-    total, square = (np.concatenate([[0.0], np.cumsum(x)]) for x in (d, d * d))
-    k = np.arange(n - 1)
-    seen = np.minimum(k, WINDOW)
-    safe = np.maximum(seen, 1)
-    mean = (total[k] - total[k - seen]) / safe
-    deviation = np.sqrt(np.maximum((square[k] - square[k - seen]) / safe - mean * mean, 0))
-    return np.concatenate([[0], 1 + np.flatnonzero(d > mean + DEVIATIONS * deviation + LEAST)])
+    # the differences before each one, at most WINDOW; an earlier cut among them moves a median little
+    before = np.full((n - 1, WINDOW), np.nan)
+    for k in range(1, min(WINDOW, n - 2) + 1):
+        before[k:, k - 1] = d[:-k]
+    middle, spread = np.zeros(n - 1), np.zeros(n - 1)
+    middle[1:] = np.nanmedian(before[1:], axis=1)
+    spread[1:] = np.nanmedian(np.abs(before[1:] - middle[1:, None]), axis=1)
+    return np.concatenate([[0], 1 + np.flatnonzero(d > middle + DEVIATIONS * spread + LEAST)])
 
 
 def analysed(image: bytes) -> tuple[bytes, float, int, list[tuple[int, int]]]:

@@ -36,7 +36,7 @@ ASSIGN_LEAST = 8
 #: A value with so many distinct owners is a copied example.
 EXAMPLE_OWNERS = 3
 #: A live-looking value has at least so many characters, of which so many differ, digits and letters.
-LOOKS = (16, 8)
+LOOKS = (8, 5)
 
 _SPAN = "struct<kind:int,start:bigint,end:bigint,value:string>"
 _FOLD = f"struct<at:bigint,spans:array<{_SPAN}>>"
