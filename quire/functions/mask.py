@@ -6,6 +6,8 @@ Overlaps are resolved and placeholders put in by folds over the sorted matches o
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -43,6 +45,11 @@ def offsets(text: Column, pattern: str, group: bool = False) -> Column:
     return F.when(text.rlike(pattern), found).otherwise(F.array().cast("array<struct<start:int,end:int,hit:string>>"))
 
 
+def _ranked(no: int) -> Callable[[Column], Column]:
+    """A match as (start, negative length, kind, end), the order in which matches are taken."""
+    return lambda x: F.struct(x["start"].alias("start"), (x["start"] - x["end"]).alias("shorter"), F.lit(no).alias("no"), x["end"].alias("end"))
+
+
 def matches(text: Column) -> Column:
     """Matches of all kinds, sorted by start, longest first, then kind."""
     every = []
@@ -50,7 +57,7 @@ def matches(text: Column) -> Column:
         found = offsets(text, "(?U)" + pattern, group)
         if name == "HTML_BLOCK":
             found = F.filter(found, lambda x: ~F.contains(x["hit"], F.lit("```")))
-        every.append(F.transform(found, lambda x, no=no: F.struct(x["start"].alias("start"), (x["start"] - x["end"]).alias("shorter"), F.lit(no).alias("no"), x["end"].alias("end"))))
+        every.append(F.transform(found, _ranked(no)))
     order = F.array_sort(F.concat(*every))
     return F.transform(order, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["no"].alias("no"))).cast(_MATCH)
 

@@ -167,8 +167,8 @@ def env_settings(text: str) -> dict[str, str]:
 
 
 def write_texts(rows: DataFrame, path: str, name: str, text: str) -> None:
-    """A folder for each document, with one text file: (name, text) rows by Spark's text writer."""
-    rows.select(F.col(name).alias("name"), F.col(text).alias("value")).write.mode("overwrite").option("lineSep", "").partitionBy("name").text(path)
+    """A folder for each document, with one text file, closed by a line end: (name, text) rows by Spark's text writer."""
+    rows.select(F.col(name).alias("name"), F.col(text).alias("value")).write.mode("overwrite").partitionBy("name").text(path)
 
 
 def zipped(parts: list[tuple[str, bytes]]) -> bytes:
