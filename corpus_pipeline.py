@@ -23,7 +23,7 @@ from quire.llm.common import Stage, table, whole_text
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
-    return toxicity.scored(docs, model).filter("predicted = 0").select(*docs.columns)
+    return toxicity.scored(docs, model, names=("__score", "__predicted")).filter("__predicted = 0").select(*docs.columns)
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

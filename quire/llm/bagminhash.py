@@ -48,14 +48,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import Stage, whole_text
+from quire.llm.common import Stage, held, whole_text
 from quire.llm.components import components
 from quire.llm.pretoken import segments
 
 WORDS, SIMILAR = 5, 0.8
 SLOTS, ROWS, AGREE = 96, 4, 60
-#: Texts whose points are drawn together.
-GROUP = 64
+#: Texts that are read together, and shingles whose points are drawn together.
+GROUP, TOGETHER = 64, 1 << 17
 _WORD = re.compile(r"\w+")
 _U = np.uint64
 _GOLD = 0x9E3779B97F4A7C15
@@ -72,7 +72,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 class WordHash(dict):
     """64-bit hashes of words, remembered; starts anew when full."""
 
-    LIMIT = 400_000
+    LIMIT = 300_000
 
     def __missing__(self, word: str) -> int:
         if len(self) >= self.LIMIT:
@@ -81,12 +81,11 @@ class WordHash(dict):
         return found
 
 
-_HASHES = WordHash()
-
 
 def words_of(text: str) -> np.ndarray:
     """The hashes of a text's words, in order; long texts are read in segments."""
-    parts = [np.fromiter(map(_HASHES.__getitem__, found), np.uint64, len(found)) for part in segments(text) if (found := _WORD.findall(part.lower()))]
+    hashes = held("words", WordHash)
+    parts = [np.fromiter(map(hashes.__getitem__, found), np.uint64, len(found)) for part in segments(text) if (found := _WORD.findall(part.lower()))]
     return np.concatenate([np.zeros(0, np.uint64), *parts])
 
 
@@ -203,7 +202,9 @@ def sketches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 if len(some):
                     bags = [bag(words[i]) for i in some]
                     n[some] = [c.sum() for _, c in bags]
-                    entries = signatures(bags)
+                    runs = np.cumsum([len(x) for x, _ in bags]) // TOGETHER  # long texts stand alone
+                    cuts = [0, *(np.flatnonzero(np.diff(runs)) + 1), len(bags)]
+                    entries = np.concatenate([signatures(bags[a:b]) for a, b in zip(cuts, cuts[1:])])
                     found, slots = bands(entries).view(np.int64), (entries & _U(0xFFFF)).astype(np.uint16).view(np.int16)
                 lists = []
                 for values in (found, slots):

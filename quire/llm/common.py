@@ -4,10 +4,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
+from typing import TypeVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+T = TypeVar("T")
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the given tables, read by Spark's own reader (any file system)."""
@@ -50,6 +54,21 @@ class Stage:
         path.getFileSystem(conf).delete(path, True)
 
 
+_HELD: dict = {}
+
+
+def held(key: object, make: Callable[[], T]) -> T:
+    """An object that a Python worker keeps from task to task, such as a memo; one at a time.
+
+    Workers live on from stage to stage. When a stage asks for another object, the one before goes, so a
+    worker's memory is that of its largest stage and not of all it has run.
+    """
+    if key not in _HELD:
+        _HELD.clear()
+        _HELD[key] = make()
+    return _HELD[key]
+
+
 def whole_text(column: str = "text") -> Column:
     """The text, with null as the empty text."""
     return F.coalesce(F.col(column).cast("string"), F.lit(""))

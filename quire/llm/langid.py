@@ -195,7 +195,7 @@ class Model:
             return out
         self._learn({x for words in split for x in words})
         for i, words in enumerate(split):
-            if words:
+            if any(map(str.isalpha, "".join(words))):
                 total = self.rows[np.fromiter(map(self.memo.__getitem__, words), np.int64, len(words))].sum(0) + self.priors
                 best = int(total.argmax())
                 out[i] = (self.languages[best], float(1 / np.exp(total - total[best]).sum()))

@@ -12,18 +12,19 @@ the tokenizer's special strings, goes to the library whole.
 
 from __future__ import annotations
 
-import functools
 import os
 import re
 import struct
 import unicodedata
 from collections.abc import Iterator
 
+from quire.llm.common import held
+
 #: Code points below this are split here, other texts by the library.
 SAFE = 0x300
 #: Pre-tokens a memo holds, in two halves: the newer, and the older that is dropped when the newer
 #: is full. About 200 bytes each.
-MEMO = 800_000
+MEMO = 600_000
 #: Texts are split in segments of about so many characters, cut where no pre-token spans the cut.
 SEGMENT = 1 << 20
 
@@ -127,7 +128,6 @@ class BytePairIds:
         return b"".join(b"".join(map(get, BYTE_LEVEL.findall(part))) for part in segments(text))
 
 
-@functools.cache
 def byte_pair_ids(path: str, narrow: bool = False) -> BytePairIds:
-    """One encoder a Python worker: its memo serves all tasks that the worker runs."""
-    return BytePairIds(path, narrow)
+    """One encoder a Python worker: its memo serves all tasks of a stage that the worker runs."""
+    return held(("ids", path, narrow), lambda: BytePairIds(path, narrow))

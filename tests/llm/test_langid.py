@@ -75,6 +75,7 @@ def test_odd_rows(make_docs, odd_docs):
     for i in (0, 1, 2, 3):
         assert (got[i].lang_pred, got[i].score) == ("und", 0.0)
     assert all(got[i].lang_pred in WORDS for i in (4, 9, 10, 11, 12))
+    assert model.predict(["½ ² 12", "½a"])[0] == ("und", 0.0)
     assert L.predicted(odd_docs.limit(0), model, ["doc_id"]).collect() == []
 
 

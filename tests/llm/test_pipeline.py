@@ -69,3 +69,17 @@ def test_run_equals_stages(spark, folder):
     got = sorted((r.doc_id, r.start, r.length) for r in C.run(spark, path).collect())
     assert {x[0] for x in got} == {x[0] for x in want} and sum(x[2] for x in got) == sum(x[2] for x in want)
     assert C.ORACLE_SQL is None
+
+
+def test_odd_rows_and_clashing_columns(spark, folder, odd_docs):
+    from pyspark.sql import functions as F
+
+    path, _ = folder
+    clash = {c: F.lit(1) for c in ("score", "predicted", "key", "root", "spans", "node", "topic", "p", "w", "tokens", "tier", "bucket", "shard")}
+    docs = odd_docs.withColumns(clash)
+    for name, stage in C.STAGES[:-1]:
+        out = stage(spark, docs, path)
+        assert out.columns == docs.columns, name
+        assert out.count() <= docs.count()
+        assert stage(spark, docs.limit(0), path).count() == 0
+    assert C.packing_stage(spark, docs, path).count() >= docs.count()
