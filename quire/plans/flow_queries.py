@@ -7,7 +7,9 @@ tested against hand-made cases.
 from __future__ import annotations
 
 from collections.abc import Callable
+from html import escape
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -447,6 +449,62 @@ def s1_formats(s, d):
     return rows.select("doc_id", S.format_of(F.col("path")).alias("format"))
 
 
+def s4_decoded_pages(s, d):
+    """Pages as bytes in turn of UTF-8 and latin-1, decoded by the first encoding that takes them."""
+    rows = table(s, d, "pages").select("page_id", F.encode(F.regexp_replace("html", r"[^\x00-\x7F]", "?"), "UTF-8").alias("content"))
+    return S.parsed_bytes(rows, S.page_text, "text string", "page_id")
+
+
+def _archives(s, d, parts: Callable[[str], list[tuple[str, bytes]]], rows: DataFrame, key: str, text: str) -> DataFrame:
+    def run(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([S.zipped(parts(x.as_py())) for x in batch.column(1)], pa.binary())], names=[key, "content"])
+
+    return rows.select(key, text).mapInArrow(run, f"{key} long, content binary")
+
+
+_CONTAINER = '<container xmlns="urn:oasis:names:tc:opendocument:xmlns:container"><rootfiles><rootfile full-path="O/p.opf"/></rootfiles></container>'
+_PACKAGE = '<package xmlns="http://www.idpf.org/2007/opf"><manifest><item id="nav" href="nav.xhtml" media-type="application/xhtml+xml" properties="nav"/><item id="c" href="c.xhtml" media-type="application/xhtml+xml"/></manifest><spine><itemref idref="c"/></spine></package>'
+
+
+def _book(html: str) -> list[tuple[str, bytes]]:
+    parts = {"META-INF/container.xml": _CONTAINER, "O/p.opf": _PACKAGE, "O/c.xhtml": html, "O/nav.xhtml": "<nav/>", "mimetype": "application/epub+zip"}
+    return [(k, v.encode()) for k, v in parts.items()]
+
+
+def s9_books(s, d):
+    """Pages put in books' archives and read back."""
+    return S.parsed_bytes(_archives(s, d, _book, table(s, d, "pages"), "page_id", "html"), S.epub_files, S.EPUB_SCHEMA, "page_id")
+
+
+_W = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
+
+
+def _office(text: str) -> list[tuple[str, bytes]]:
+    rows = "".join(f"<w:p><w:r><w:t>{escape(x)}</w:t></w:r></w:p>" for x in text.split("\n"))
+    return [("word/document.xml", f"<w:document {_W}><w:body>{rows}</w:body></w:document>".encode())]
+
+
+def s10_docx(s, d):
+    """Documents put in office files, a paragraph for each line, and read back."""
+    found = S.parsed_bytes(_archives(s, d, _office, table(s, d, "documents"), "doc_id", "text"), S.docx_parts, S.DOCX_SCHEMA, "doc_id")
+    return found.select("doc_id", "part", F.col("index").alias("pos"), "text", "style")
+
+
+def s13_table_scan(s, d):
+    return table(s, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"))
+
+
+def s15_listing(s, d):
+    return S.listing(s, f"{d}/*.parquet").select("name", (F.col("length") > 0).alias("has_bytes"))
+
+
+def k12_snapshot(s, d):
+    path = S.scratch(s)
+    S.snapshot(table(s, d, "conversations"), path)
+    return s.read.parquet(path)
+
+
 def s12_glossary(s, d):
     c = table(s, d, "customer")
     rows = c.select(F.col("c_name").alias("source_term"), F.when(F.col("c_custkey") % 10 > 0, F.upper("c_name")).alias("target_term"), F.when(F.col("c_custkey") % 3 == 0, "False").alias("case_sensitive"), F.lit(None).cast("string").alias("match_type"), F.when(F.col("c_custkey") % 4 == 0, "7").when(F.col("c_custkey") % 4 == 1, "x").alias("priority"), F.when(F.col("c_custkey") % 5 == 0, "TRUE").alias("locked"), F.lit(None).cast("string").alias("note"))
@@ -526,5 +584,10 @@ def oracle_sql() -> dict[str, str]:
         "k4_report_table": "SELECT doc_id % 9 AS project_id, doc_id AS id, '| ' || doc_id || ' | ' || CASE WHEN quality = 1 THEN 'PASS | -' ELSE 'FAIL | EMPTY_OUTPUT; TERM_MISSING' END || ' |' AS row FROM labels",
         "k10_block_texts": f"WITH {_FOLD} SELECT id AS block_id, lower(text) AS text FROM blk",
         "s1_formats": body + "SELECT doc_id, ['markdown', 'plain_text', 'html', 'latex', 'srt', 'vtt', 'ipynb', 'epub', 'docx', 'pdf'][doc_id % 10 + 1] AS format FROM body",
+        "s4_decoded_pages": "SELECT page_id, regexp_replace(html, '[^\\x00-\\x7F]', '?', 'g') AS text FROM pages",
+        "s9_books": "SELECT page_id, 0 AS place, 'O/c.xhtml' AS name, html AS markup, false AS is_nav FROM pages UNION ALL SELECT page_id, 1, 'O/nav.xhtml', '<nav/>', true FROM pages",
+        "s10_docx": "WITH r AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents) SELECT doc_id, 'paragraph' AS part, unnest(range(len(l))) AS pos, unnest(l) AS text, 'Normal' AS style FROM r",
+        "s13_table_scan": "SELECT c_custkey AS id, c_name AS name FROM customer",
+        "k12_snapshot": "SELECT * FROM conversations",
         "s12_glossary": "SELECT c_name AS source_term, upper(c_name) AS target_term, c_custkey % 3 <> 0 AS case_sensitive, 'exact' AS match_type, CASE WHEN c_custkey % 4 = 0 THEN 7 ELSE 100 END AS priority, c_custkey % 5 = 0 AS locked FROM customer WHERE c_custkey % 10 > 0",
     }

@@ -9,6 +9,8 @@ from __future__ import annotations
 import io
 import posixpath
 import re
+import tempfile
+import uuid
 import zipfile
 from collections.abc import Callable, Iterator
 from urllib.parse import unquote
@@ -46,20 +48,37 @@ def decoded(raw: bytes) -> str:
     raise AssertionError("latin-1 decodes any bytes")
 
 
-def _binary(spark: SparkSession, path: str, parser: Callable[[bytes], list[tuple]], schema: str, names: list[str], kinds: list[pa.DataType]) -> DataFrame:
+def parsed_bytes(rows: DataFrame, parser: Callable[[bytes], list[tuple]], schema: str, key: str = "path", content: str = "content") -> DataFrame:
+    """(key, *schema): a row for each that the parser makes of a binary cell; a null cell makes none."""
+    fields = [x.split(" ", 1) for x in schema.split(", ")]
+    names = [key, *(n for n, _ in fields)]
+    kinds = [_ARROW[t] for _, t in fields]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for file, content in zip(*batch.columns, strict=True):
-                rows = parser(content.as_py())
-                columns = zip(*rows, strict=True) if rows else [()] * len(kinds)
-                yield pa.RecordBatch.from_arrays([pa.array([file.as_py()] * len(rows), pa.string()), *(pa.array(c, t) for c, t in zip(columns, kinds, strict=True))], names=["path", *names])
+            for name, raw in zip(*batch.columns, strict=True):
+                found = parser(raw.as_py()) if raw.is_valid else []
+                columns = zip(*found, strict=True) if found else [()] * len(kinds)
+                yield pa.RecordBatch.from_arrays([pa.array([name.as_py()] * len(found), batch.column(0).type), *(pa.array(c, t) for c, t in zip(columns, kinds, strict=True))], names=names)
+
+    some = rows.select(key, content)
+    return some.mapInArrow(run, f"`{key}` {some.schema[key].dataType.simpleString()}, {schema}")
+
+
+_ARROW = {"string": pa.string(), "long": pa.int64(), "boolean": pa.bool_(), "array<string>": pa.list_(pa.string())}
+
+
+def _files(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.format("binaryFile").load(path).select("path", "content")
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, f"path string, {schema}")
+
+def page_text(raw: bytes) -> list[tuple[str]]:
+    return [(decoded(raw),)]
 
 
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
     """(path, text) of HTML files of any of the encodings."""
-    return _binary(spark, path, lambda raw: [(decoded(raw),)], "text string", ["text"], [pa.string()])
+    return parsed_bytes(_files(spark, path), page_text, "text string")
 
 
 def read_notebooks(spark: SparkSession, path: str) -> DataFrame:
@@ -67,6 +86,10 @@ def read_notebooks(spark: SparkSession, path: str) -> DataFrame:
     return read_texts(spark, path)
 
 
+EPUB_SCHEMA = "place long, name string, markup string, is_nav boolean"
+DOCX_SCHEMA = "part string, index long, text string, style string, cells array<string>"
+
+
 def epub_files(raw: bytes) -> list[tuple[int, str, str, bool]]:
     """(place, name, markup, is_nav) of a book's text files: the spine in order, then navigation."""
     with zipfile.ZipFile(io.BytesIO(raw)) as book:
@@ -91,7 +114,7 @@ def epub_files(raw: bytes) -> list[tuple[int, str, str, bool]]:
 
 def read_books(spark: SparkSession, path: str) -> DataFrame:
     """(path, place, name, markup, is_nav)."""
-    return _binary(spark, path, epub_files, "place long, name string, markup string, is_nav boolean", ["place", "name", "markup", "is_nav"], [pa.int64(), pa.string(), pa.string(), pa.bool_()])
+    return parsed_bytes(_files(spark, path), epub_files, EPUB_SCHEMA)
 
 
 _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
@@ -121,8 +144,7 @@ def docx_parts(raw: bytes) -> list[tuple[str, int, str | None, str | None, list[
 
 def read_docx(spark: SparkSession, path: str) -> DataFrame:
     """(path, part, index, text, style, cells)."""
-    kinds = [pa.string(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.string())]
-    return _binary(spark, path, docx_parts, "part string, index long, text string, style string, cells array<string>", ["part", "index", "text", "style", "cells"], kinds)
+    return parsed_bytes(_files(spark, path), docx_parts, DOCX_SCHEMA)
 
 
 _TERM = "source_term string, target_term string, case_sensitive string, match_type string, priority string, locked string, note string"
@@ -180,6 +202,12 @@ def zipped(parts: list[tuple[str, bytes]]) -> bytes:
     return out.getvalue()
 
 
+def scratch(spark: SparkSession) -> str:
+    """A fresh path in the folder that the cluster shares, or in a temporary one where none is set."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.gettempdir()
+    return f"{base.rstrip('/')}/quire-{uuid.uuid4().hex}"
+
+
 def snapshot(df: DataFrame, path: str) -> None:
     """A table as it is."""
     df.write.mode("overwrite").parquet(path)
