@@ -72,7 +72,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 class WordHash(dict):
     """64-bit hashes of words, remembered; starts anew when full."""
 
-    LIMIT = 300_000
+    LIMIT = 200_000
 
     def __missing__(self, word: str) -> int:
         if len(self) >= self.LIMIT:

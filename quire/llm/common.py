@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Callable
 from typing import TypeVar
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -65,6 +66,7 @@ def held(key: object, make: Callable[[], T]) -> T:
     """
     if key not in _HELD:
         _HELD.clear()
+        pa.default_memory_pool().release_unused()
         _HELD[key] = make()
     return _HELD[key]
 

@@ -12,7 +12,7 @@ A rank is an id's place by falling corpus frequency (ties: the smaller id first)
 one byte. Control and data bytes are apart: a reader looks up the lengths of four ids at once in a
 table of 256 rows and gathers the data bytes with numpy, without a loop over ids.
 
-Steps: (1) documents are range-partitioned by id, the only shuffle of their size, and tokenised once,
+Steps: (1) documents are dealt by ranges of ids (cut at quantiles of the column of ids), the only shuffle of their size, and tokenised once,
 into a written table of blocks with plain ids; (2) ids are counted on the way, one table for each partition, into the rank table (at most the vocabulary's size,
 broadcast); (3) each block is coded and written, in place; (4) the blocks are read back and decoded.
 No step holds more than a block and one document. Lost executors only repeat their partitions.
@@ -30,7 +30,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
@@ -109,6 +109,25 @@ def read_block(image: bytes) -> tuple[list[tuple[int | None, int]], np.ndarray]:
     return [(int(x["id"]) if x["known"] else None, int(x["n"])) for x in table], unpack_ids(image[at:end], image[end:], n)
 
 
+def bounds(ids: DataFrame, n: int) -> list[int]:
+    """At most n - 1 ids that cut all ids in ranges of like many rows, from the column of ids alone."""
+    cut = ids.agg(F.percentile_approx("doc_id", [k / n for k in range(1, n)] or [0.5], 20 * n).alias("x")).first()["x"]
+    return sorted(set(cut or [])) if n > 1 else []
+
+
+def _place(doc_id: Column, cuts: list[int]) -> Column:
+    """How many of the sorted cuts are below the id, by halving; a null id comes first."""
+    if not cuts:
+        return F.lit(0)
+    steps = F.array(*(F.lit(1 << k) for k in reversed(range(len(cuts).bit_length()))))
+    every = F.lit(cuts).cast("array<bigint>")
+
+    def step(low: Column, by: Column) -> Column:
+        return F.when((low + by <= len(cuts)) & (F.try_element_at(every, low + by) < doc_id), low + by).otherwise(low)
+
+    return F.when(doc_id.isNull(), 0).otherwise(F.aggregate(steps, F.lit(0), step))
+
+
 def encode_blocks(docs: DataFrame, path: str, end_id: int, id_col: str, text_col: str) -> DataFrame:
     """Blocks of documents in id order: shard, block, first, n_ids, table, width, ids.
 
@@ -148,8 +167,10 @@ def encode_blocks(docs: DataFrame, path: str, end_id: int, id_col: str, text_col
         if block:
             yield row(shard, -1, 0, 0, None, 8, seen.tobytes())
 
+    ids = docs.select(F.col(id_col).cast("long").alias("doc_id"))
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), whole_text(text_col).alias("text"))
-    ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
+    ordered = rows.repartitionById(n, _place(F.col("doc_id"), bounds(ids, n))).sortWithinPartitions("doc_id", F.xxhash64("text"))
     return ordered.mapInArrow(run, "shard long, block long, first long, n_ids long, table binary, width int, ids binary")
 
 

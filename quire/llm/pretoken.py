@@ -24,7 +24,7 @@ from quire.llm.common import held
 SAFE = 0x300
 #: Pre-tokens a memo holds, in two halves: the newer, and the older that is dropped when the newer
 #: is full. About 200 bytes each.
-MEMO = 600_000
+MEMO = 400_000
 #: Texts are split in segments of about so many characters, cut where no pre-token spans the cut.
 SEGMENT = 1 << 20
 
@@ -89,16 +89,20 @@ class PieceIds(dict):
 
     def __init__(self, tokenizer, code: str):
         super().__init__()
-        self.code = code
+        self.code, self.half = code, 3 * MEMO // 2 if code == "H" else MEMO // 2  # narrow ids leave room for more
         self.merges = tokenizer.model.tokenize
         self.letters = {b: ord(c) for b, c in byte_alphabet().items()}
+        self.blank = chr(self.letters[0x20])
         self.older: dict[str, bytes] = {}
 
     def __missing__(self, piece: str) -> bytes:
         if (found := self.older.get(piece)) is None:
-            got = self.merges(piece.encode().decode("latin-1").translate(self.letters))
+            if piece.isascii() and piece.lstrip(" ").isalpha():
+                got = self.merges(piece.replace(" ", self.blank))  # other letters stand for themselves
+            else:
+                got = self.merges(piece.encode().decode("latin-1").translate(self.letters))
             found = struct.pack(f"<{len(got)}{self.code}", *(x.id for x in got))
-        if len(self) >= MEMO // 2:
+        if len(self) >= self.half:
             self.older = dict(self)
             self.clear()
         self[piece] = found

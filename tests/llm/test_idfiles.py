@@ -58,3 +58,15 @@ def test_files_equal_brute_force(odd_docs, monkeypatch):
 def test_empty_table(odd_docs):
     blocks, ranks = idfiles.write_files(odd_docs.limit(0), BYTE)
     assert idfiles.read_files(blocks, ranks).collect() == []
+
+
+def test_ranges(spark):
+    from pyspark.sql import functions as F
+
+    ids = spark.range(1000).select((F.col("id") * 7 % 1000 - 300).alias("doc_id")).unionByName(spark.sql("SELECT cast(null AS bigint) doc_id"))
+    cuts = idfiles.bounds(ids, 7)
+    rows = ids.select("doc_id", idfiles._place(F.col("doc_id"), cuts).alias("p")).collect()
+    assert all(r.p == (0 if r.doc_id is None else sum(c < r.doc_id for c in cuts)) for r in rows)
+    sizes = [sum(r.p == k for r in rows) for k in range(7)]
+    assert max(sizes) < 1.3 * min(sizes)
+    assert idfiles.bounds(ids.limit(0), 7) == [] and idfiles.bounds(ids, 1) == []
