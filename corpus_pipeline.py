@@ -21,6 +21,10 @@ from quire.llm import bagminhash, mixing, packing, secrets, toxicity
 from quire.llm.common import Stage, table, whole_text
 
 
+#: Workers live through all stages and keep some memory of each, so the last one remembers less.
+MEMO = 300_000
+
+
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
     return toxicity.scored(docs, model, names=("__score", "__predicted")).filter("__predicted = 0").select(*docs.columns)
@@ -41,7 +45,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.packed(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    return packing.packed(docs, public_tokenizers.path("byte_bpe_50k.json"), memo=MEMO)
 
 
 STAGES = [("toxicity", toxicity_stage), ("near_dedup", near_dedup_stage), ("secrets", secrets_stage), ("mixing", mixing_stage), ("packing", packing_stage)]

@@ -40,6 +40,8 @@ from quire.llm.pretoken import byte_pair_ids
 
 #: A block closes once it holds this many ids.
 BLOCK = 1 << 18
+#: Pre-tokens that a worker remembers.
+MEMO = 1_400_000
 MAGIC, HEAD = b"QIV1", struct.Struct("<4sIQ")
 DOC = np.dtype([("id", "<i8"), ("known", "u1"), ("n", "<u4")])
 
@@ -138,7 +140,7 @@ def encode_blocks(docs: DataFrame, path: str, end_id: int, id_col: str, text_col
     kinds = [*[pa.int64()] * 4, pa.binary(), pa.int32(), pa.binary()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, shard = byte_pair_ids(path, end_id < 1 << 16), TaskContext.get().partitionId()
+        encoder, shard = byte_pair_ids(path, end_id < 1 << 16, MEMO), TaskContext.get().partitionId()
         width, end = encoder.width, struct.pack(f"<{encoder.code}", end_id)
         block, first, n, docs, parts = 0, 0, 0, [], []
         seen = np.zeros(max(encoder.tokenizer.get_vocab_size(), end_id + 1), np.int64)

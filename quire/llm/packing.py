@@ -144,10 +144,11 @@ def balance(costs: list[int], steps: int) -> list[int]:
     return out
 
 
-def packed(docs: DataFrame, path: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False) -> DataFrame:
+def packed(docs: DataFrame, path: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False, memo: int | None = None) -> DataFrame:
     """A row for each piece: id, start, length, ids_crc32, doc_tokens, sequence_id, offset, tier, step.
 
-    ``keep_ids`` adds the piece's ids as little-endian unsigned 32-bit bytes. sequence_id: partition
+    ``keep_ids`` adds the piece's ids as little-endian unsigned 32-bit bytes; ``memo`` bounds the pre-tokens
+    that a worker remembers (memory against speed, not results). sequence_id: partition
     and number within it. step: partition, group of ``STEP`` sequences of one tier, and step in it.
     """
     end = struct.pack("<I", end_id)
@@ -155,7 +156,7 @@ def packed(docs: DataFrame, path: str, end_id: int = 0, id_col: str = "doc_id",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base = TaskContext.get().partitionId() << 36
-        encoder, rows, made = byte_pair_ids(path), [], 0
+        encoder, rows, made = byte_pair_ids(path, memo=memo), [], 0
         open_steps: dict[int, list[tuple[int, list[Piece]]]] = {}
         groups = 0
 

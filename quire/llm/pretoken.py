@@ -23,8 +23,8 @@ from quire.llm.common import held
 #: Code points below this are split here, other texts by the library.
 SAFE = 0x300
 #: Pre-tokens a memo holds, in two halves: the newer, and the older that is dropped when the newer
-#: is full. About 200 bytes each.
-MEMO = 400_000
+#: is full. About 200 bytes each, so some 200 MB a worker; callers with less memory pass a smaller one.
+MEMO = 1_000_000
 #: Texts are split in segments of about so many characters, cut where no pre-token spans the cut.
 SEGMENT = 1 << 20
 
@@ -87,9 +87,9 @@ class PieceIds(dict):
     come again and again stay.
     """
 
-    def __init__(self, tokenizer, code: str):
+    def __init__(self, tokenizer, code: str, memo: int):
         super().__init__()
-        self.code, self.half = code, 3 * MEMO // 2 if code == "H" else MEMO // 2  # narrow ids leave room for more
+        self.code, self.half = code, max(1, memo // 2)
         self.merges = tokenizer.model.tokenize
         self.letters = {b: ord(c) for b, c in byte_alphabet().items()}
         self.blank = chr(self.letters[0x20])
@@ -115,12 +115,12 @@ class BytePairIds:
     Four bytes an id; with ``narrow`` two, where all ids fit.
     """
 
-    def __init__(self, path: str, narrow: bool = False):
+    def __init__(self, path: str, narrow: bool = False, memo: int | None = None):
         self.tokenizer = load(path)
         self.code = "H" if narrow and self.tokenizer.get_vocab_size() <= 1 << 16 else "I"
         self.width = struct.calcsize(f"<{self.code}")
         self.special = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
-        self.pieces = PieceIds(self.tokenizer, self.code)
+        self.pieces = PieceIds(self.tokenizer, self.code, MEMO if memo is None else memo)
 
     def encode(self, text: str) -> bytes:
         if not is_safe(text) or any(x in text for x in self.special):
@@ -132,6 +132,6 @@ class BytePairIds:
         return b"".join(b"".join(map(get, BYTE_LEVEL.findall(part))) for part in segments(text))
 
 
-def byte_pair_ids(path: str, narrow: bool = False) -> BytePairIds:
+def byte_pair_ids(path: str, narrow: bool = False, memo: int | None = None) -> BytePairIds:
     """One encoder a Python worker: its memo serves all tasks of a stage that the worker runs."""
-    return held(("ids", path, narrow), lambda: BytePairIds(path, narrow))
+    return held(("ids", path, narrow, memo), lambda: BytePairIds(path, narrow, memo))
