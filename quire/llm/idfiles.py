@@ -41,7 +41,7 @@ from quire.llm.pretoken import byte_pair_ids
 #: A block closes once it holds this many ids.
 BLOCK = 1 << 18
 #: Pre-tokens that a worker remembers.
-MEMO = 1_400_000
+MEMO = 1_200_000
 MAGIC, HEAD = b"QIV1", struct.Struct("<4sIQ")
 DOC = np.dtype([("id", "<i8"), ("known", "u1"), ("n", "<u4")])
 
