@@ -289,19 +289,18 @@ def fuzzy_lookup(wanted: DataFrame, known: DataFrame) -> DataFrame:
     none is a nested loop; in a tier the first known text wins.
     """
     first = lambda x: F.array_join(F.slice(F.filter(F.split(x, r"\s+"), lambda w: w != ""), 1, 5), " ")
-    text, half = F.col("text"), F.floor(F.length("text") / 2).cast("int")
+    text = F.col("text")
     long_ = wanted.filter(F.length("text") > 50)
-    sizes = long_.select(half.alias("n")).distinct()
-    tails = long_.select((F.length("text") - half).alias("n")).distinct()
-    heads = known.join(sizes, F.length("source") >= F.col("n")).select("place", "target", F.substring("source", F.lit(1), F.col("n")).alias("key"))
-    ends = known.join(tails, F.length("source") >= F.col("n")).select("place", "target", F.expr("right(source, n)").alias("key"))
+    # halves have 25 characters or more, so their outer 25 are an equality key
+    head, tail = F.expr("left(text, cast(floor(length(text) / 2) as int))"), F.expr("right(text, length(text) - cast(floor(length(text) / 2) as int))")
+    source = F.col("source")
     tiers = [
-        (wanted.select("id", text.alias("key")), known.select("place", "target", F.col("source").alias("key"))),
-        (long_.select("id", F.expr("left(text, cast(floor(length(text) / 2) as int))").alias("key")), heads),
-        (long_.select("id", F.expr("right(text, length(text) - cast(floor(length(text) / 2) as int))").alias("key")), ends),
-        (wanted.select("id", first(text).alias("key")), known.select("place", "target", first(F.col("source")).alias("key"))),
+        (wanted.select("id", text.alias("key"), F.lit("").alias("half")), source, F.lit(True)),
+        (long_.select("id", F.expr("left(text, 25)").alias("key"), head.alias("half")), F.expr("left(source, 25)"), F.startswith(source, F.col("half"))),
+        (long_.select("id", F.expr("right(text, 25)").alias("key"), tail.alias("half")), F.expr("right(source, 25)"), F.endswith(source, F.col("half"))),
+        (wanted.select("id", first(text).alias("key"), F.lit("").alias("half")), first(source), F.lit(True)),
     ]
-    hits = [a.join(b, "key").groupBy("id").agg(F.min(F.struct("place", "target")).alias("x")).select("id", F.lit(k).alias("tier"), "x.target") for k, (a, b) in enumerate(tiers, 1)]
+    hits = [a.join(known.select("place", "target", "source", key.alias("key")), "key").filter(same).groupBy("id").agg(F.min(F.struct("place", "target")).alias("x")).select("id", F.lit(k).alias("tier"), "x.target") for k, (a, key, same) in enumerate(tiers, 1)]
     best = reduce(lambda a, b: a.unionByName(b), hits).groupBy("id").agg(F.min(F.struct("tier", "target")).alias("x"))
     return wanted.join(best, "id", "left").select("id", "text", "x.tier", "x.target")
 
