@@ -1,6 +1,7 @@
 """Operator 9: mixing sources to target weights by iterative proportional fitting.
 
-Token weights are summed by cell (source, language, topic). Raking scales the cells so that the shares
+A document weighs the tokens that the tokenizer of ``TOKENIZER``, which also packs the sequences, makes of its
+whole text. Weights are summed by cell (source, language, topic). Raking scales the cells so that the shares
 of every source, language and topic meet their targets, one dimension after the other, until nothing
 moves. The output is to have ``KEEP`` of all tokens and no document twice, so a cell's share is bounded
 by what it has; a bounded cell gives all it has, and the others of its values make up for it as far as they
@@ -26,11 +27,16 @@ from __future__ import annotations
 import functools
 
 import numpy as np
+import public_tokenizers
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm.common import Stage, whole_text
+from quire.llm.pretoken import byte_pair_ids
 
+#: The tokenizer file that weighs, and the pre-tokens that a worker remembers for it.
+TOKENIZER, MEMO = "byte_bpe_50k.json", 300_000
 CLOSE, ROUNDS, CELLS = 1e-9, 200, 100_000
 #: Share of all tokens that the output is to have.
 KEEP = 0.7
@@ -47,8 +53,15 @@ NO_TOPIC = "prose"
 
 
 def token_weight(text: Column) -> Column:
-    """Estimated tokens, a quarter of the characters, at least one."""
-    return F.greatest(F.lit(1), F.floor(F.length(text) / 4)).cast("long")
+    """The tokens of the whole text, at least one."""
+    path, memo = public_tokenizers.path(TOKENIZER), MEMO
+
+    @F.arrow_udf("long")
+    def count(texts: pa.Array) -> pa.Array:
+        encoder = byte_pair_ids(path, memo=memo)
+        return pa.array([max(1, len(encoder.encode(x.as_py())) // encoder.width) for x in texts], pa.int64())
+
+    return count(text)
 
 
 def topic_of(text: Column) -> Column:

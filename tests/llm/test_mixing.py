@@ -1,10 +1,12 @@
 import collections
 
 import numpy as np
+import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
 from quire.llm import mixing as M
+from quire.llm import pretoken
 from quire.llm.common import Stage
 
 
@@ -96,3 +98,12 @@ def test_topics(spark):
     texts = {"code": "{a;b;c=1;}", "contact": "mail a@b.c now", "listing": "| a | b | c |", "numbers": "12345 67", "prose": "plain words only"}
     rows = spark.createDataFrame(list(texts.items()), "want string, text string")
     assert all(r.want == r.got for r in rows.select("want", M.topic_of(F.col("text")).alias("got")).collect())
+
+
+def test_weight_is_the_tokenizers_count(spark):
+    texts = ["plain words only", "1234567890 " * 20, "if (a[i] != b) { c += 1; }", "\u6f22\u5b57\u3068\u304b\u306a" * 9, "\u00e9\u00e0\u00fc\u00f1 " * 12, "x" * 400, "<|endoftext|> a", "", " "]
+    tokenizer = pretoken.load(public_tokenizers.path(M.TOKENIZER))
+    rows = spark.createDataFrame([(x, max(1, len(tokenizer.encode(x, add_special_tokens=False).ids))) for x in texts], "text string, want long")
+    got = rows.select("text", "want", M.token_weight(F.col("text")).alias("got")).collect()
+    assert len(got) == len(texts) and all(r.want == r.got for r in got)
+    assert any(r.want != max(1, len(r.text) // 4) for r in got)
