@@ -25,6 +25,7 @@ alike. An empty table gives an empty result. Other columns are kept.
 from __future__ import annotations
 
 import functools
+import re
 
 import numpy as np
 import public_tokenizers
@@ -42,13 +43,22 @@ CLOSE, ROUNDS, CELLS = 1e-9, 200, 100_000
 KEEP = 0.7
 #: A cell whose values all have targets keeps at least this part of its share, where targets can't be met together.
 LEAST = 0.2
-#: fixed values: marks of topics in a text, cheap to count; a topic needs this many marks for 100 characters
+#: fixed values: marks of topics in a text; a text has the topic whose marks are the most, by share of words
 TOPICS = {
-    "code": (r"[{};=<>\\]", 2.0),
-    "contact": (r"@|://|www\.", 0.3),
-    "listing": (r"[|#*%&$]", 3.0),
-    "numbers": (r"[0-9]", 10.0),
+    "contact": r"[\w.+-]+@[\w-]+\.\w+|https?://|www\.|\(\d{3}\)|\d{3}[- ]\d{4}",
+    "code": r"[{};=<>\\]|</|\(\)|::|->",
+    "numbers": r"\d+",
+    "listing": r"[|#*%&$]{1,}",
 }
+#: A topic needs this share of a text's words.
+TOPIC_SHARE = 0.1
+#: The patterns above, made cheap: ``contact`` tries an e-mail address only where its run of characters starts or what is left
+#: of one does; without the words in ``LINKS`` only its telephone numbers can match; every match of ``code`` is one of ``CODE``.
+CONTACT = re.compile(r"(?:(?<![\w.+-])|(?<=\w)(?=[.+-])|(?<=\d{3}[- ]\d{4}))[\w.+-]++@[\w-]+\.\w+|https?://|www\.|\(\d{3}\)|\d{3}[- ]\d{4}", re.ASCII)
+PHONE = re.compile(r"[(\d](?:(?<=\()\d{3}\)|(?<=\d)\d{2}[- ]\d{4})", re.ASCII)
+LINKS = ("@", "://", "www.")
+CODE = ("{", "}", ";", "=", "<", ">", "\\", "()", "::")
+NUMBERS, LISTING = re.compile(TOPICS["numbers"], re.ASCII), re.compile(TOPICS["listing"])
 NO_TOPIC = "prose"
 
 
@@ -64,12 +74,25 @@ def token_weight(text: Column) -> Column:
     return count(text)
 
 
+def marks(text: str) -> dict[str, int]:
+    """The matches of each of ``TOPICS`` in a text; the digits of a contact, such as a telephone number, aren't numbers too."""
+    rest, contacts = (CONTACT if any(x in text for x in LINKS) else PHONE).subn(" ", text)
+    return {"contact": contacts, "code": sum(map(text.count, CODE)), "numbers": len(NUMBERS.findall(rest)), "listing": len(LISTING.findall(text))}
+
+
 def topic_of(text: Column) -> Column:
-    """The topic whose marks pass their share the most; ties go by name; without any, ``NO_TOPIC``."""
-    size = F.greatest(F.lit(1), F.length(text))
-    scores = [F.struct((F.regexp_count(text, F.lit(mark)) * 100.0 / size / need).alias("n"), F.lit(name).alias("name")) for name, (mark, need) in sorted(TOPICS.items())]
-    best = F.greatest(*scores)
-    return F.when(best["n"] >= 1, best["name"]).otherwise(F.lit(NO_TOPIC))
+    """The topic whose marks are the most, if they are ``TOPIC_SHARE`` of the words; ties go to the last name; without any, ``NO_TOPIC``."""
+
+    @F.arrow_udf("string")
+    def topic(texts: pa.Array) -> pa.Array:
+        out = []
+        for x in texts:
+            words = max(1, len((value := x.as_py() or "").encode().split()))  # bytes: ASCII white space only
+            n, name = max((n, name) for name, n in marks(value).items())
+            out.append(name if n >= TOPIC_SHARE * words else NO_TOPIC)
+        return pa.array(out, pa.string())
+
+    return topic(text)
 
 
 def cells(rows: DataFrame, dims: list[str], weight: str) -> DataFrame:
@@ -207,4 +230,5 @@ def mixed(docs: DataFrame, dims: dict[str, Column], targets: dict[str, dict] | N
     names = list(dims)
     rows = docs.select(*(x.alias(n) for n, x in dims.items()), token_weight(whole_text(text_col)).alias("__weight"))
     cell = calibrated(rows, names, targets, limit, keep)
-    return _with_p(docs, list(dims.values()), names, cell, limit).filter(draw(id_col, text_col, seed) < F.col("__p")).select(*docs.columns)
+    named = docs.withColumns({f"__dim_{n}": x for n, x in dims.items()})  # a join's condition can't hold an Arrow function
+    return _with_p(named, [F.col(f"__dim_{n}") for n in names], names, cell, limit).filter(draw(id_col, text_col, seed) < F.col("__p")).select(*docs.columns)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quire.llm import mixing as M
 from quire.llm import pretoken
-from quire.llm.common import Stage
+from quire.llm.common import Stage, whole_text
 
 
 @pytest.fixture
@@ -107,3 +107,36 @@ def test_weight_is_the_tokenizers_count(spark):
     got = rows.select("text", "want", M.token_weight(F.col("text")).alias("got")).collect()
     assert len(got) == len(texts) and all(r.want == r.got for r in got)
     assert any(r.want != max(1, len(r.text) // 4) for r in got)
+
+
+def test_topics_of_phones_emails_and_code(spark):
+    texts = {
+        "Ann (555) 123-4567\nBob (555) 765-4321": "contact",
+        "call 555-1234 or 555 9876 today": "contact",
+        "write to ann.b+c@example.org or to bob@example.com": "contact",
+        "one address among many words: ann@example.org " + "and then prose goes on " * 2: "prose",
+        "@cache def f() return g() -> h() std::x @wraps": "code",
+        "see https://example.org/a and www.example.org for more": "contact",
+        "1 22 333 4444 55555 in 6 rows": "numbers",
+        "meet @ noon or @ six, we said": "prose",
+    }
+    rows = spark.createDataFrame(list(texts.items()), "text string, want string")
+    assert [(r.text, r.got) for r in rows.select("text", M.topic_of(F.col("text")).alias("got")).collect()] == list(texts.items())
+
+
+def test_marks_equal_the_patterns(spark):
+    texts = ["a@b.com.x@d.e", "123 4567abc@x.y", "123-4567@x.y", "www.x@y.z", "a@b-c@d.e", "a@b.c@d.e", "https://u@h.com", "(123)a@b.c", "é@b.c ü.a@b.c", "((123)) 1234 5678 123-45678-9012", "<a></a> ->-> ::: ()() >", "|| # ** 12 3\x854\u00a05", "...@a.b --@a.b _@_._", "a.b-c+d@e.f-g@h.i", ""]
+    columns = [F.regexp_count(F.regexp_replace("text", M.TOPICS["contact"], " ") if name == "numbers" else F.col("text"), F.lit(mark)).alias(name) for name, mark in M.TOPICS.items()]
+    got = spark.createDataFrame([(x,) for x in texts], "text string").select("text", *columns, F.regexp_count("text", F.lit(r"\S+")).alias("words")).collect()
+    assert len(got) == len(texts)
+    for r in got:
+        assert M.marks(r.text) == {name: r[name] for name in M.TOPICS}, r.text
+        assert len(r.text.encode().split()) == r.words
+    assert len(M.marks("a" * 200_000 + " @")) == len(M.TOPICS)  # in time that grows with the text, not its square
+
+
+def test_mixed_and_decisions_agree_on_topics(make_docs, dims):
+    docs = make_docs(["call 555-1234 now", "plain words " * 9, "x = f(); y = g();", "| a | b |"] * 60).withColumns({"source": F.lit("s"), "lang": F.lit("en")})
+    dims = dims | {"topic": M.topic_of(whole_text("text"))}
+    kept = {r.doc_id for r in M.decisions(docs, dims).collect() if r.kept}
+    assert {r.doc_id for r in M.mixed(docs, dims).collect()} == kept
