@@ -12,8 +12,9 @@
    expanded in turn, until no new one is found, so a result has no fixed size.
 5. A link is verified by its cosine in double precision. Links inside a shard are counted there; only
    links between homes are sent on, as pairs, and made distinct.
-6. Recall is audited: ``AUDIT`` nodes are compared with all nodes by brute force, in blocks. Below ``RECALL``
-   the shards overlap more and the search runs again.
+6. Recall is audited at every overlap: nodes drawn by hash, whatever was found of them, are compared with all nodes by brute
+   force, in blocks, until they hold ``AUDIT_LINKED`` nodes that have a link, or all nodes are drawn. Below ``RECALL`` the shards
+   overlap more and the search runs again; where the last overlap stays below, all nodes are compared with all, in blocks.
 
 Memory: a task holds one shard; a shard holds about ``SHARD`` nodes times the overlap as long as the
 number of nodes is at most SHARD x CENTRES, and grows with it beyond. Components come from star
@@ -40,6 +41,10 @@ NEAR = 0.9
 SHARD, CENTRES, SAMPLE, OVERLAP, MOST_OVERLAP = 2000, 4096, 20_000, 2, 4
 DEGREE, FAR, CANDIDATES, ALPHA, BEAM, MEDOIDS = 24, 8, 48, 1.2, 32, 8
 AUDIT, RECALL = 256, 0.97
+#: Nodes with a true link that an audit is to hold, and nodes of one block of it at most.
+AUDIT_LINKED, AUDIT_BLOCK = 128, 4096
+#: Nodes of a block of the exact comparison.
+BLOCK = 2000
 #: Pairs of a query and a neighbour that are handled together.
 PAIRS = 200_000
 
@@ -302,33 +307,81 @@ def _links(nodes: DataFrame, centres: np.ndarray, overlap: int, near: float, sta
     return counts, edges
 
 
-def audit_recall(nodes: DataFrame, counts: DataFrame, near: float = NEAR, sample: int = AUDIT, seed: int = 1) -> float:
-    """Found links over links by brute force, of at most ``sample`` nodes that have any (1.0 without links).
-
-    The sample is half of nodes that were found to have links, which are the rarer ones, and half of all.
-    """
-    weighed = nodes.join(counts, "node", "left").select("node", "hash", "v", F.coalesce("n", F.lit(0)).alias("n"))
-    pick = lambda df, s: df.orderBy(F.xxhash64(F.lit(s), "hash"), "node").limit(sample // 2)
-    got = pick(weighed, seed).unionByName(pick(weighed.filter("n > 0"), seed + 1)).select("node", "v", "n").toArrow()
-    if not got.num_rows:
-        return 1.0
-    shared = nodes.sparkSession.sparkContext.broadcast((got.column("node").to_numpy(), unit(_vectors(got.column("v").combine_chunks()))))
+def _true_links(nodes: DataFrame, ids: np.ndarray, queries: np.ndarray, near: float) -> np.ndarray:
+    """The weight of all links of each query, by brute force."""
+    shared = nodes.sparkSession.sparkContext.broadcast((ids, queries))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, queries = shared.value
         total = np.zeros(len(ids), np.int64)
         for batch in batches:
-            for at in range(0, batch.num_rows, 4096):
-                part = batch.slice(at, 4096)
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.slice(at, 1024)
                 hit = unit(_vectors(part.column(2))) @ queries.T >= near
                 hit &= part.column(0).to_numpy()[:, None] != ids
                 total += (hit * part.column(1).to_numpy()[:, None]).sum(0)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(ids)), pa.int64()), pa.array(total, pa.int64())], names=["q", "n"])
 
     truth = {r["q"]: r["n"] for r in nodes.select("node", "weight", "v").mapInArrow(run, "q long, n long").groupBy("q").agg(F.sum("n").alias("n")).collect()}
-    want = np.array([truth.get(k, 0) for k in range(got.num_rows)])
-    have = np.minimum(got.column("n").to_numpy(), want)
-    return float(have.sum() / want.sum()) if want.sum() else 1.0
+    return np.array([truth.get(k, 0) for k in range(len(ids))])
+
+
+def audit_recall(nodes: DataFrame, counts: DataFrame, near: float = NEAR, sample: int = AUDIT, seed: int = 1, linked: int = AUDIT_LINKED) -> float:
+    """Found links over links by brute force, of nodes drawn without regard to what was found (1.0 without links).
+
+    ``sample`` nodes first; as long as fewer than ``linked`` of the drawn have a link, four times as many further ones,
+    compared in blocks, up to all nodes.
+    """
+    weighed = nodes.join(counts, "node", "left").select("node", "hash", "v", F.coalesce("n", F.lit(0)).alias("n"), F.xxhash64(F.lit(seed), "hash").alias("h"))
+    have = want = held = 0
+    last, size = None, sample
+    while held < linked:
+        rest = weighed if last is None else weighed.filter((F.col("h") > last[0]) | ((F.col("h") == last[0]) & (F.col("node") > last[1])))
+        got = rest.orderBy("h", "node").limit(size).select("node", "v", "n", "h").toArrow()
+        if not got.num_rows:
+            break
+        true = _true_links(nodes, got.column("node").to_numpy(), unit(_vectors(got.column("v").combine_chunks())), near)
+        have, want, held = have + int(np.minimum(got.column("n").to_numpy(), true).sum()), want + int(true.sum()), held + int((true > 0).sum())
+        last, size = (got.column("h")[-1].as_py(), got.column("node")[-1].as_py()), min(4 * size, AUDIT_BLOCK)
+    return have / want if want else 1.0
+
+
+def _exact(nodes: DataFrame, near: float, stage: Stage) -> tuple[DataFrame, DataFrame]:
+    """(counts: node, n; edges: a, b) of all nodes compared with all, each pair of blocks in a task."""
+    blocks = max(1, -(-nodes.count() // BLOCK))
+    dealt = nodes.select("node", "weight", "v", F.pmod(F.xxhash64("node"), F.lit(blocks)).alias("block"))
+    other = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))
+    both = dealt.withColumn("other", other).select(F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), "block", "node", "weight", "v")
+
+    def run(table: pa.Table) -> pa.Table:
+        node, weight, block = (table.column(k).to_numpy() for k in ("node", "weight", "block"))
+        x = unit(_vectors(table.column("v").combine_chunks()))
+        one, two = table.column("one")[0].as_py(), table.column("two")[0].as_py()
+        left, right = np.flatnonzero(block == one), np.flatnonzero(block == two)
+        found = [np.zeros((0, 2), np.int64)]
+        for at in range(0, len(left), 512):
+            rows = left[at : at + 512]
+            hit = np.argwhere(x[rows] @ x[right].T >= near)
+            found.append(np.column_stack([rows[hit[:, 0]], right[hit[:, 1]]]))
+        pair = np.concatenate(found)
+        pair = pair[pair[:, 0] < pair[:, 1]] if one == two else pair
+        total = (np.bincount(pair[:, 0], weight[pair[:, 1]], len(node)) + np.bincount(pair[:, 1], weight[pair[:, 0]], len(node))).astype(np.int64)
+        some, root = np.flatnonzero(total), np.arange(len(node))
+        while len(pair):
+            # every node takes the least root of its neighbours, then the root's root
+            new = root.copy()
+            np.minimum.at(new, pair[:, 0], root[pair[:, 1]])
+            np.minimum.at(new, pair[:, 1], root[pair[:, 0]])
+            new = new[new]
+            if (new == root).all():
+                break
+            root = new
+        star = np.flatnonzero(root != np.arange(len(node)))
+        return pa.table({"kind": pa.array(np.repeat([0, 1], [len(some), len(star)]), pa.int32()), "a": pa.array(np.concatenate([node[some], node[star]]), pa.int64()), "b": pa.array(np.concatenate([total[some], node[root[star]]]), pa.int64())})
+
+    found = stage.keep(both.groupBy("one", "two").applyInArrow(run, "kind int, a long, b long"), "exact")
+    counts = stage.keep(found.filter("kind = 0").groupBy(F.col("a").alias("node")).agg(F.sum("b").alias("n")), "exact-counts")
+    return counts, found.filter("kind = 1").select("a", "b")
 
 
 def near_vectors(vectors: DataFrame, near: float = NEAR, id_col: str = "vec_id", vector_col: str = "embedding", shard: int = SHARD) -> DataFrame:
@@ -340,7 +393,10 @@ def near_vectors(vectors: DataFrame, near: float = NEAR, id_col: str = "vec_id",
     overlap = OVERLAP
     while n:
         counts, edges = _links(nodes, centres, overlap, near, stage)
-        if overlap >= min(MOST_OVERLAP, len(centres)) or audit_recall(nodes, counts, near) >= RECALL:
+        if audit_recall(nodes, counts, near) >= RECALL:
+            break
+        if overlap >= min(MOST_OVERLAP, len(centres)):
+            counts, edges = _exact(nodes, near, stage)
             break
         overlap += 1
     if not n:

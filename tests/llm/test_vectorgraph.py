@@ -97,3 +97,29 @@ def test_audit(spark):
     _, nodes = V._nodes(spark.createDataFrame([(i, v, 0) for i, v in rows], SCHEMA), "vec_id", "embedding", stage)
     none = spark.createDataFrame([], "node long, n long")
     assert V.audit_recall(nodes, none) == 0.0
+
+
+def test_audit_sees_links_missed_at_both_ends(spark):
+    from quire.llm.common import Stage
+
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(4000, 32))
+    x[1:240:2] = x[0:240:2] + 0.01 * rng.normal(size=(120, 32))  # 120 pairs among 4,000 vectors
+    _, nodes = V._nodes(spark.createDataFrame([(i, v.astype(np.float32).tolist(), 0) for i, v in enumerate(x)], SCHEMA), "vec_id", "embedding", Stage(spark, "test"))
+    half = nodes.filter("least < 120").select("node", V.F.lit(1).cast("long").alias("n"))
+    assert 0.3 < V.audit_recall(nodes, half) < 0.7
+
+
+def test_exact_where_no_overlap_suffices(spark, monkeypatch):
+    rows = made(np.random.default_rng(9), 300)
+    rows += [(1000, rows[1][1])]
+    links = V._links
+
+    def lossy(*args):
+        counts, edges = links(*args)
+        return counts.limit(0), edges.limit(0)
+
+    monkeypatch.setattr(V, "_links", lossy)
+    monkeypatch.setattr(V, "BLOCK", 70)
+    got = V.near_vectors(spark.createDataFrame([(i, v, 0) for i, v in rows], SCHEMA), shard=100).collect()
+    assert sorted((r.vec_id, r.n_links, r.component_id) for r in got) == sorted(brute(rows))
