@@ -2,23 +2,27 @@
 
 1. Null, zero and non-finite vectors link with nothing; equal vectors are collapsed into one node that
    counts as often as it occurs.
-2. Nodes are dealt to overlapping cluster shards: each to the ``OVERLAP`` nearest of the centres, which
-   are fitted on a bounded sample (``SAMPLE`` vectors, at most ``CENTRES`` centres). The nearest is its home.
-3. Each shard builds a graph: a node's nearest members, robust-pruned (a candidate that an already
+2. Nodes are dealt to overlapping cluster shards: each to the ``OVERLAP`` nearest of the centres, which come from
+   halving a bounded sample (``SAMPLE`` vectors, at most ``CENTRES`` centres), the largest part first, so dense
+   regions get more of them. The nearest shard is a node's home. A shard whose members still exceed twice the target
+   (``shard`` x overlap) is split by hash into parts within it, and what visits the shard visits every part.
+3. Each part builds a graph: a node's nearest members, robust-pruned (a candidate that an already
    chosen neighbour is ``ALPHA`` times nearer to goes) to ``DEGREE``, and ``FAR`` pruned random members, which
    keep the graph connected; edges also lead back. A node's adjacency lists of all its shards are united.
-4. In each shard every node at home there searches the united graph greedily from the shard's
-   medoids with a beam of ``BEAM``, and then expands the range: every node found within the threshold is
-   expanded in turn, until no new one is found, so a result has no fixed size.
-5. A link is verified by its cosine in double precision. Links inside a shard are counted there; only
-   links between homes are sent on, as pairs, and made distinct.
+4. Every node visits its shards: it searches the united graph greedily from the part's medoids with a beam of ``BEAM``,
+   and then expands the range: every node found within the threshold is expanded in turn, until no new one is found, so a
+   result has no fixed size. Where that costs more than reading the part's members, the node is compared with them all.
+5. A link is verified by its cosine in double precision. It is counted where its other end is at home, so no pair is
+   counted twice and none is sent on. Where a link leads to a node of another home, the one node visits the home of the
+   other in the next round, until no round brings a new visit: links of a dense region are followed through all its shards.
 6. Recall is audited at every overlap: nodes drawn by hash, whatever was found of them, are compared with all nodes by brute
-   force, in blocks, until they hold ``AUDIT_LINKED`` nodes that have a link, or all nodes are drawn. Below ``RECALL`` the shards
-   overlap more and the search runs again; where the last overlap stays below, all nodes are compared with all, in blocks.
+   force, in blocks, until they hold ``AUDIT_LINKED`` nodes that have a link, or ``AUDIT_MOST`` or all nodes are drawn. Below
+   ``RECALL`` the overlap is doubled once; below it again, every node is compared with every member of each shard that can
+   hold a link of it: those whose centre is no farther than the threshold's angle and the shard's radius together.
 
-Memory: a task holds one shard; a shard holds about ``SHARD`` nodes times the overlap as long as the
-number of nodes is at most SHARD x CENTRES, and grows with it beyond. Components come from star
-edges inside shards and the links between them.
+Memory: a task holds one part and at most some ``VISITORS`` nodes that visit it, however skewed the vectors are; links are
+counted a batch of queries at a time and not kept. Up to SHARD x CENTRES nodes (8 million) a shard is one part or a few;
+beyond, a node's visits grow with the parts. Components come from one edge for each node and part.
 
 Defined results: vectors of another length than most are invalid (ties: the shorter length counts).
 Null ids form rows of their own; they never name a component. Repeated rows link with each other (equal vectors have cosine 1). An
@@ -27,6 +31,8 @@ empty table gives an empty result. Labels and other columns are ignored.
 
 from __future__ import annotations
 
+import heapq
+import logging
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,13 +46,15 @@ from quire.llm.components import components
 NEAR = 0.9
 SHARD, CENTRES, SAMPLE, OVERLAP, MOST_OVERLAP = 2000, 4096, 20_000, 2, 4
 DEGREE, FAR, CANDIDATES, ALPHA, BEAM, MEDOIDS = 24, 8, 48, 1.2, 32, 8
-AUDIT, RECALL = 256, 0.97
-#: Nodes with a true link that an audit is to hold, and nodes of one block of it at most.
-AUDIT_LINKED, AUDIT_BLOCK = 128, 4096
-#: Nodes of a block of the exact comparison.
-BLOCK = 2000
-#: Pairs of a query and a neighbour that are handled together.
-PAIRS = 200_000
+AUDIT, RECALL = 1024, 0.97
+#: Nodes with a true link that an audit is to hold, nodes of one block of it at most, and of all its blocks.
+AUDIT_LINKED, AUDIT_BLOCK, AUDIT_MOST = 128, 4096, 65_536
+#: Nodes that visit a part in one task, about.
+VISITORS = 16_000
+#: Pairs of a query and a neighbour that are handled together, and queries.
+PAIRS, TOGETHER = 200_000, 512
+
+log = logging.getLogger(__name__)
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -55,26 +63,34 @@ def unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
-def centres_of(sample: np.ndarray, k: int, rounds: int = 4) -> np.ndarray:
-    """``k`` centres at most: sample vectors that are apart, moved to the means of their nearest vectors."""
-    if k <= 1:
-        return sample[:1]
-    chosen = [0]
-    best = sample @ sample[0]
-    for _ in range(k - 1):
-        far = int(np.argmax(best < 0.7)) if (best < 0.7).any() else int(best.argmin())
-        if best[far] > 0.95:
+def _halves(x: np.ndarray) -> np.ndarray:
+    """Which rows go to the second of two parts: the nearer to the second of two means; the part is halved where one is small."""
+    one = x[(x @ x[0]).argmin()]
+    two = x[(x @ one).argmin()]
+    for _ in range(3):
+        second = x @ (two - one) > 0
+        if second.all() or not second.any():
+            break
+        one, two = x[~second].mean(0), x[second].mean(0)
+    along = x @ (two - one)
+    second = along > 0
+    return second if 0.25 <= second.mean() <= 0.75 else np.argsort(np.argsort(along, kind="stable"), kind="stable") >= len(x) // 2
+
+
+def centres_of(sample: np.ndarray, k: int) -> np.ndarray:
+    """The mean directions of ``k`` parts at most of the sample, the largest part halved first."""
+    parts = [(-len(sample), 0, np.arange(len(sample)))]
+    while len(parts) < min(k, len(sample)):
+        size, _, rows = parts[0]
+        if size > -2:
             break
-        chosen.append(far)
-        best = np.maximum(best, sample @ sample[far])
-    centres = sample[chosen]
-    for _ in range(rounds):
-        home = (sample @ centres.T).argmax(1)
-        total = np.zeros_like(centres)
-        np.add.at(total, home, sample)
-        size = np.sqrt((total * total).sum(1))
-        centres = np.where((size > 1e-9)[:, None], total / np.maximum(size, 1e-9)[:, None], centres)
-    return centres
+        second = _halves(sample[rows])
+        heapq.heapreplace(parts, (-int((~second).sum()), 2 * len(parts), rows[~second]))
+        heapq.heappush(parts, (-int(second.sum()), 2 * len(parts) + 1, rows[second]))
+    means = np.stack([sample[rows].mean(0) for _, _, rows in sorted(parts, key=lambda x: x[1])])
+    size = np.sqrt((means * means).sum(1))
+    means[size <= 1e-9] = sample[0]
+    return unit(means)
 
 
 def robust_prune(x: np.ndarray, rows: np.ndarray, candidates: np.ndarray, degree: int, alpha: float = ALPHA) -> np.ndarray:
@@ -149,13 +165,21 @@ class Graph:
         code = np.unique(np.repeat(queries, size) * self.n + self.flat[np.repeat(self.start[nodes], size) + offset])
         return code // self.n, code % self.n
 
-    def search(self, rows: np.ndarray, medoids: np.ndarray, near: float = NEAR) -> tuple[np.ndarray, np.ndarray]:
-        """(row, member) pairs within the threshold, for members ``rows`` as queries."""
-        found = [self._search(rows[at : at + 512], medoids, near) for at in range(0, len(rows), 512)]
-        return tuple(np.concatenate([np.zeros(0, np.int64), *(f[k] for f in found)]) for k in (0, 1))
-
-    def _search(self, rows: np.ndarray, medoids: np.ndarray, near: float) -> tuple[np.ndarray, np.ndarray]:
-        q, n = len(rows), self.n
+    def search(self, queries: np.ndarray, own: np.ndarray, medoids: np.ndarray, near: float = NEAR) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(query, member) pairs within the threshold, a batch of queries at a time; own: a query's own place, or -1."""
+        for at in range(0, len(queries), TOGETHER):
+            a, b = self._search(queries[at : at + TOGETHER], own[at : at + TOGETHER], medoids, near)
+            yield at + a, b
+
+    def scan(self, queries: np.ndarray, own: np.ndarray, near: float = NEAR) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """The same pairs by comparing every query with every member."""
+        for at in range(0, len(queries), TOGETHER):
+            a, b = np.nonzero(queries[at : at + TOGETHER] @ self.x.T >= near)
+            other = b != own[at + a]
+            yield at + a[other], b[other]
+
+    def _search(self, queries: np.ndarray, own: np.ndarray, medoids: np.ndarray, near: float) -> tuple[np.ndarray, np.ndarray]:
+        q, n = len(queries), self.n
         seen = np.zeros((q, n), bool)
         hits: list[np.ndarray] = []
 
@@ -164,7 +188,7 @@ class Graph:
             fresh = ~seen[query, node]
             query, node = query[fresh], node[fresh]
             seen[query, node] = True
-            sims = np.concatenate([np.zeros(0), *(np.einsum("pd,pd->p", self.x[rows[query[k : k + PAIRS]]], self.x[node[k : k + PAIRS]]) for k in range(0, len(query), PAIRS))])
+            sims = np.concatenate([np.zeros(0), *(np.einsum("pd,pd->p", queries[query[k : k + PAIRS]], self.x[node[k : k + PAIRS]]) for k in range(0, len(query), PAIRS))])
             hits.append((query * n + node)[sims >= near])
             return query, node, sims
 
@@ -192,19 +216,28 @@ class Graph:
             query, node = self._around(todo, beam[todo, pick])
 
         # range expansion: all that is within the threshold, and the query's own node, is expanded
-        code = np.unique(np.concatenate([*hits, np.arange(q) * n + rows]))
-        expanded = np.zeros((q, n), bool)
+        member = np.flatnonzero(own >= 0)
+        code = np.unique(np.concatenate([*hits, member * n + own[member]]))
+        expanded, cost, degree = np.zeros((q, n), bool), np.zeros(q), max(1.0, len(self.flat) / n)
         while len(code):
+            # what would cost more than reading all members reads them
+            cost += degree * np.bincount(code // n, minlength=q)
+            whole = cost > n
+            if whole.any():
+                a, b = np.nonzero(queries[whole] @ self.x.T >= near)
+                hits.append(np.flatnonzero(whole)[a] * n + b)
+                code = code[~whole[code // n]]
             expanded[code // n, code % n] = True
             hits_before = len(hits)
             for at in range(0, len(code), PAIRS // 16):
                 part = code[at : at + PAIRS // 16]
                 visit(*self._around(part // n, part % n))
             code = np.unique(np.concatenate([np.zeros(0, np.int64), *hits[hits_before:]]))
-            code = code[~expanded[code // n, code % n]]
+            code = code[~expanded[code // n, code % n] & ~whole[code // n]]
         pair = np.unique(np.concatenate([np.zeros(0, np.int64), *hits]))
-        a, b = rows[pair // n], pair % n
-        return a[a != b], b[a != b]
+        a, b = pair // n, pair % n
+        other = b != own[a]
+        return a[other], b[other]
 
 
 def _nodes(vectors: DataFrame, id_col: str, vector_col: str, stage: Stage) -> tuple[DataFrame, DataFrame]:
@@ -230,81 +263,155 @@ def _sample(nodes: DataFrame, n: int, seed: int) -> np.ndarray:
     return unit(_vectors(got.column(0).combine_chunks())) if got.num_rows else np.zeros((0, 1))
 
 
-def _shards(nodes: DataFrame, centres: np.ndarray, overlap: int) -> DataFrame:
-    """(shard, home, node, weight, v): a row for each node and shard."""
+def _homes(nodes: DataFrame, centres: np.ndarray, overlap: int) -> DataFrame:
+    """(node, weight, v, home, shards, far): a node's nearest shards, and the cosine between it and its home's centre."""
     shared = nodes.sparkSession.sparkContext.broadcast(centres)  # at most CENTRES vectors
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         centres = shared.value
+        m = min(overlap, len(centres))
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
                 part = batch.slice(at, 1024)
                 sims = unit(_vectors(part.column(2))) @ centres.T
-                m = min(overlap, len(centres))
                 best = np.argsort(-sims, axis=1, kind="stable")[:, :m]
-                take = pa.array(np.repeat(np.arange(part.num_rows), m))
-                yield pa.RecordBatch.from_arrays([pa.array(best.reshape(-1), pa.int64()), pa.array(np.tile(np.arange(m) == 0, part.num_rows)), *(c.take(take) for c in part.columns)], names=["shard", "home", "node", "weight", "v"])
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, m * part.num_rows + 1, m), pa.int32()), pa.array(best.reshape(-1), pa.int64()))
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(best[:, 0], pa.int64()), lists, pa.array(sims[np.arange(len(sims)), best[:, 0]])], names=["node", "weight", "v", "home", "shards", "far"])
+
+    return nodes.select("node", "weight", "v").mapInArrow(run, "node long, weight long, v array<double>, home long, shards array<long>, far double")
 
-    return nodes.select("node", "weight", "v").mapInArrow(run, "shard long, home boolean, node long, weight long, v array<double>")
+
+def _by_shard(spark, values: dict[int, tuple], schema: str) -> DataFrame:
+    """A small table with a row for each shard, at most CENTRES of them."""
+    return F.broadcast(spark.createDataFrame([(k, *v) for k, v in sorted(values.items())], schema))
 
 
 def _built(table: pa.Table) -> pa.Table:
     table = table.sort_by("node")
     node = table.column("node").to_numpy()
-    lists = build(unit(_vectors(table.column("v").combine_chunks())), int(table.column("shard")[0].as_py()))
+    lists = build(unit(_vectors(table.column("v").combine_chunks())), int(table.column("unit")[0].as_py()))
     return pa.table({"node": node, "near": pa.array([node[x] for x in lists], pa.list_(pa.int64()))})
 
 
-def _searched(near: float):
+def _joined(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The least node of every node's component, from those before (``root``) and further edges."""
+    pair = np.unique(np.column_stack([root[a], root[b]]), axis=0) if len(a) else np.zeros((0, 2), np.int64)
+    while len(pair := pair[pair[:, 0] != pair[:, 1]]):
+        low, high = pair.min(1), pair.max(1)
+        np.minimum.at(root, high, low)
+        while (root[root] != root).any():
+            root = root[root]
+        pair = np.unique(root[pair], axis=0)
+    return root
+
+
+def _visited(near: float, exact: bool):
     def run(table: pa.Table) -> pa.Table:
-        """Links: kind 0 counts (node, its links' weight), 1 star edges (node, root), 2 links to other homes."""
-        table = table.sort_by("node")
-        node, weight = table.column("node").to_numpy(), table.column("weight").to_numpy()
-        home = table.column("home").to_numpy(zero_copy_only=False)
+        """What visitors (``asks``) find among a part's members: kind 0 counts (node, weight of its links to nodes at home
+        here), 1 edges (node, one of its component), 2 visits to make (node, shard)."""
+        table = table.sort_by([("asks", "ascending"), ("node", "ascending")])
+        asks = table.column("asks").to_numpy(zero_copy_only=False)
+        m, shard = int((~asks).sum()), table.column("shard")[0].as_py()
+        node, home, weight = (table.column(k).to_numpy() for k in ("node", "home", "weight"))
         x = unit(_vectors(table.column("v").combine_chunks()))
+        member, visitor = node[:m], node[m:]
+        at = np.minimum(np.searchsorted(member, visitor), max(m - 1, 0))
+        own = np.where(member[at] == visitor, at, -1) if m else np.full(len(visitor), -1)
         lists = []
-        for cell in table.column("near"):
-            other = cell.values.to_numpy() if cell.as_py() is not None else np.zeros(0, np.int64)
-            at = np.minimum(np.searchsorted(node, other), len(node) - 1)
-            lists.append(np.unique(at[node[at] == other]))
-        rows = np.flatnonzero(home)
-        a, b = Graph(x, lists).search(rows, medoids_of(x), near) if len(rows) else (rows, rows)
-        inside = home[b]
-        # a link found from either end counts for both
-        code = np.unique(np.concatenate([a[inside] * len(node) + b[inside], b[inside] * len(node) + a[inside]]))
-        i, j = code // len(node), code % len(node)
-        total = np.bincount(i, weight[j], len(node)).astype(np.int64)
-        root = np.arange(len(node))
-        while len(i):
-            # every node takes the least root of its neighbours, then the root's root
-            new = root.copy()
-            np.minimum.at(new, i, root[j])
-            new = new[new]
-            if (new == root).all():
-                break
-            root = new
-        star, cross = np.flatnonzero((root != np.arange(len(node))) & home), np.flatnonzero(~inside)
-        kinds = np.repeat([0, 1, 2], [len(rows), len(star), len(cross)])
-        left = np.concatenate([node[rows], node[star], node[a[cross]]])
-        right = np.concatenate([total[rows], node[root[star]], node[b[cross]]])
-        extra = np.concatenate([np.zeros(len(rows) + len(star), np.int64), weight[b[cross]]])
-        back = np.concatenate([np.zeros(len(rows) + len(star), np.int64), weight[a[cross]]])
-        return pa.table({"kind": pa.array(kinds, pa.int32()), "a": pa.array(left, pa.int64()), "b": pa.array(right, pa.int64()), "weight_b": pa.array(extra, pa.int64()), "weight_a": pa.array(back, pa.int64())})
+        if not exact:
+            for cell in table.column("near").slice(0, m):
+                other = cell.values.to_numpy() if cell.as_py() is not None else np.zeros(0, np.int64)
+                place = np.minimum(np.searchsorted(member, other), m - 1)
+                lists.append(np.unique(place[member[place] == other]))
+        graph = Graph(x[:m], lists)
+        found = () if not m or m == len(node) else graph.scan(x[m:], own, near) if exact else graph.search(x[m:], own, medoids_of(x[:m]), near)
+        # places in the component search: members first, then visitors that aren't members
+        spot = np.where(own >= 0, own, m + np.arange(len(visitor)))
+        root, total, routes = np.arange(m + len(visitor)), np.zeros(len(visitor), np.int64), [np.zeros((0, 2), np.int64)]
+        for a, b in found:
+            here = home[b] == shard
+            total += np.bincount(a[here], weight[b[here]], len(visitor)).astype(np.int64)
+            root = _joined(root, spot[a], b)
+            if not exact:
+                there = home[m + a] != shard
+                routes.append(np.unique(np.concatenate([np.column_stack([visitor[a[~here]], home[b[~here]]]), np.column_stack([member[b[there]], home[m + a[there]]])]), axis=0))
+        some, star = np.flatnonzero(total), np.flatnonzero(root != np.arange(len(root)))
+        route = np.unique(np.concatenate(routes), axis=0)
+        kinds = np.repeat([0, 1, 2], [len(some), len(star), len(route)])
+        left = np.concatenate([visitor[some], node[star], route[:, 0]])
+        right = np.concatenate([total[some], node[root[star]], route[:, 1]])
+        return pa.table({"kind": pa.array(kinds, pa.int32()), "a": pa.array(left, pa.int64()), "b": pa.array(right, pa.int64())})
 
     return run
 
 
-def _links(nodes: DataFrame, centres: np.ndarray, overlap: int, near: float, stage: Stage) -> tuple[DataFrame, DataFrame]:
-    """(counts: node, n; edges: a, b), found through the united graph."""
-    placed = stage.keep(_shards(nodes, centres, overlap), f"shards-{overlap}")
-    lists = placed.groupBy("shard").applyInArrow(_built, "node long, near array<long>")
-    united = stage.keep(lists.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near")), f"lists-{overlap}")  # at most one list a shard
-    found = stage.keep(placed.join(united, "node", "left").groupBy("shard").applyInArrow(_searched(near), "kind int, a long, b long, weight_b long, weight_a long"), f"found-{overlap}")
-    cross = found.filter("kind = 2").select("a", "b", F.col("weight_b").alias("w")).unionByName(found.filter("kind = 2").select(F.col("b").alias("a"), F.col("a").alias("b"), F.col("weight_a").alias("w"))).distinct()
-    counts = found.filter("kind = 0").select(F.col("a").alias("node"), F.col("b").alias("n")).unionByName(cross.select(F.col("a").alias("node"), F.col("w").alias("n")))
-    counts = stage.keep(counts.groupBy("node").agg(F.sum("n").alias("n")), f"counts-{overlap}")
-    edges = found.filter("kind = 1").select("a", "b").unionByName(cross.select("a", "b"))
-    return counts, edges
+class Index:
+    """The shards of all nodes at an overlap, and the visits to them."""
+
+    def __init__(self, nodes: DataFrame, centres: np.ndarray, overlap: int, shard: int, near: float, stage: Stage):
+        self.spark, self.stage, self.near, self.name, self.centres = nodes.sparkSession, stage, near, str(overlap), centres
+        self.homes = stage.keep(_homes(nodes, centres, overlap), f"homes-{overlap}")
+        placed = self.homes.select(F.explode("shards").alias("shard"), "node", "weight", "home", "v")
+        bound = 2 * shard * overlap
+        sizes = {r["shard"]: r["count"] for r in placed.groupBy("shard").count().collect()}  # at most CENTRES rows
+        self.parts = {k: 1 if n <= bound else -(-4 * n // (3 * bound)) for k, n in sizes.items()}
+        first = dict(zip(self.parts, np.cumsum([0, *self.parts.values()]).tolist(), strict=False))
+        units = _by_shard(self.spark, {k: (n, first[k]) for k, n in self.parts.items()}, "shard long, parts long, first long")
+        self.units = units
+        members = placed.join(units, "shard").select("shard", (F.col("first") + F.pmod(F.xxhash64("node"), F.col("parts"))).alias("unit"), "node", "weight", "home", "v")
+        self.members = stage.keep(members, f"members-{overlap}")
+        lists = self.members.groupBy("unit").applyInArrow(_built, "node long, near array<long>")
+        united = stage.keep(lists.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near")), f"lists-{overlap}")  # at most one list a shard
+        self.graph = stage.keep(self.members.join(united, "node", "left"), f"graph-{overlap}")
+
+    def visits(self, who: DataFrame, name: str, exact: bool = False) -> DataFrame:
+        """The results (kind, a, b) of visits (node, shard)."""
+        callers = {r["shard"]: r["count"] for r in who.groupBy("shard").count().collect()}  # at most CENTRES rows
+        if not callers:
+            return self.spark.createDataFrame([], "kind int, a long, b long")
+        chunks = _by_shard(self.spark, {k: (-(-n // VISITORS),) for k, n in callers.items()}, "shard long, chunks long")
+        members = self.graph.join(chunks, "shard").withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
+        members = members.select("unit", "chunk", "shard", F.lit(False).alias("asks"), "node", "weight", "home", "v", "near")
+        asks = who.join(chunks, "shard").join(self.units, "shard").join(self.homes.select("node", "home", "v"), "node")
+        asks = asks.withColumn("unit", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("parts") - 1)))
+        asks = asks.select("unit", F.pmod(F.xxhash64("node", F.lit(7)), F.col("chunks")).alias("chunk"), "shard", F.lit(True).alias("asks"), "node", F.lit(0).cast("long").alias("weight"), "home", "v", F.lit(None).cast("array<long>").alias("near"))
+        return self.stage.keep(members.unionByName(asks).groupBy("unit", "chunk").applyInArrow(_visited(self.near, exact), "kind int, a long, b long"), f"found-{self.name}-{name}")
+
+    def links(self) -> tuple[DataFrame, DataFrame]:
+        """(counts: node, n; edges: a, b), found through the united graph, round by round."""
+        now = self.homes.select("node", F.explode("shards").alias("shard"))
+        been, found, k = now, None, 0
+        while True:
+            got = self.visits(now, str(k))
+            found = got if found is None else found.unionByName(got)
+            more = got.filter("kind = 2").select(F.col("a").alias("node"), F.col("b").alias("shard")).distinct()
+            k += 1
+            now = self.stage.keep(more.join(been, ["node", "shard"], "left_anti"), f"visits-{self.name}-{k}")
+            if now.isEmpty():
+                return self._told(found, "graph")
+            been = been.unionByName(now)
+
+    def exact(self) -> tuple[DataFrame, DataFrame]:
+        """The same by comparing every node with every member of each shard that can hold a link of it."""
+        radius = np.zeros(len(self.centres))
+        for r in self.homes.groupBy("home").agg(F.min("far").alias("far")).collect():  # at most CENTRES rows
+            radius[r["home"]] = np.arccos(np.clip(r["far"], -1, 1))
+        shared = self.spark.sparkContext.broadcast((self.centres, radius + np.arccos(self.near) + 1e-6, np.isin(np.arange(len(radius)), list(self.parts))))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            centres, reach, held = shared.value
+            for batch in batches:
+                for at in range(0, batch.num_rows, 1024):
+                    part = batch.slice(at, 1024)
+                    row, shard = np.nonzero((np.arccos(np.clip(unit(_vectors(part.column(1))) @ centres.T, -1, 1)) <= reach) & held)
+                    yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(row)), pa.array(shard, pa.int64())], names=["node", "shard"])
+
+        who = self.stage.keep(self.homes.select("node", "v").mapInArrow(run, "node long, shard long"), f"reach-{self.name}")
+        return self._told(self.visits(who, "exact", exact=True), "exact")
+
+    def _told(self, found: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+        counts = self.stage.keep(found.filter("kind = 0").groupBy(F.col("a").alias("node")).agg(F.sum("b").alias("n")), f"counts-{self.name}-{name}")
+        return counts, found.filter("kind = 1").select("a", "b")
 
 
 def _true_links(nodes: DataFrame, ids: np.ndarray, queries: np.ndarray, near: float) -> np.ndarray:
@@ -330,75 +437,39 @@ def audit_recall(nodes: DataFrame, counts: DataFrame, near: float = NEAR, sample
     """Found links over links by brute force, of nodes drawn without regard to what was found (1.0 without links).
 
     ``sample`` nodes first; as long as fewer than ``linked`` of the drawn have a link, four times as many further ones,
-    compared in blocks, up to all nodes.
+    compared in blocks, up to ``AUDIT_MOST`` or all nodes.
     """
     weighed = nodes.join(counts, "node", "left").select("node", "hash", "v", F.coalesce("n", F.lit(0)).alias("n"), F.xxhash64(F.lit(seed), "hash").alias("h"))
-    have = want = held = 0
+    have = want = held = drawn = 0
     last, size = None, sample
-    while held < linked:
+    while held < linked and drawn < AUDIT_MOST:
         rest = weighed if last is None else weighed.filter((F.col("h") > last[0]) | ((F.col("h") == last[0]) & (F.col("node") > last[1])))
         got = rest.orderBy("h", "node").limit(size).select("node", "v", "n", "h").toArrow()
         if not got.num_rows:
             break
         true = _true_links(nodes, got.column("node").to_numpy(), unit(_vectors(got.column("v").combine_chunks())), near)
         have, want, held = have + int(np.minimum(got.column("n").to_numpy(), true).sum()), want + int(true.sum()), held + int((true > 0).sum())
+        drawn += got.num_rows
         last, size = (got.column("h")[-1].as_py(), got.column("node")[-1].as_py()), min(4 * size, AUDIT_BLOCK)
     return have / want if want else 1.0
 
 
-def _exact(nodes: DataFrame, near: float, stage: Stage) -> tuple[DataFrame, DataFrame]:
-    """(counts: node, n; edges: a, b) of all nodes compared with all, each pair of blocks in a task."""
-    blocks = max(1, -(-nodes.count() // BLOCK))
-    dealt = nodes.select("node", "weight", "v", F.pmod(F.xxhash64("node"), F.lit(blocks)).alias("block"))
-    other = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))
-    both = dealt.withColumn("other", other).select(F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), "block", "node", "weight", "v")
-
-    def run(table: pa.Table) -> pa.Table:
-        node, weight, block = (table.column(k).to_numpy() for k in ("node", "weight", "block"))
-        x = unit(_vectors(table.column("v").combine_chunks()))
-        one, two = table.column("one")[0].as_py(), table.column("two")[0].as_py()
-        left, right = np.flatnonzero(block == one), np.flatnonzero(block == two)
-        found = [np.zeros((0, 2), np.int64)]
-        for at in range(0, len(left), 512):
-            rows = left[at : at + 512]
-            hit = np.argwhere(x[rows] @ x[right].T >= near)
-            found.append(np.column_stack([rows[hit[:, 0]], right[hit[:, 1]]]))
-        pair = np.concatenate(found)
-        pair = pair[pair[:, 0] < pair[:, 1]] if one == two else pair
-        total = (np.bincount(pair[:, 0], weight[pair[:, 1]], len(node)) + np.bincount(pair[:, 1], weight[pair[:, 0]], len(node))).astype(np.int64)
-        some, root = np.flatnonzero(total), np.arange(len(node))
-        while len(pair):
-            # every node takes the least root of its neighbours, then the root's root
-            new = root.copy()
-            np.minimum.at(new, pair[:, 0], root[pair[:, 1]])
-            np.minimum.at(new, pair[:, 1], root[pair[:, 0]])
-            new = new[new]
-            if (new == root).all():
-                break
-            root = new
-        star = np.flatnonzero(root != np.arange(len(node)))
-        return pa.table({"kind": pa.array(np.repeat([0, 1], [len(some), len(star)]), pa.int32()), "a": pa.array(np.concatenate([node[some], node[star]]), pa.int64()), "b": pa.array(np.concatenate([total[some], node[root[star]]]), pa.int64())})
-
-    found = stage.keep(both.groupBy("one", "two").applyInArrow(run, "kind int, a long, b long"), "exact")
-    counts = stage.keep(found.filter("kind = 0").groupBy(F.col("a").alias("node")).agg(F.sum("b").alias("n")), "exact-counts")
-    return counts, found.filter("kind = 1").select("a", "b")
-
-
 def near_vectors(vectors: DataFrame, near: float = NEAR, id_col: str = "vec_id", vector_col: str = "embedding", shard: int = SHARD) -> DataFrame:
     """A row for each vector: vec_id, n_links, component_id (least id of its component), kept."""
     stage = Stage(vectors.sparkSession, "vectorgraph")
     rows, nodes = _nodes(vectors, id_col, vector_col, stage)
     n = nodes.count()
     centres = centres_of(_sample(nodes, SAMPLE, 0), min(CENTRES, -(-n // shard))) if n else np.zeros((0, 1))
-    overlap = OVERLAP
-    while n:
-        counts, edges = _links(nodes, centres, overlap, near, stage)
-        if audit_recall(nodes, counts, near) >= RECALL:
-            break
-        if overlap >= min(MOST_OVERLAP, len(centres)):
-            counts, edges = _exact(nodes, near, stage)
+    for overlap in (OVERLAP, MOST_OVERLAP) if n else ():
+        index = Index(nodes, centres, min(overlap, len(centres)), shard, near, stage)
+        counts, edges = index.links()
+        recall = audit_recall(nodes, counts, near)
+        log.info("recall %.4f at overlap %d", recall, overlap)
+        if recall >= RECALL:
             break
-        overlap += 1
+    else:
+        if n:
+            counts, edges = index.exact()
     if not n:
         return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
     roots = components(edges, stage)

@@ -83,7 +83,8 @@ def test_robust_prune():
 def test_graph_search_finds_ranges():
     rng = np.random.default_rng(2)
     x = V.unit(np.concatenate([rng.normal(size=(300, 24)), rng.normal(size=24) + 0.15 * rng.normal(size=(120, 24))]))
-    a, b = V.Graph(x, V.build(x, 1)).search(np.arange(len(x)), V.medoids_of(x))
+    found = list(V.Graph(x, V.build(x, 1)).search(x, np.arange(len(x)), V.medoids_of(x)))
+    a, b = (np.concatenate([f[k] for f in found]) for k in (0, 1))
     truth = np.argwhere((x @ x.T >= V.NEAR) & ~np.eye(len(x), dtype=bool))
     assert len(a) >= 0.99 * len(truth)
     assert set(zip(a.tolist(), b.tolist())) <= set(map(tuple, truth.tolist()))
@@ -113,13 +114,50 @@ def test_audit_sees_links_missed_at_both_ends(spark):
 def test_exact_where_no_overlap_suffices(spark, monkeypatch):
     rows = made(np.random.default_rng(9), 300)
     rows += [(1000, rows[1][1])]
-    links = V._links
+    links, tried = V.Index.links, []
 
-    def lossy(*args):
-        counts, edges = links(*args)
+    def lossy(self):
+        tried.append(self.name)
+        counts, edges = links(self)
         return counts.limit(0), edges.limit(0)
 
-    monkeypatch.setattr(V, "_links", lossy)
-    monkeypatch.setattr(V, "BLOCK", 70)
-    got = V.near_vectors(spark.createDataFrame([(i, v, 0) for i, v in rows], SCHEMA), shard=100).collect()
+    monkeypatch.setattr(V.Index, "links", lossy)
+    got = V.near_vectors(spark.createDataFrame([(i, v, 0) for i, v in rows], SCHEMA), shard=20).collect()
+    assert tried == ["2", "4"]  # audited, and below the least recall, at both
     assert sorted((r.vec_id, r.n_links, r.component_id) for r in got) == sorted(brute(rows))
+
+
+def test_a_third_in_one_dense_cluster(spark, monkeypatch):
+    rng = np.random.default_rng(10)
+    x = rng.normal(size=(6000, 32))
+    x[::3] = 6 * x[0] / np.linalg.norm(x[0]) + 0.25 * rng.normal(size=(2000, 32))  # 2,000 of 6,000, most of them alike
+    x[1::30] = x[2::30] + 0.02 * rng.normal(size=(200, 32))
+    sizes, sent, init = [], [], V.Index.__init__
+
+    def kept(self, *args):
+        init(self, *args)
+        sizes.extend(r["count"] for r in self.members.groupBy("unit").count().collect())
+
+    monkeypatch.setattr(V.Index, "__init__", kept)
+    monkeypatch.setattr(V.Index, "exact", lambda self: sent.append(1))
+    got = {r.vec_id: r for r in V.near_vectors(spark.createDataFrame([(i, v.astype(np.float32).tolist(), 0) for i, v in enumerate(x)], SCHEMA), shard=150).collect()}
+    assert max(sizes) <= 2 * 150 * 2 and not sent  # twice the target, and no fall-back
+    unit = V.unit(x.astype(np.float32).astype(float))
+    true = (unit @ unit.T >= V.NEAR).sum(1) - 1
+    found = np.array([got[i].n_links for i in range(len(x))])
+    assert (found <= true).all() and found.sum() >= 0.97 * true.sum() and true.sum() > 1_000_000
+    lone = true == 1
+    assert lone.sum() >= 300 and found[lone].sum() >= 0.97 * lone.sum()
+
+
+def test_visitors_in_chunks(spark, monkeypatch):
+    monkeypatch.setattr(V, "VISITORS", 40)
+    rows = made(np.random.default_rng(12), 300)
+    got = V.near_vectors(spark.createDataFrame([(i, v, 0) for i, v in rows], SCHEMA), shard=60).collect()
+    assert sum(r.n_links for r in got) >= 0.97 * sum(r[1] for r in brute(rows))
+
+
+def test_clashing_columns(spark):
+    rows = [(i, [1.0, float(i % 2)], "x", 1, 2, True) for i in range(6)]
+    got = V.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>, node string, n_links long, shard int, kept boolean")).collect()
+    assert sorted((r.vec_id, r.n_links, r.component_id) for r in got) == [(i, 2, i % 2) for i in range(6)]
