@@ -95,12 +95,14 @@ def _spans_sql() -> str:
     joined = f"coalesce(string_agg({names} || ':' || start || ':' || end_, ',' ORDER BY start, kind, end_){{}}, '')"
     return f"""WITH d AS (SELECT doc_id, source, lang, coalesce(text, '') AS t FROM documents),
 base AS ({kind(0, assign, 2, secrets.ASSIGN_LEAST)} UNION ALL {kind(1, secrets.ACCESS, 0, 0)} UNION ALL {kind(2, secrets.HEX, 0, 0)}),
-owners AS (SELECT v, count(DISTINCT source) AS n FROM base JOIN d USING (doc_id) GROUP BY 1),
-mark AS (SELECT DISTINCT doc_id, CASE WHEN n >= {secrets.EXAMPLE_OWNERS} THEN 4 ELSE 3 END AS kind, end_ - length(v) AS start, end_ FROM base JOIN owners USING (v) WHERE n >= {secrets.EXAMPLE_OWNERS} OR (length(v) >= {looks[0]} AND len(list_distinct(string_split(v, ''))) >= {looks[1]} AND regexp_matches(v, '[0-9]') AND regexp_matches(v, '[A-Za-z]'))),
+owners AS (SELECT v, count(DISTINCT source) AS n, count(DISTINCT concat_ws('/', source, lang)) AS r FROM base JOIN d USING (doc_id) GROUP BY 1),
+most AS (SELECT doc_id, max(n) AS most_owners, max(r) AS most_repos FROM base JOIN owners USING (v) GROUP BY 1),
+mark AS (SELECT DISTINCT doc_id, CASE WHEN n >= {secrets.EXAMPLE_OWNERS} OR r >= {secrets.EXAMPLE_REPOS} THEN 4 ELSE 3 END AS kind, end_ - length(v) AS start, end_ FROM base JOIN owners USING (v) WHERE n >= {secrets.EXAMPLE_OWNERS} OR r >= {secrets.EXAMPLE_REPOS} OR (length(v) >= {looks[0]} AND len(list_distinct(string_split(v, ''))) >= {looks[1]} AND regexp_matches(v, '[0-9]') AND regexp_matches(v, '[A-Za-z]'))),
 every AS (SELECT doc_id, kind, start, end_ FROM base UNION ALL SELECT * FROM mark)
 SELECT d.doc_id, {', '.join(f"count(*) FILTER (kind = {k}) AS n_{n}" for k, n in enumerate(secrets.KINDS))},
- sha256({joined.format(' FILTER (kind < 3)')}) AS base_sha256, {joined.format('')} AS spans
-FROM d LEFT JOIN every USING (doc_id) GROUP BY d.doc_id"""
+ sha256({joined.format(' FILTER (kind < 3)')}) AS base_sha256, {joined.format('')} AS spans,
+ coalesce(any_value(most_owners), 0) AS most_owners, coalesce(any_value(most_repos), 0) AS most_repos
+FROM d LEFT JOIN every USING (doc_id) LEFT JOIN most USING (doc_id) GROUP BY d.doc_id"""
 
 
 def oracle_sql() -> dict[str, str]:

@@ -69,3 +69,35 @@ def test_empty_and_null_owner(make_docs):
     assert S.scan(docs.limit(0), F.col("source"), F.col("lang")).collect() == []
     clash = make_docs(TEXTS).withColumns({"spans": F.lit(1), "key": F.lit(2), "hash": F.lit(3), "owner": F.lit(4), "marks": F.lit(5)})
     assert S.redact(clash, F.col("source"), F.col("lang")).columns == clash.columns
+
+
+def test_repositories_make_examples(spark):
+    copied, own = "token=Zx81Kq02Lm93Pw74", "token=Qa1Ws2Ed3Rf4Tg5Y"
+    rows = [(i, copied, "one owner", f"repo {i % S.EXAMPLE_REPOS}") for i in range(12)] + [(20 + i, own, "one owner", f"repo {i % 2}") for i in range(12)]
+    got = {r.doc_id: r for r in S.scan(spark.createDataFrame(rows, "doc_id long, text string, owner string, repo string"), F.col("owner"), F.col("repo")).collect()}
+    assert all(got[i].n_example == 1 and (got[i].most_owners, got[i].most_repos) == (1, S.EXAMPLE_REPOS) for i in range(12))
+    assert all(got[20 + i].n_live == 1 and (got[20 + i].most_owners, got[20 + i].most_repos) == (1, 2) for i in range(12))
+
+
+def test_owners_of_a_larger_corpus(make_docs):
+    docs = make_docs(TEXTS)
+    one = docs.filter("doc_id = 10")
+    assert S.redact(one, F.col("source"), F.col("lang")).collect()[0].text == "token=[SECRET]"
+    assert S.redact(one, F.col("source"), F.col("lang"), corpus=docs).collect()[0].text == TEXTS[10]
+
+
+def test_odd_rows_and_clashing_columns(odd_docs):
+    clash = odd_docs.withColumns({c: F.lit(1) for c in ("spans", "key", "hits", "hash", "owner", "repo", "kind", "start", "n_owners", "all", "live")})
+    rows = S.scan(clash, F.col("source"), F.col("lang")).collect()
+    assert len(rows) == odd_docs.count() and all(r.n_assign == r.n_hex == r.n_live == 0 and r.spans == "" for r in rows)
+    assert S.redact(clash, F.col("source"), F.col("lang")).count() == len(rows)
+
+
+def test_many_matches_in_one_long_text(make_docs):
+    text = " ".join(f"token=x{i:07d}Ab{i:032x}" for i in range(1, 4001)) + " end"
+    docs = make_docs([text, None, text]).unionByName(make_docs([text], 0))
+    rows = S.scan(docs, F.col("source"), F.col("lang")).collect()
+    spans = ",".join(f"{S.KINDS[k]}:{a}:{b}" for a, k, b in base(text))
+    assert [r.base_sha256 == hashlib.sha256(spans.encode()).hexdigest() for r in rows].count(True) == 3
+    got = {r.doc_id: r.text for r in S.redact(docs, F.col("source"), F.col("lang")).collect()}
+    assert got[1] is None and got[2] == " ".join(["token=[SECRET]"] * 4000) + " end"
