@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -20,12 +23,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; only where none is set, an own one."""
+    """The folder named by ``spark.checkpoint.dir``; where none is set, an own one, which only a local master can share."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="quire-shared-")
+        atexit.register(shutil.rmtree, found.removeprefix("file://"), ignore_errors=True)
         spark.sparkContext.setCheckpointDir(found)
-        spark.conf.set("quire.shared.dir", found)
     return found
 
 
@@ -33,11 +38,11 @@ class Stage:
     """Tables written to the shared folder, so that no later step depends on an executor's disk.
 
     Every table gets a fresh name: a retry of a job never meets the files of another run.
-    ``drop`` removes a table that nothing reads any more.
+    ``drop`` removes a table that nothing reads any more, ``only`` all but those that a result still reads.
     """
 
     def __init__(self, spark: SparkSession, name: str):
-        self.spark = spark
+        self.spark, self.names = spark, set()
         self.root = f"{shared_dir(spark).rstrip('/')}/quire-{name}-{uuid.uuid4().hex}"
 
     def path(self, name: str) -> str:
@@ -45,11 +50,17 @@ class Stage:
 
     def keep(self, df: DataFrame, name: str, packed: bool = True) -> DataFrame:
         """Write ``df`` and return the written table; without ``packed``, bytes that don't compress as they are."""
+        self.names.add(name)
         writer = df.write.mode("overwrite")
         (writer if packed else writer.option("compression", "none").option("parquet.enable.dictionary", "false")).parquet(self.path(name))
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
+    def only(self, *names: str) -> None:
+        for name in sorted(self.names.difference(names)):
+            self.drop(name)
+
     def drop(self, name: str) -> None:
+        self.names.discard(name)
         jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
         path = jvm.org.apache.hadoop.fs.Path(self.path(name))
         path.getFileSystem(conf).delete(path, True)
