@@ -13,9 +13,9 @@ small sources and languages without ruling out large ones. A target above what i
 lowered to that, and one for a value without tokens left out; the other targets take up the rest. A value without a target gets none and its
 documents go; null is a value like any other.
 
-Cells are as many as there are combinations of values that occur, and values are categories, not keys:
-the table of cells is collected only after its count is checked against ``CELLS``; above that, the
-same raking runs as DataFrame steps. Tokens of a cell are summed before they are shuffled, so a hot
+Cells are as many as there are combinations of values that occur: the table of cells is collected only after its
+count is checked against ``CELLS``; above that, the same raking, with the same rounds and the same end, runs as DataFrame steps,
+targets included, so a dimension may have any number of values. Tokens of a cell are summed before they are shuffled, so a hot
 source costs one row a task.
 
 Null or empty texts weigh one token, so every document belongs to a cell. Repeated rows are drawn
@@ -148,52 +148,77 @@ def rake(keys: list[tuple], tokens: np.ndarray, targets: list[dict], keep: float
     return w
 
 
-def rake_frames(cell: DataFrame, dims: list[str], targets: list[dict], stage: Stage, keep: float = KEEP, rounds: int = 30) -> DataFrame:
-    """``rake`` in DataFrame steps: (*dims, tokens, w); for more cells than the driver may hold."""
+def goal_frames(cell: DataFrame, name: str, target: dict | None, keep: float, stage: Stage) -> DataFrame:
+    """(value, goal): ``attainable`` of the target, or of the square roots of the shares, in DataFrame steps."""
     spark = cell.sparkSession
+    have = cell.groupBy(F.col(name).alias("value")).agg(F.sum("tokens").alias("t"))
     total = cell.agg(F.sum("tokens").alias("t")).first()["t"] or 1.0
-    least = F.lit(LEAST) * F.col("tokens") / total
-    for dim, target in zip(dims, targets, strict=True):
-        goals = [v for v, x in target.items() if x > 0]
-        least = F.when(F.coalesce(F.col(dim).isin([v for v in goals if v is not None]), F.lit(None in goals)), least).otherwise(0.0)
-    now = stage.keep(cell.select("*", least.alias("least"), (F.col("tokens") / total).alias("w")), "rake-0")
+    if target is None:
+        have = have.withColumn("want", F.sqrt(F.col("t") / total))
+    else:
+        given = spark.createDataFrame([(v, max(0.0, float(x))) for v, x in target.items()], f"given {cell.schema[name].dataType.simpleString()}, want double")
+        have = have.join(given, F.col("value").eqNullSafe(F.col("given")), "left").select("value", "t", F.coalesce("want", F.lit(0.0)).alias("want"))
+    now, k = stage.keep(have.select("value", "want", (F.col("t") / total / keep).alias("most"), F.lit(None).cast("double").alias("goal")), f"goal-{name}-0"), 0
+    while True:
+        sums = now.agg(F.coalesce(F.sum("goal"), F.lit(0.0)).alias("full"), F.coalesce(F.sum(F.when(F.col("goal").isNull(), F.col("want"))), F.lit(0.0)).alias("want")).first()
+        left = 1.0 - sums["full"]
+        if sums["want"] <= 0 or left <= 0:
+            return now.select("value", F.coalesce("goal", F.lit(0.0)).alias("goal"))
+        scaled = F.col("want") * (left / sums["want"])
+        over = F.col("goal").isNull() & (scaled > F.col("most"))
+        if now.filter(over).isEmpty():
+            return now.select("value", F.coalesce("goal", scaled).alias("goal"))
+        k += 1
+        now = stage.keep(now.withColumn("goal", F.when(over, F.col("most")).otherwise(F.col("goal"))), f"goal-{name}-{k}")
+
+
+def rake_frames(cell: DataFrame, dims: list[str], goals: list[DataFrame], stage: Stage, keep: float = KEEP, rounds: int = ROUNDS) -> DataFrame:
+    """``rake`` in DataFrame steps: (*dims, tokens, w); for more cells than the driver may hold. goals: (value, goal) of each dimension."""
+    total = cell.agg(F.sum("tokens").alias("t")).first()["t"] or 1.0
+    now, least = cell, F.lit(LEAST) * F.col("tokens") / total
+    for d, (dim, goal) in enumerate(zip(dims, goals, strict=True)):
+        now = now.join(goal.select(F.col("value").alias("__value"), F.col("goal").alias(f"__goal_{d}")), F.col(dim).eqNullSafe(F.col("__value")), "left").drop("__value")
+        now = now.withColumn(f"__goal_{d}", F.coalesce(f"__goal_{d}", F.lit(0.0)))
+        least = F.when(F.col(f"__goal_{d}") > 0, least).otherwise(0.0)
+    now = stage.keep(now.select("*", least.alias("__least"), (F.col("tokens") / total).alias("w")), "rake-0")
     for k in range(1, rounds + 1):
-        first = now
-        for d, (dim, target) in enumerate(zip(dims, targets, strict=True)):
-            goal = spark.createDataFrame([(v, float(x)) for v, x in target.items()], f"`__{dim}` {cell.schema[dim].dataType.simpleString()}, goal double")
-            have = now.groupBy(dim).agg(F.sum("w").alias("have")).join(goal, F.col(dim).eqNullSafe(F.col(f"__{dim}")), "left")
-            have = stage.keep(have.select(F.col(dim).alias(f"__{dim}"), F.coalesce("goal", F.lit(0.0)).alias("goal"), "have"), f"have-{k}-{d}")
-            factor = F.when(F.col("have") > 0, F.col("goal") / F.col("have")).otherwise(0.0)
-            scaled = F.least(F.greatest(F.col("w") * factor, F.col("least")), F.col("tokens") / total / keep)
-            now = stage.keep(now.join(have, F.col(dim).eqNullSafe(F.col(f"__{dim}"))).select(*dims, "tokens", "least", scaled.alias("w")), f"rake-{k}-{d}")
-        same = [F.col(n).eqNullSafe(F.col(f"__{n}")) for n in dims]
-        moved = now.join(first.select(*(F.col(n).alias(f"__{n}") for n in dims), F.col("w").alias("was")), functools.reduce(lambda a, b: a & b, same))
-        if (moved.agg(F.max(F.abs(F.col("w") - F.col("was"))).alias("x")).first()["x"] or 0) <= CLOSE:
+        now = now.withColumn("__was", F.col("w"))
+        for d, dim in enumerate(dims):
+            have = now.groupBy(F.col(dim).alias("__value")).agg(F.sum("w").alias("__have"))
+            factor = F.when(F.col("__have") > 0, F.col(f"__goal_{d}") / F.col("__have")).otherwise(0.0)
+            scaled = F.least(F.greatest(F.col("w") * factor, F.col("__least")), F.col("tokens") / total / keep)
+            now = stage.keep(now.join(have, F.col(dim).eqNullSafe(F.col("__value"))).withColumn("w", scaled).drop("__value", "__have"), f"rake-{k}-{d}")
+        for d in range(len(dims) - 1):
+            stage.drop(f"rake-{k}-{d}")
+        if k > 1:
+            stage.drop(f"rake-{k - 1}-{len(dims) - 1}")
+        moved = now.agg(F.max(F.abs(F.col("w") - F.col("__was"))).alias("x")).first()["x"] or 0
+        now = now.drop("__was")
+        if moved <= CLOSE:
             break
-    return now.drop("least")
+    return now.select(*dims, "tokens", "w")
 
 
 def calibrated(rows: DataFrame, names: list[str], targets: dict[str, dict] | None = None, limit: int = CELLS, keep: float = KEEP, stage: Stage | None = None) -> DataFrame:
     """(*names, tokens, w, p) of every cell of rows (*names, __weight): token sum, raked share of the output, and probability to stay."""
     stage = stage or Stage(rows.sparkSession, "mixing")
     cell = stage.keep(cells(rows, names, "__weight"), "cells")
-    goals = []
-    for n in names:
-        found = cell.groupBy(n).agg(F.sum("tokens").alias("t")).limit(limit + 1).collect()  # a category's values, counted against the bound
-        if len(found) > limit:
-            raise ValueError(f"{n} has more than {limit} values: give a coarser category")
-        total = sum(r["t"] for r in found)
-        shares = {r[n]: r["t"] / total for r in found}
-        target = targets[n] if targets and n in targets else flatten(shares)
-        goals.append(attainable(target, {v: x / keep for v, x in shares.items()}))
     found = cell.limit(limit + 1).collect()
+    total = cell.agg(F.sum("tokens").alias("t")).first()["t"] or 1.0
+    given = targets or {}
     if len(found) > limit:
+        goals = [goal_frames(cell, n, given.get(n), keep, stage) for n in names]
         weighed = rake_frames(cell, names, goals, stage, keep)
     else:
         found.sort(key=lambda r: tuple((r[n] is None, str(r[n])) for n in names))
+        goals = []
+        for n in names:
+            shares: dict = {}
+            for r in found:
+                shares[r[n]] = shares.get(r[n], 0.0) + r["tokens"] / total
+            goals.append(attainable(given[n] if n in given else flatten(shares), {v: x / keep for v, x in shares.items()}))
         w = rake([tuple(r[n] for n in names) for r in found], np.array([r["tokens"] for r in found], float), goals, keep)
         weighed = rows.sparkSession.createDataFrame([(*(r[n] for n in names), r["tokens"], float(x)) for r, x in zip(found, w, strict=True)], cell.select(*names, "tokens", F.lit(0.0).alias("w")).schema)
-    total = cell.agg(F.sum("tokens").alias("t")).first()["t"] or 1.0
     return weighed.withColumn("p", F.least(F.lit(1.0), F.col("w") * F.lit(keep * total) / F.col("tokens")))
 
 

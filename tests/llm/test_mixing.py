@@ -1,4 +1,5 @@
 import collections
+import re
 
 import numpy as np
 import public_tokenizers
@@ -7,7 +8,7 @@ from pyspark.sql import functions as F
 
 from quire.llm import mixing as M
 from quire.llm import pretoken
-from quire.llm.common import Stage, whole_text
+from quire.llm.common import whole_text
 
 
 @pytest.fixture
@@ -45,22 +46,80 @@ def docs_of(make_docs):
     return docs.withColumns({"source": F.when(F.col("doc_id") % 3 > 0, "big").otherwise(F.concat(F.lit("s"), F.col("doc_id") % 5)), "lang": F.when(F.col("doc_id") % 7 == 0, None).when(F.col("doc_id") % 2 == 0, "en").otherwise("fr")})
 
 
-def test_frames_equal_arrays(spark, make_docs):
+@pytest.mark.parametrize("targets", [None, {"source": {"big": 0.2, "s1": 0.5, "s3": 0.2, "none": 0.1}}])
+def test_frames_equal_arrays(make_docs, targets):
     rows = docs_of(make_docs).select(F.col("source"), F.col("lang"), F.length("text").alias("__weight"))
-    a = {(r.source, r.lang): (r.w, r.p) for r in M.calibrated(rows, ["source", "lang"]).collect()}
-    cell = M.cells(rows, ["source", "lang"], "__weight")
-    found = cell.collect()
-    goals = []
-    for n in ("source", "lang"):
-        sums = collections.Counter()
-        for r in found:
-            sums[r[n]] += r["tokens"]
-        total = sum(sums.values())
-        shares = {k: v / total for k, v in sums.items()}
-        goals.append(M.attainable(M.flatten(shares), {k: v / M.KEEP for k, v in shares.items()}))
-    b = {(r.source, r.lang): r.w for r in M.rake_frames(cell, ["source", "lang"], goals, Stage(spark, "test"), rounds=12).collect()}
+    a = {(r.source, r.lang): (r.w, r.p) for r in M.calibrated(rows, ["source", "lang"], targets).collect()}
+    b = {(r.source, r.lang): (r.w, r.p) for r in M.calibrated(rows, ["source", "lang"], targets, limit=3).collect()}  # more cells, and values, than the limit
     assert b.keys() == a.keys()
-    assert all(b[k] == pytest.approx(a[k][0], abs=1e-3) for k in a)
+    assert all(b[k] == pytest.approx(a[k], abs=1e-6) for k in a)
+
+
+def simply(rows, dims, keep):
+    """Probabilities of (values, weight) rows by plain dictionaries."""
+    cell = collections.Counter()
+    for values, weight in rows:
+        cell[values] += weight
+    total = sum(cell.values())
+    have = [collections.Counter() for _ in dims]
+    for values, t in cell.items():
+        for d, v in enumerate(values):
+            have[d][v] += t / total
+    goals = []
+    for shares in have:
+        want, full = {v: x**0.5 for v, x in shares.items()}, {}
+        while True:
+            rest = sum(x for v, x in want.items() if v not in full)
+            now = {v: full.get(v, want[v] / rest * (1 - sum(full.values())) if rest else 0) for v in want}
+            over = {v: shares[v] / keep for v in want if v not in full and now[v] > shares[v] / keep}
+            if not over:
+                break
+            full |= over
+        goals.append(now)
+    w = {c: t / total for c, t in cell.items()}
+    for _ in range(M.ROUNDS):
+        last = dict(w)
+        for d, goal in enumerate(goals):
+            sums = collections.Counter()
+            for c, x in w.items():
+                sums[c[d]] += x
+            w = {c: min(max(x * goal[c[d]] / sums[c[d]], M.LEAST * cell[c] / total), cell[c] / total / keep) for c, x in w.items()}
+        if max(abs(w[c] - last[c]) for c in w) <= M.CLOSE:
+            break
+    return {c: min(1.0, w[c] * keep * total / cell[c]) for c in w}, goals, w
+
+
+def test_query_equals_brute_force(spark, tmp_path, monkeypatch):
+    from quire.llm import queries
+
+    kinds = ["plain words only here and there ", "call 555-1234 or ann@x.org ", "x = f(); y = {g}; ", "| a | b ", "12345 678 "]
+    rows = [(i, kinds[i * i % 5] * (1 + i % 37), ["en", "de", None][i % 7 % 3], f"src{i % 4 if i % 2 else 0}", 1) for i in range(500)] + [(900, None, "en", "src1", 0), (901, "", None, None, 0)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in queries.op9_source_mixing(spark, str(tmp_path)).collect()}
+    tokenizer = pretoken.load(public_tokenizers.path(M.TOKENIZER))
+
+    def topic(text):
+        best = max((len(re.findall(p, re.sub(M.TOPICS["contact"], " ", text) if n == "numbers" else text, re.ASCII)), n) for n, p in M.TOPICS.items())
+        return best[1] if best[0] >= M.TOPIC_SHARE * max(1, len(text.split())) else M.NO_TOPIC
+
+    facts = {i: ((source, lang, topic(text or "")), max(1, len(tokenizer.encode(text or "", add_special_tokens=False).ids))) for i, text, lang, source, _ in rows}
+    p, goals, w = simply(facts.values(), ("source", "lang", "topic"), M.KEEP)
+    draws = {r.doc_id: r.x for r in spark.read.parquet(f"{tmp_path}/documents.parquet").select("doc_id", M.draw("doc_id", "text", 9).alias("x")).collect()}
+    assert got.keys() == facts.keys()
+    for i, (values, weight) in facts.items():
+        r = got[i]
+        assert ((r.source, r.lang, r.topic), r.weight) == (values, weight)
+        assert r.probability == pytest.approx(p[values], abs=1e-6) and r.kept == (draws[i] < r.probability)
+    # every marginal within a hundredth of its target
+    for d, goal in enumerate(goals):
+        for v, want in goal.items():
+            assert abs(sum(x for c, x in w.items() if c[d] == v) - want) <= 0.01
+
+
+def test_clashing_columns(odd_docs, dims):
+    clash = odd_docs.withColumns({c: F.lit(1) for c in ("weight", "probability", "kept", "topic", "p", "w", "tokens", "goal", "value")})
+    assert M.decisions(clash, dims).count() == clash.count()
+    assert M.mixed(clash, dims).columns == clash.columns
 
 
 def test_decisions_and_rows_agree(make_docs, dims):
