@@ -19,14 +19,14 @@ probability of 3e-6. Equal word sequences are collapsed first and count as one t
 
 1. every text of a bucket is compared with the bucket's leader, the text that meets the most others in
    all its buckets (as the original of a group of copies does), and the links' components are formed: a group of thousands of copies costs one comparison for each copy and band;
-2. in buckets whose texts are in several components, each text outside the bucket's main component
-   meets the texts of other components. A pair is taken up in the first bucket it shares, and is
-   compared if it can be similar: shingles that no other text of such buckets has bound the overlap
-   from above (an exact bound, so passages that thousands of else unlike texts share cost nothing), and
-   ``AGREE`` of the slots must agree (a similar pair has fewer with a probability below 1e-5).
+2. texts of buckets whose texts are in several components are joined by the elements of their multisets (a shingle and the
+   number of its occurrence), by exact bounds only. Elements that no other of these texts has bound the overlap from above, and drop
+   most. Of the others an element order, the rarest first, is fixed: two texts of similarity 0.8 share one of the first
+   n - ceil(0.8 n) + 1 of n elements, so only those are met, and how many they share and where bounds their overlap; passages that thousands of else unlike texts
+   share come last and cost nothing. A pair of texts of unlike components that also shares a bucket is compared.
 
 A pair that is skipped otherwise is one that is already connected, so components lose no candidate
-link. Every comparison is exact, on whole texts.
+link. Every comparison counts the shingles of whole texts, by 64-bit hashes.
 
 Hot buckets: bucket counts and leaders are aggregated before they are shuffled; the joins that bring
 texts together are plain joins, which adaptive execution splits.
@@ -47,13 +47,14 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from quire.llm.common import Stage, held, whole_text
 from quire.llm.components import components
 from quire.llm.pretoken import segments
 
 WORDS, SIMILAR = 5, 0.8
-SLOTS, ROWS, AGREE = 96, 4, 60
+SLOTS, ROWS = 96, 4
 #: Texts that are read together, and shingles whose points are drawn together.
 GROUP, TOGETHER = 64, 1 << 17
 _WORD = re.compile(r"\w+")
@@ -183,12 +184,11 @@ def text_key(text: str, words: np.ndarray) -> bytes:
 
 
 def sketches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, fingerprint, key, n, bands, slots) of every row.
+    """(doc_id, fingerprint, key, n, bands) of every row.
 
-    fingerprint: xxhash64 of the text, to find the row again; n: the multiset's size; slots: 16 bits of
-    each slot's entry.
+    fingerprint: xxhash64 of the text, to find the row again; n: the multiset's size.
     """
-    names = ["doc_id", "fingerprint", "key", "n", "bands", "slots"]
+    names = ["doc_id", "fingerprint", "key", "n", "bands"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -198,22 +198,20 @@ def sketches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 words = list(map(words_of, texts))
                 some = np.flatnonzero([len(x) > 0 for x in words])
                 n = np.zeros(len(words), np.int64)
-                found, slots = np.zeros((0, SLOTS // ROWS), np.int64), np.zeros((0, SLOTS), np.int16)
+                found = np.zeros((0, SLOTS // ROWS), np.int64)
                 if len(some):
                     bags = [bag(words[i]) for i in some]
                     n[some] = [c.sum() for _, c in bags]
                     runs = np.cumsum([len(x) for x, _ in bags]) // TOGETHER  # long texts stand alone
                     cuts = [0, *(np.flatnonzero(np.diff(runs)) + 1), len(bags)]
                     entries = np.concatenate([signatures(bags[a:b]) for a, b in zip(cuts, cuts[1:])])
-                    found, slots = bands(entries).view(np.int64), (entries & _U(0xFFFF)).astype(np.uint16).view(np.int16)
-                lists = []
-                for values in (found, slots):
-                    ends = np.cumsum([0, *np.where(n > 0, values.shape[1], 0)])
-                    lists.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values.reshape(-1))))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(list(map(text_key, texts, words)), pa.binary()), pa.array(n), *lists], names=names)
+                    found = bands(entries).view(np.int64)
+                ends = np.cumsum([0, *np.where(n > 0, found.shape[1], 0)])
+                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(found.reshape(-1)))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(list(map(text_key, texts, words)), pa.binary()), pa.array(n), lists], names=names)
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(whole_text(text_col)).alias("fingerprint"), whole_text(text_col).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, fingerprint long, key binary, n long, bands array<long>, slots array<short>")
+    return rows.mapInArrow(run, "doc_id long, fingerprint long, key binary, n long, bands array<long>")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, stage: Stage, name: str) -> DataFrame:
@@ -238,45 +236,52 @@ def _verified(pairs: DataFrame, texts: DataFrame, stage: Stage, name: str) -> Da
     return found
 
 
-def _own_shingles(texts: DataFrame) -> DataFrame:
-    """(node, own): the multiset elements of each text that no other of the texts has."""
+def _elements(texts: DataFrame) -> DataFrame:
+    """(node, element) of the multiset elements of each text: a shingle and the number of its occurrence."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
                 shingles, counts = bag(words_of(batch.column(1)[k].as_py()))
-                # an element: a shingle and the number of its occurrence
                 number = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
                 elements = mix(np.repeat(shingles, counts) ^ mix(number.astype(np.uint64)))
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(elements), batch.column(0)[k].as_py(), np.int64)), pa.array(elements.view(np.int64))], names=["node", "element"])
 
-    elements = texts.select("node", "text").mapInArrow(run, "node long, element long")
-    own = elements.groupBy("element").agg(F.count("*").alias("k"), F.min("node").alias("node")).filter("k = 1")
-    return own.groupBy("node").agg(F.count("*").alias("own"))
+    return texts.select("node", "text").mapInArrow(run, "node long, element long")
+
+
+#: Of n elements so many come first that two texts of similarity ``SIMILAR`` share one of them.
+_FIRST = f"n - ceil(cast({SIMILAR} as decimal(3,2)) * n) + 1"
 
 
 def _crossing(members: DataFrame, root: DataFrame, nodes: DataFrame, texts: DataFrame, stage: Stage) -> DataFrame:
-    """Pairs (a, b) that share a bucket but no component yet, can be similar, and weren't compared."""
-    placed = members.join(root, "node", "left").select("bucket", "a", "node", F.coalesce("root", "node").alias("root"))
-    parts = stage.keep(placed.groupBy("bucket", "root").agg(F.count("*").alias("n")), "parts")
-    main = parts.groupBy("bucket").agg(F.max(F.struct("n", "root")).alias("main"), F.count("*").alias("k")).filter("k > 1").select("bucket", F.col("main.root").alias("main"))
-    mixed = stage.keep(placed.join(stage.keep(main, "main"), "bucket"), "mixed")
-    some = stage.keep(mixed.select("node").distinct(), "mixed-nodes")
-    own = stage.keep(_own_shingles(texts.join(some, "node", "left_semi")), "own")
-    facts = stage.keep(nodes.join(some, "node", "left_semi").join(own, "node", "left").select("node", "n", (F.col("n") - F.coalesce("own", F.lit(0))).alias("shared"), "bands", "slots"), "facts")
-    mixed = stage.keep(mixed.join(facts, "node"), "mixed-facts")
-    mixed = mixed.select("bucket", "a", "main", F.struct("node", "root", "n", "shared", "bands", "slots").alias("x"))
-    outside = mixed.filter("x.root <> main").select("bucket", "a", "x")
-    others = mixed.select("bucket", "main", F.col("x").alias("y"))
-    # overlap >= 0.8 x union means overlap >= 4/9 of both sizes
-    conditions = [
-        "x.root <> y.root and x.node <> a and y.node <> a and (y.root = main or x.node < y.node)",
-        "9 * least(x.shared, y.shared) >= 4 * (x.n + y.n)",
-        "element_at(filter(zip_with(x.bands, y.bands, (p, q) -> if(p = q, p, null)), p -> p is not null), 1) = bucket",
-        f"size(filter(zip_with(x.slots, y.slots, (p, q) -> p = q), p -> p)) >= {AGREE}",
-    ]
-    pairs = outside.join(others, "bucket").filter(" and ".join(f"({c})" for c in conditions))
-    return stage.keep(pairs.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")), "crossing")
+    """Pairs (a, b) that share a bucket but no component yet, and can be similar."""
+    placed = members.join(root, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root"))
+    mixed = stage.keep(placed.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("bucket"), "mixed")
+    some = stage.keep(placed.join(mixed, "bucket").select("node", "root").distinct(), "mixed-nodes")
+    # elements of one text only: those leave a text without a partner if they are as many as the first ones
+    own = _elements(texts.join(some, "node", "left_semi")).groupBy("element").agg(F.count("*").alias("k"), F.min("node").alias("node")).filter("k = 1").groupBy("node").agg(F.count("*").alias("own"))
+    facts = nodes.join(some, "node").join(own, "node", "left").filter(f"coalesce(own, 0) < {_FIRST}")
+    facts = stage.keep(facts.select("node", "root", "n", "bands"), "facts")
+    elements = stage.keep(_elements(texts.join(facts, "node", "left_semi")), "elements")
+    shared = elements.groupBy("element").agg(F.count("*").alias("k")).filter("k > 1")
+    shared = stage.keep(elements.join(shared, "element").select("node", "element", "k"), "shared-elements")
+    # the first elements of a text are its own ones, then the shared ones by number of texts
+    rank = F.row_number().over(Window.partitionBy("node").orderBy("k", "element"))
+    alone = F.col("n") - F.count("*").over(Window.partitionBy("node"))
+    first = shared.join(facts.select("node", "root", "n"), "node").select("node", "root", "n", "element", rank.alias("rank"), alone.alias("alone"))
+    first = stage.keep(first.withColumn("place", F.col("rank") + F.col("alone")).filter(f"place <= {_FIRST}").select("node", "root", "n", "element", "place"), "first")
+    x, y = (first.select("element", *(F.col(c).alias(f"{c}_{k}") for c in ("node", "root", "n", "place"))) for k in "ab")
+    pairs = x.join(y, "element").filter("node_a < node_b and root_a <> root_b and 5 * least(n_a, n_b) >= 4 * greatest(n_a, n_b)")
+    pairs = pairs.groupBy(F.col("node_a").alias("a"), F.col("node_b").alias("b")).agg(F.count("*").alias("c"), *(F.max(k).alias(k) for k in ("n_a", "n_b", "place_a", "place_b")))
+    # all that they share are those first ones and what comes after the last of them; similar texts share 4/9 of both sizes
+    pairs = pairs.filter("9 * (c + least(n_a - place_a, n_b - place_b)) >= 4 * (n_a + n_b)").select("a", "b")
+    one, two = (facts.select(F.col("node").alias(k), F.col("bands").alias(f"bands_{k}")) for k in "ab")
+    met = stage.keep(pairs, "crossing-all").join(one, "a").join(two, "b").filter("arrays_overlap(bands_a, bands_b)")
+    found = stage.keep(met.select("a", "b"), "crossing")
+    for name in ("mixed", "elements", "shared-elements", "first", "crossing-all"):
+        stage.drop(name)
+    return found
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", stage: Stage | None = None) -> DataFrame:
@@ -284,7 +289,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sta
     stage = stage or Stage(docs.sparkSession, "bagminhash")
     rows = stage.keep(sketches(docs, id_col, text_col), "rows")
     # one row for each different text; ids are drawn once, the written table fixes them
-    nodes = rows.groupBy("key").agg(F.first(F.struct("n", "bands", "slots")).alias("x"), F.min(F.struct("doc_id", "fingerprint")).alias("who"))
+    nodes = rows.groupBy("key").agg(F.first(F.struct("n", "bands")).alias("x"), F.min(F.struct("doc_id", "fingerprint")).alias("who"))
     nodes = stage.keep(nodes.select(F.monotonically_increasing_id().alias("node"), "key", "x.*", "who"), "nodes")
     members = nodes.select(F.explode("bands").alias("bucket"), "node")
     sizes = stage.keep(members.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1"), "sizes")
@@ -309,13 +314,15 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sta
     if not more.isEmpty():
         root = stage.keep(components(links.unionByName(more), stage, "cc2"), "roots2")
     roots = nodes.join(root, "node", "left").select("key", F.coalesce("root", "node").alias("root"))
-    return rows.join(stage.keep(roots, "roots"), "key").select("doc_id", "fingerprint", "root")
+    out = stage.keep(rows.join(stage.keep(roots, "roots"), "key").select("doc_id", "fingerprint", "root"), "classes")
+    stage.only("classes")
+    return out
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Of every row: doc_id, class_id (smallest id of its class), n_class (rows of it), kept."""
     stage = Stage(docs.sparkSession, "bagminhash")
-    rows = stage.keep(classes(docs, id_col, text_col, stage), "classes")
+    rows = classes(docs, id_col, text_col, stage)
     each = stage.keep(rows.groupBy("root").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("n_class")), "each")
     return rows.join(each, "root").select("doc_id", "class_id", "n_class", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept"))
 
@@ -323,7 +330,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one row of each class: the one of the smallest id (null last, then by text)."""
     stage = Stage(docs.sparkSession, "bagminhash")
-    rows = stage.keep(classes(docs, id_col, text_col, stage), "classes")
+    rows = classes(docs, id_col, text_col, stage)
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "fingerprint")
     best = rows.groupBy("root").agg(F.min(order).alias("best"))
     # rows of equal id and text in one class: only one of them stays

@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 
 from quire.llm import bagminhash as M
+from quire.llm import pretoken
 from quire.llm.common import Stage
 from quire.llm.components import components
 
@@ -119,3 +120,31 @@ def test_components(spark):
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long"), Stage(spark, "test")).collect()}
     assert got == {x: find(x) for x in root}
     assert components(spark.createDataFrame([], "a long, b long"), Stage(spark, "test")).collect() == []
+
+
+def test_hot_bucket_of_half_alike_texts(make_docs):
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choices("abcdefghij", k=5))
+    base = [word() for _ in range(120)]
+    texts = [" ".join(base)]
+    for _ in range(120):  # each about 0.6 to 0.85 like the base, and like no other
+        near = list(base)
+        for at in rng.sample(range(len(near)), rng.randint(2, 7)):
+            near[at] = word()
+        texts.append(" ".join(near))
+    docs = make_docs(texts)
+    got = sorted((r.doc_id, r.class_id, r.n_class) for r in M.near_duplicates(docs).collect())
+    assert got == sorted(brute([(r.doc_id, r.text) for r in docs.collect()]))
+
+
+def test_clashing_columns(make_docs):
+    docs = make_docs(["one two three four five six", "one two three four five six", None]).withColumns({c: M.F.lit(1) for c in ("node", "bands", "bucket", "root", "fingerprint", "key", "n", "a", "b", "element", "__n")})
+    assert sorted((r.doc_id, r.class_id) for r in M.near_duplicates(docs).collect()) == [(0, 0), (1, 0), (2, 2)]
+    assert M.deduplicated(docs.drop("__n")).columns == docs.drop("__n").columns
+
+
+def test_long_texts_in_segments(monkeypatch):
+    text = "Word other, third. " * 4000 + "end"
+    whole = M.words_of(text)
+    monkeypatch.setattr(M, "segments", lambda x: pretoken.segments(x, 1000))
+    assert len(list(M.segments(text))) > 50 and (M.words_of(text) == whole).all()
