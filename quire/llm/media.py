@@ -5,21 +5,25 @@ a ``movi`` list with one JPEG for each frame, and an ``idx1`` index. Frames are
 process (SOF3, predictor 1, one Huffman table), so every sample comes back. The table gives the
 difference category s a code of 9 - s bits; a code and its s extra bits then always take 9 bits, which
 numpy packs and unpacks for all frames at once. ``read_avi`` parses any chunk order by the RIFF sizes and
-the index, and ``decode_frame`` any lossless or table layout of one component: tables that are not of
-that even kind, and predictors 1 to 7, go through a bit-by-bit decoder.
+the index. ``decode_frame`` reads any lossless layout of one component: tables that are not of
+that even kind, and predictors 1 to 7, go through a bit-by-bit decoder. Frames of the baseline process, as cameras write them,
+are decoded by Huffman codes a symbol at a time and the inverse cosine transform over all blocks at once, with any
+sampling of the components, restart markers, and the process' usual tables where a frame has none; their samples are the first component's, the luminance.
 
 Shots: a frame's grey histogram is compared with the one before; a cut is a difference above the median
 of the last ``WINDOW`` differences plus ``DEVIATIONS`` times their median deviation plus ``LEAST``. The threshold so
 adapts to how much the clip moves. Runs between cuts are clips with times in milliseconds.
 
 Defined results: null or empty text is stored as one frame of 255; equal texts give equal media;
-repeated rows stay repeated; other columns are ignored. Damaged media raises ValueError.
+repeated rows stay repeated; other columns are ignored. Null media has null digests and no clips. Damaged media raises
+ValueError in ``analysed``; in a column it has no clips, null payload digests and the feature ``damaged``.
 """
 
 from __future__ import annotations
 
 import functools
 import hashlib
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -100,6 +104,138 @@ def encode_frames(samples: np.ndarray) -> list[bytes]:
     return [HEADER + row.tobytes().replace(b"\xff", b"\xff\0") + END for row in packed]
 
 
+#: fixed values: the usual Huffman tables of motion-JPEG (codes of each length, then symbols), by class and component
+USUAL = {
+    0x00: "00010501010101010100000000000000" "000102030405060708090a0b",
+    0x01: "00030101010101010101010000000000" "000102030405060708090a0b",
+    0x10: "0002010303020403050504040000017d"
+    "01020300041105122131410613516107227114328191a1082342b1c11552d1f02433627282090a161718191a25262728292a3435363738393a434445464748494a"
+    "535455565758595a636465666768696a737475767778797a838485868788898a92939495969798999aa2a3a4a5a6a7a8a9aab2b3b4b5b6b7b8b9bac2c3c4c5c6c7c8c9ca"
+    "d2d3d4d5d6d7d8d9dae1e2e3e4e5e6e7e8e9eaf1f2f3f4f5f6f7f8f9fa",
+    0x11: "00020102040403040705040400010277"
+    "0001020311040521310612415107617113223281081442" "91a1b1c109233352f0156272d10a162434e125f11718191a262728292a35363738393a434445464748494a"
+    "535455565758595a636465666768696a737475767778797a82838485868788898a92939495969798999aa2a3a4a5a6a7a8a9aab2b3b4b5b6b7b8b9bac2c3c4c5c6c7c8c9ca"
+    "d2d3d4d5d6d7d8d9dae2e3e4e5e6e7e8e9eaf2f3f4f5f6f7f8f9fa",
+}
+
+
+def _codes(table: bytes) -> tuple[dict[tuple[int, int], int], int]:
+    """Symbols by (length, code) of a table, and the bytes it takes."""
+    codes, code, k = {}, 0, 16
+    for n, count in enumerate(table[:16], 1):
+        for _ in range(count):
+            codes[n, code] = table[k]
+            code, k = code + 1, k + 1
+        code <<= 1
+    return codes, k
+
+
+def _zigzag() -> np.ndarray:
+    """The place (row * 8 + column) of each coefficient in order of frequency."""
+    return np.array([r * 8 + c for r, c in sorted(((r, c) for r in range(8) for c in range(8)), key=lambda x: (x[0] + x[1], x[0] if (x[0] + x[1]) % 2 else x[1]))])
+
+
+_ZIGZAG = _zigzag()
+_COSINE = np.array([[(0.125**0.5 if k == 0 else 0.5) * np.cos((2 * x + 1) * k * np.pi / 16) for x in range(8)] for k in range(8)])
+
+
+class Bits:
+    """The bits of a scan's data, without stuffed bytes."""
+
+    def __init__(self, data: bytes):
+        self.bits, self.at = np.unpackbits(np.frombuffer(data.replace(b"\xff\0", b"\xff"), np.uint8)).tolist(), 0
+
+    def symbol(self, codes: dict[tuple[int, int], int]) -> int:
+        code = 0
+        for n in range(1, 17):
+            code = code << 1 | self.bits[self.at]
+            self.at += 1
+            if (n, code) in codes:
+                return codes[n, code]
+        raise ValueError("no such code")
+
+    def signed(self, size: int) -> int:
+        value = 0
+        for _ in range(size):
+            value = value << 1 | self.bits[self.at]
+            self.at += 1
+        return value if not size or value >> (size - 1) else value - (1 << size) + 1
+
+
+def decode_baseline(frame: bytes) -> np.ndarray:
+    """The first component's samples (height, width) of a frame of the baseline process."""
+    tables = {k: _codes(bytes.fromhex(x))[0] for k, x in USUAL.items()}
+    scales, parts, interval, at, size = {}, [], 0, 2, None
+    while True:
+        if at + 4 > len(frame) or frame[at] != 0xFF:
+            raise ValueError("a marker is missing")
+        marker, length = frame[at + 1], struct.unpack_from(">H", frame, at + 2)[0]
+        body, at = frame[at + 4 : at + 2 + length], at + 2 + length
+        if marker == 0xDB:
+            while body:
+                wide, place = body[0] >> 4, body[0] & 15
+                scales[place] = np.frombuffer(body, ">u2" if wide else np.uint8, 64, 1).astype(float)
+                body = body[1 + 64 * (1 + wide) :]
+        elif marker == 0xC4:
+            while body:
+                tables[body[0]], taken = _codes(body[1:])
+                body = body[1 + taken :]
+        elif marker in (0xC0, 0xC1):
+            bits, height, width, n = struct.unpack_from(">BHHB", body)
+            if bits != 8:
+                raise ValueError("only 8-bit frames")
+            size, parts = (height, width), [[body[6 + 3 * k], body[7 + 3 * k] >> 4, body[7 + 3 * k] & 15, body[8 + 3 * k]] for k in range(n)]
+        elif 0xC2 <= marker <= 0xCF and marker != 0xC8 and marker != 0xCC:
+            raise ValueError("only the baseline and the lossless process")
+        elif marker == 0xDD:
+            interval = struct.unpack(">H", body)[0]
+        elif marker == 0xDA:
+            chosen = {body[1 + 2 * k]: body[2 + 2 * k] for k in range(body[0])}
+            break
+    if size is None or set(chosen) != {p[0] for p in parts} or any(p[3] not in scales for p in parts):
+        raise ValueError("an incomplete frame")
+    if len(parts) == 1:
+        parts[0][1:3] = 1, 1  # a single component is not interleaved
+    across, down = max(p[1] for p in parts), max(p[2] for p in parts)
+    wide, high = -(-size[1] // (8 * across)), -(-size[0] // (8 * down))
+    name, h, v, scale = parts[0]
+    out = np.zeros((high * v, wide * h, 64))
+    scans = re.split(rb"\xff[\xd0-\xd7]", frame[at : frame.rindex(END)]) if interval else [frame[at : frame.rindex(END)]]
+    unit = 0
+    try:
+        for data in scans:
+            reader, before = Bits(data), {p[0]: 0 for p in parts}
+            for _ in range(interval or wide * high):
+                if unit >= wide * high:
+                    break
+                for part, ph, pv, _ in parts:
+                    dc, ac = tables[chosen[part] >> 4], tables[0x10 | chosen[part] & 15]
+                    for k in range(ph * pv):
+                        block, place = [0] * 64, 1
+                        before[part] += reader.signed(reader.symbol(dc))
+                        block[0] = before[part]
+                        while place < 64:
+                            x = reader.symbol(ac)
+                            if not x:
+                                break
+                            place += x >> 4
+                            if x != 0xF0:
+                                block[place] = reader.signed(x & 15)
+                            place += 1
+                        if part == name:
+                            out[unit // wide * v + k // h, unit % wide * h + k % h] = block
+                unit += 1
+    except (IndexError, KeyError):
+        raise ValueError("a scan is damaged") from None
+    if unit < wide * high:
+        raise ValueError("a scan is too short")
+    ordered = np.zeros_like(out)
+    ordered[:, :, _ZIGZAG] = out * scales[scale]
+    blocks = np.einsum("yxkl,ki,lj->yixj", ordered.reshape(*out.shape[:2], 8, 8), _COSINE, _COSINE)
+    rows, columns = -(-size[0] * v // down), -(-size[1] * h // across)
+    return np.clip(np.rint(blocks.reshape(out.shape[0] * 8, -1) + 128), 0, 255).astype(np.uint8)[:rows, :columns]
+
+
 @functools.lru_cache(64)
 def _parsed(header: bytes) -> tuple[int, int, int, dict[tuple[int, int], int]]:
     """(height, width, predictor, codes by (length, code)) of a frame up to its scan's data."""
@@ -112,13 +248,7 @@ def _parsed(header: bytes) -> tuple[int, int, int, dict[tuple[int, int], int]]:
             raise ValueError("a marker is missing")
         body = header[at + 4 : at + 2 + length]
         if marker == 0xC4:
-            counts, symbols = body[1:17], body[17:]
-            code = k = 0
-            for n, count in enumerate(counts, 1):
-                for _ in range(count):
-                    codes[n, code] = symbols[k]
-                    code, k = code + 1, k + 1
-                code <<= 1
+            codes = _codes(body[1:])[0]
         elif marker == 0xC3:
             bits, height, width, parts = struct.unpack_from(">BHHB", body)
             if bits != 8 or parts != 1:
@@ -165,6 +295,11 @@ def _bitwise(data: bytes, height: int, width: int, predictor: int, codes: dict)
 
 def decode_frames(frames: list[bytes]) -> np.ndarray:
     """Samples (n, height, width) of frames of one size."""
+    if frames and b"\xff\xc3" not in frames[0][: frames[0].find(b"\xff\xda")]:
+        samples = [decode_baseline(x) for x in frames]
+        if len({x.shape for x in samples}) > 1:
+            raise ValueError("frames of several sizes")
+        return np.stack(samples)
     scans, sizes, even = [], set(), True
     for frame in frames:
         start = frame.find(b"\xff\xda")
@@ -293,6 +428,19 @@ def analysed(image: bytes) -> tuple[bytes, float, int, list[tuple[int, int]]]:
     return samples.tobytes(), step, len(samples), list(zip(begins, [*begins[1:], len(samples)], strict=True))
 
 
+def tried(image: bytes):
+    """``analysed``, or None for damaged media."""
+    try:
+        return analysed(image)
+    except (ValueError, IndexError, struct.error):
+        return None
+
+
+def milliseconds(x: float) -> str:
+    """Up to three decimals, without an exponent."""
+    return f"{x:.3f}".rstrip("0").rstrip(".")
+
+
 # --- DataFrames ---------------------------------------------------------------------------------
 
 
@@ -316,9 +464,11 @@ def clips(media: DataFrame, id_col: str = "doc_id", media_col: str = "media") ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
-                if (image := batch.column(1)[k].as_py()) is None:
+                image = batch.column(1)[k].as_py()
+                got = None if image is None else tried(image)
+                if got is None:
                     continue
-                _, step, _, found = analysed(image)
+                _, step, _, found = got
                 ids = pa.array([batch.column(0)[k].as_py()] * len(found), batch.column(0).type)
                 columns = [range(len(found)), [a for a, _ in found], [b for _, b in found]]
                 times = [[a * step for a, _ in found], [b * step for _, b in found]]
@@ -338,8 +488,14 @@ def digests(media: DataFrame, id_col: str = "doc_id") -> DataFrame:
             rows = []
             for cell in batch.column(2):
                 image = cell.as_py()
-                payload, step, n, found = analysed(image)
-                feature = f"frames={n};shots={len(found)};" + ",".join(f"{a * step:g}-{b * step:g}" for a, b in found)
+                if image is None:
+                    rows.append((None,) * 6)
+                    continue
+                if (got := tried(image)) is None:
+                    rows.append((None, None, None, len(image), hashlib.sha256(image).hexdigest(), "damaged"))
+                    continue
+                payload, step, n, found = got
+                feature = f"frames={n};shots={len(found)};" + ",".join(f"{milliseconds(a * step)}-{milliseconds(b * step)}" for a, b in found)
                 rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(image), hashlib.sha256(image).hexdigest(), feature))
             columns = zip(*rows, strict=True) if rows else [()] * 6
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(x, t) for x, t in zip(columns, kinds[2:], strict=True))], names=names)
