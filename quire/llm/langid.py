@@ -14,11 +14,12 @@ of every distinct word give the expected number of uses of every piece. A round
 distributed.
 
 Forward sums run over many distinct words at once: substrings are looked up by rolling hashes in a
-table of piece hashes. A worker remembers the words it has scored, up to ``MEMO``.
+table of piece hashes. A worker remembers the words it has scored, up to ``MEMO``. Runs of more than ``LONG`` letters, as in scripts
+without spaces, are summed one by one in logarithms along the run, so they are neither cut nor remembered.
 
 Defined results: null text, or a text without a letter, is ``und`` with score 0; so is every text if
 nothing was learnt. Ties go to the first language by name. Letters outside the vocabulary have a
-small probability, the same in all languages. Runs of more than ``LONGEST`` letters are cut. Rows
+small probability, the same in all languages. Rows
 without language are not learnt from. Only the text is an input of a prediction.
 """
 
@@ -37,7 +38,7 @@ from pyspark.sql import functions as F
 from quire.llm.common import Stage, doc_crc, whole_text
 from quire.llm.pretoken import segments
 
-LONGEST, ROUNDS, SMOOTH, FLOOR = 24, 2, 0.1, 1e-6
+LONG, ROUNDS, SMOOTH, FLOOR = 24, 2, 0.1, 1e-6
 MEMO = 400_000
 #: Words whose sums run together.
 TOGETHER = 20_000
@@ -51,14 +52,8 @@ _BASE, _GOLD = 0x9E3779B97F4A7C15 | 1, 0xD1342543DE82EF95
 
 
 def words_of(text: str) -> list[str]:
-    """Runs of letters in lower case; a longer run than ``LONGEST`` gives several words."""
-    out: list[str] = []
-    for part in segments(text):
-        found = _WORD.findall(part.lower())
-        if any(len(x) > LONGEST for x in found):
-            found = [x[k : k + LONGEST] for x in found for k in range(0, len(x), LONGEST)]
-        out += found
-    return out
+    """Runs of letters in lower case."""
+    return [word for part in segments(text) for word in _WORD.findall(part.lower())]
 
 
 class Pieces:
@@ -72,7 +67,7 @@ class Pieces:
         self.names = sorted(x for x in names if re.fullmatch(f"{MARK}?[^\\W\\d_]+", x) or x == MARK)
         self.longest = max(map(len, self.names))
         self.size = len(self.names)
-        self.power = np.array([pow(_BASE, k, 1 << 64) for k in range(LONGEST + 3)], np.uint64)
+        self.power = np.array([pow(_BASE, k, 1 << 64) for k in range(self.longest + 1)], np.uint64)
         self.bits = max(8, int(self.size * 4).bit_length())
         self.keys, self.ids = np.zeros(1 << self.bits, np.uint64), np.full(1 << self.bits, -1, np.int64)
         for i, name in enumerate(self.names):
@@ -117,6 +112,16 @@ class Pieces:
         return order, length, edges
 
 
+    def along(self, word: str) -> np.ndarray:
+        """Piece ids (end, length - 1) of all substrings of a marked word; ``size`` where there is no such piece."""
+        codes = np.frombuffer((MARK + word).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+        out, h = np.full((len(codes) + 1, self.longest), self.size, np.int64), np.zeros(len(codes) + 1, np.uint64)
+        for n in range(1, min(self.longest, len(codes)) + 1):
+            h = h[:-1] * _U(_BASE) + codes[n - 1 :]
+            out[n:, n - 1] = self.find(h)
+        return out
+
+
 @functools.cache
 def pieces_of(path: str) -> Pieces:
     return Pieces(path)
@@ -133,24 +138,72 @@ def _forward(edges: list, length: np.ndarray, weight) -> np.ndarray:
     return alpha
 
 
+def _logs(found: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """log probability (end, length - 1, language) of a run's substrings."""
+    out = table[found]
+    out[1:, 0] = np.maximum(out[1:, 0], FLOOR)
+    with np.errstate(divide="ignore"):
+        return np.log(out)
+
+
+def _sums(logs: np.ndarray) -> np.ndarray:
+    """Forward sums (position, language) along a run, in logarithms."""
+    n, longest = len(logs) - 1, logs.shape[1]
+    out = np.full((n + 1 + longest, logs.shape[2]), -np.inf)  # what lies before the run has no probability
+    out[longest] = 0
+    for to in range(1, n + 1):
+        x = out[longest + to - 1 : to - 1 : -1] + logs[to]
+        top = x.max(0)
+        out[longest + to] = top + np.log(np.exp(x - top).sum(0))
+    return out[longest:]
+
+
 def word_scores(vocabulary: Pieces, words: list[str], table: np.ndarray) -> np.ndarray:
     """log probability of each word in each language; table: (pieces + 1, languages)."""
     out = np.zeros((len(words), table.shape[1]))
-    for k in range(0, len(words), TOGETHER):
-        some = words[k : k + TOGETHER]
+    for i in [i for i, x in enumerate(words) if len(x) > LONG]:
+        out[i] = _sums(_logs(vocabulary.along(words[i]), table))[-1]
+    short = np.array([i for i, x in enumerate(words) if len(x) <= LONG], np.int64)
+    for k in range(0, len(short), TOGETHER):
+        place = short[k : k + TOGETHER]
+        some = [words[i] for i in place]
         order, length, edges = vocabulary.lattice(some)
         alpha = _forward(edges, length, lambda start, to, found: np.maximum(table[found], FLOOR) if to - start == 1 else table[found])
-        out[k + order] = np.log(alpha[length, np.arange(len(some))])
+        out[place[order]] = np.log(alpha[length, np.arange(len(some))])
     return out
 
 
+def _uses_along(vocabulary: Pieces, word: str, table: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """(pieces, expected uses) in a run of one language; table: (pieces + 1,); without it, all matches count alike."""
+    found = vocabulary.along(word)
+    if table is None:
+        return found[1:].reshape(-1), np.ones(found[1:].size)
+    logs = _logs(found, table[:, None])
+    ahead = _sums(logs)[:, 0]
+    # backward sums are forward sums of the run read from its end: length n that ends at e begins at e - n
+    n, longest = len(found) - 1, logs.shape[1]
+    turned = np.full_like(logs, -np.inf)
+    for k in range(min(longest, n)):
+        turned[k + 1 :, k] = logs[k + 1 :, k][::-1]
+    back = _sums(turned)[::-1, 0]
+    start = np.arange(n + 1)[:, None] - np.arange(1, longest + 1)
+    with np.errstate(invalid="ignore"):
+        uses = np.exp(np.where(start >= 0, ahead[np.maximum(start, 0)], -np.inf) + logs[:, :, 0] + back[:, None] - ahead[-1])
+    return found[1:].reshape(-1), uses[1:].reshape(-1)
+
+
 def expected_uses(vocabulary: Pieces, words: list[str], counts: np.ndarray, language: np.ndarray, table: np.ndarray | None, languages: int) -> np.ndarray:
     """Expected uses (pieces + 1, languages) of each piece; without a table, all matches count alike."""
     uses = np.zeros((vocabulary.size + 1) * languages)
-    for k in range(0, len(words), TOGETHER):
-        some = words[k : k + TOGETHER]
+    for i in [i for i, x in enumerate(words) if len(x) > LONG]:
+        found, n = _uses_along(vocabulary, words[i], None if table is None else table[:, language[i]])
+        uses += np.bincount(found * languages + language[i], n * float(counts[i]), len(uses))
+    short = np.array([i for i, x in enumerate(words) if len(x) <= LONG], np.int64)
+    for k in range(0, len(short), TOGETHER):
+        place = short[k : k + TOGETHER]
+        some = [words[i] for i in place]
         order, length, edges = vocabulary.lattice(some)
-        c, lang = counts[k : k + TOGETHER][order].astype(float), language[k : k + TOGETHER][order]
+        c, lang = counts[place][order].astype(float), language[place][order]
         if table is None:
             for _, _, found in edges:
                 uses += np.bincount(found * languages + lang[: len(found)], c[: len(found)], len(uses))
@@ -193,10 +246,14 @@ class Model:
         out = [(UNKNOWN, 0.0)] * len(texts)
         if not self.languages:
             return out
-        self._learn({x for words in split for x in words})
+        self._learn({x for words in split for x in words if len(x) <= LONG})
         for i, words in enumerate(split):
             if any(map(str.isalpha, "".join(words))):
+                long = [x for x in words if len(x) > LONG]
+                words = [x for x in words if len(x) <= LONG] if long else words
                 total = self.rows[np.fromiter(map(self.memo.__getitem__, words), np.int64, len(words))].sum(0) + self.priors
+                if long:
+                    total = total + word_scores(pieces_of(self.path), long, self.table).sum(0)
                 best = int(total.argmax())
                 out[i] = (self.languages[best], float(1 / np.exp(total - total[best]).sum()))
         return out

@@ -39,6 +39,34 @@ def test_forward_sums_all_segmentations():
         assert got[i, lang] == pytest.approx(brute(vocabulary, w, table, lang))
 
 
+def test_long_runs_equal_short_ones(monkeypatch):
+    vocabulary, rng = L.pieces_of(PIECES), np.random.default_rng(3)
+    table = rng.random((vocabulary.size + 1, 2))
+    table[-1] = 0
+    table /= table.sum(0)
+    words = ["the", "straße", "wassermelone", "qxz中a", "a"]
+    want = L.word_scores(vocabulary, words, table), L.expected_uses(vocabulary, words, np.array([1, 2, 3, 1, 5]), np.array([0, 1, 1, 0, 1]), table, 2), L.expected_uses(vocabulary, words, np.arange(5), np.array([0, 1, 1, 0, 1]), None, 2)
+    monkeypatch.setattr(L, "LONG", 0)
+    got = L.word_scores(vocabulary, words, table), L.expected_uses(vocabulary, words, np.array([1, 2, 3, 1, 5]), np.array([0, 1, 1, 0, 1]), table, 2), L.expected_uses(vocabulary, words, np.arange(5), np.array([0, 1, 1, 0, 1]), None, 2)
+    for a, b in zip(got, want, strict=True):
+        assert a[:-1] == pytest.approx(b[:-1], rel=1e-9, abs=1e-12) if len(a) > 5 else a == pytest.approx(b)
+
+
+def test_a_run_of_many_letters_is_not_cut(make_docs):
+    docs, _ = docs_of(make_docs)
+    model = L.fit(docs, PIECES)
+    text = "".join(WORDS["de"][k % 9] for k in range(3000))
+    (lang, score), (shorter, _) = model.predict([text, text[:200]])
+    assert lang == shorter == "de" and 0.99 <= score <= 1
+    assert L.words_of(text) == [text.lower()] and np.isfinite(L.word_scores(L.pieces_of(PIECES), [text], model.table)).all()
+
+
+def test_clashing_columns(make_docs):
+    docs, _ = docs_of(make_docs, 60)
+    clash = docs.withColumns({c: L.F.lit(1) for c in ("score", "lang_pred", "held_out", "word", "n", "__whole")})
+    assert sorted(map(tuple, L.predictions(clash, PIECES).collect())) == sorted(map(tuple, L.predictions(docs, PIECES).collect()))
+
+
 def test_expected_uses_sum_to_pieces():
     vocabulary = L.pieces_of(PIECES)
     table = np.full((vocabulary.size + 1, 1), 1 / vocabulary.size)
