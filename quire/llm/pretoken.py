@@ -4,14 +4,15 @@ A tokenizer of these files first normalises a text, then splits it into pre-toke
 inside each pre-token alone. So the ids of a text are the ids of its pre-tokens, joined. A memo
 over pre-tokens gives the library's ids for repeated pre-tokens without running its merges again.
 
-Texts in which every character is in ``SAFE`` are split here by a compiled pattern; there, the
+Runs in which every character is in ``SAFE`` are split here by a compiled pattern; there, the
 classes of letters, digits and white space are spelled out character by character, so they can't
-differ from the library's (tests compare all of them). Any other text, and any text with one of
-the tokenizer's special strings, goes to the library whole.
+differ from the library's (tests compare all of them). Runs with other characters, between single spaces that begin a
+pre-token whatever else is around, go to the library; so does any text with one of the tokenizer's special strings, whole.
 """
 
 from __future__ import annotations
 
+import itertools
 import os
 import re
 import struct
@@ -47,12 +48,12 @@ def is_safe(text: str) -> bool:
     return text.isascii() or not _UNSAFE.search(text)
 
 
-def segments(text: str, size: int = SEGMENT) -> Iterator[str]:
+def segments(text: str, size: int | None = None) -> Iterator[str]:
     """Pieces of the text; each cut lies before a single space between two other characters.
 
     Such a space starts a new pre-token in either pattern. Where there is none, a piece is longer.
     """
-    at = 0
+    at, size = 0, size or SEGMENT
     while len(text) - at > size:
         cut = _CUT.search(text, at + size)
         if not cut:
@@ -62,6 +63,18 @@ def segments(text: str, size: int = SEGMENT) -> Iterator[str]:
     yield text[at:] if at else text
 
 
+_AT = re.compile(r"(?<=[^\s\x1c-\x1f\x85\xa0])(?= [^\s\x1c-\x1f\x85\xa0])")
+
+
+def runs(text: str) -> Iterator[tuple[bool, str]]:
+    """(safe, part) of a text, joined as far as they are alike; cut before single spaces between two other characters."""
+    if is_safe(text):
+        yield True, text
+        return
+    for safe, parts in itertools.groupby(_AT.split(text), is_safe):
+        yield safe, "".join(parts)
+
+
 def load(path: str):
     """The tokenizers library's tokenizer of a file, single-threaded (Spark gives one core a task)."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -122,10 +135,15 @@ class BytePairIds:
         self.special = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
         self.pieces = PieceIds(self.tokenizer, self.code, MEMO if memo is None else memo)
 
+    def _by_library(self, text: str) -> bytes:
+        ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+        return struct.pack(f"<{len(ids)}{self.code}", *ids)
+
     def encode(self, text: str) -> bytes:
-        if not is_safe(text) or any(x in text for x in self.special):
-            ids = self.tokenizer.encode(text, add_special_tokens=False).ids
-            return struct.pack(f"<{len(ids)}{self.code}", *ids)
+        if any(x in text for x in self.special):
+            return self._by_library(text)
+        if not is_safe(text):
+            return b"".join(self.encode(part) if safe else self._by_library(part) for safe, part in runs(text))
         get = self.pieces.__getitem__
         if len(text) <= SEGMENT:
             return b"".join(map(get, BYTE_LEVEL.findall(text)))

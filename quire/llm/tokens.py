@@ -60,6 +60,7 @@ class Counter:
         self.special = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
         self.pattern = pretoken.WORD_LEVEL if self.kind == "word" else pretoken.BYTE_LEVEL
         self.whole, self.merged = whole, {}
+        self.shortcut = 0  # pre-tokens that took it in the last text
 
     def _merge(self, pieces: set[str]) -> None:
         if new := list(pieces.difference(self.merged)):
@@ -69,17 +70,22 @@ class Counter:
             self.merged.update((piece, len(x.ids)) for piece, x in zip(new, got, strict=True))
 
     def count(self, text: str) -> int:
-        if not pretoken.is_safe(text) or any(x in text for x in self.special):
+        self.shortcut = 0
+        if any(x in text for x in self.special):
             return len(self.tokenizer.encode(text, add_special_tokens=False).ids)
         total, whole = 0, self.whole
-        for part in pretoken.segments(text):
-            pieces = self.pattern.findall(part.lower() if self.kind == "word" else part)
-            rest = [x for x in pieces if x not in whole]
-            total += len(pieces) - len(rest)
-            if rest:
-                self._merge(set(rest))
-                total += sum(map(self.merged.__getitem__, rest))
-        return total
+        for safe, run in pretoken.runs(text):
+            if not safe:
+                total += len(self.tokenizer.encode(run, add_special_tokens=False).ids)
+                continue
+            for part in pretoken.segments(run):
+                pieces = self.pattern.findall(part.lower() if self.kind == "word" else part)
+                rest = [x for x in pieces if x not in whole]
+                self.shortcut += len(pieces) - len(rest)
+                if rest:
+                    self._merge(set(rest))
+                    total += sum(map(self.merged.__getitem__, rest))
+        return total + self.shortcut
 
 
 class PieceCounter:
@@ -90,12 +96,16 @@ class PieceCounter:
 
         self.model = sentencepiece.SentencePieceProcessor(model_file=path)
 
+    shortcut = 0
+
     def count(self, text: str) -> int:
         return len(self.model.encode(text, num_threads=1)) if text else 0
 
 
 def token_counts(docs: DataFrame, path: str, limit: int = LIMIT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id_col``, n_bytes (UTF-8), n_tokens, over_limit (n_tokens > ``limit``) of every whole text.
+    """``id_col``, n_bytes (UTF-8), n_tokens, over_limit (n_tokens > ``limit``), n_shortcut of every whole text.
+
+    n_shortcut: the tokens counted by the whole-token shortcut.
 
     ``path``: a tokenizers ``.json`` or a sentencepiece ``.model`` file, present on every machine.
     Null text counts as empty (0 bytes, 0 tokens); a null id stays null.
@@ -105,9 +115,10 @@ def token_counts(docs: DataFrame, path: str, limit: int = LIMIT, id_col: str = "
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = Counter(path, whole.value) if whole else PieceCounter(path)
         for batch in batches:
-            n = [counter.count(x.as_py()) for x in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(n, pa.int64()), pa.array([x > limit for x in n], pa.bool_())], names=[id_col, "n_bytes", "n_tokens", "over_limit"])
+            got = [(counter.count(x.as_py()), counter.shortcut) for x in batch.column(1)]
+            n, short = zip(*got, strict=True) if got else ((), ())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(n, pa.int64()), pa.array([x > limit for x in n], pa.bool_()), pa.array(short, pa.int64())], names=[id_col, "n_bytes", "n_tokens", "over_limit", "n_shortcut"])
 
     rows = docs.select(F.col(id_col), whole_text(text_col).alias("__text")).withColumn("__bytes", F.octet_length("__text").cast("long"))
     kind = rows.schema[id_col].dataType.simpleString()
-    return rows.mapInArrow(run, f"`{id_col}` {kind}, n_bytes long, n_tokens long, over_limit boolean")
+    return rows.mapInArrow(run, f"`{id_col}` {kind}, n_bytes long, n_tokens long, over_limit boolean, n_shortcut long")

@@ -2,6 +2,7 @@ import random
 
 import public_tokenizers as P
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from quire.llm import pretoken, tokens
@@ -43,6 +44,36 @@ def test_memo_that_starts_anew(monkeypatch):
         assert counter.count(text) == len(words.encode(text, add_special_tokens=False).ids)
 
 
+def test_unsafe_runs_go_to_the_library_alone():
+    rng = random.Random(6)
+    parts = ["the", "river's", "“quoted”", "dash—dash", "текст", "中文字", "e\u0301", "ΑΣ", " ", "\n", "12", "😀", "ok.", "ﬁ", "İ", "\u200d"]
+    counters = [(tokens.Counter(p, tokens.prove(p)), Tokenizer.from_file(p)) for p in (WORD, BYTE)]
+    encoder = pretoken.BytePairIds(BYTE)
+    for _ in range(1500):
+        text = "".join(x + rng.choice([" ", " ", "", "  "]) for x in rng.choices(parts, k=rng.randint(1, 15)))
+        for counter, library in counters:
+            assert counter.count(text) == len(library.encode(text, add_special_tokens=False).ids), repr(text)
+        assert len(encoder.encode(text)) == 4 * len(counters[1][1].encode(text, add_special_tokens=False).ids), repr(text)
+    counter = counters[0][0]
+    n = counter.count("the river and “the” window " * 50)
+    assert counter.shortcut == 200 < n  # every safe word
+
+
+def test_three_million_characters():
+    text = ("the river, the window; 12 " * 60 + "“curly” ") * 2000
+    assert len(text) > 3_000_000 and len(list(pretoken.segments(text))) >= 3
+    counter, library = tokens.Counter(WORD, tokens.prove(WORD)), Tokenizer.from_file(WORD)
+    assert counter.count(text) == len(library.encode(text, add_special_tokens=False).ids)
+    encoder, library = pretoken.BytePairIds(BYTE), Tokenizer.from_file(BYTE)
+    assert len(encoder.encode(text)) == 4 * len(library.encode(text, add_special_tokens=False).ids)
+    assert encoder.encode(text.replace("“", "'").replace("”", "'")) != b""
+
+
+def test_clashing_columns(odd_docs):
+    clash = odd_docs.withColumns({c: F.lit(1) for c in ("n_bytes", "n_tokens", "over_limit", "n_shortcut", "__text", "__bytes")})
+    assert sorted(map(tuple, tokens.token_counts(clash, WORD).collect()), key=str) == sorted(map(tuple, tokens.token_counts(odd_docs, WORD).collect()), key=str)
+
+
 def test_proof_is_sound():
     library, whole = Tokenizer.from_file(WORD), tokens.prove(WORD)
     assert len(whole) > 30000
@@ -60,7 +91,7 @@ def test_odd_rows(odd_docs, path):
     else:
         library = Tokenizer.from_file(path)
         n = lambda t: len(library.encode(t, add_special_tokens=False).ids)
-    got = sorted(map(tuple, tokens.token_counts(odd_docs, path, limit=100).collect()), key=str)
+    got = sorted((tuple(r)[:4] for r in tokens.token_counts(odd_docs, path, limit=100).collect()), key=str)
     want = sorted(((r.doc_id, len((r.text or "").encode()), n(r.text or ""), n(r.text or "") > 100) for r in odd_docs.collect()), key=str)
     assert got == want
 
