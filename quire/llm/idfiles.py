@@ -17,12 +17,16 @@ into a written table of blocks with plain ids; (2) ids are counted on the way, o
 broadcast); (3) each block is coded and written, in place; (4) the blocks are read back and decoded.
 No step holds more than a block and one document. Lost executors only repeat their partitions.
 
+Hot ids: an id that many rows have takes up several ranges, and so do null ids; its rows are dealt to them by ranges of the
+text's hash, the order that they have anyway. Only rows of equal id and text stay together.
+
 Null text: empty, so only the end id. Null ids come first. Equal ids are ordered by text hash, equal
 rows stay repeated. Ids must be integers.
 """
 
 from __future__ import annotations
 
+import collections
 import struct
 import zlib
 from collections.abc import Iterator
@@ -38,6 +42,8 @@ from pyspark.sql.window import Window
 from quire.llm.common import Stage, whole_text
 from quire.llm.pretoken import byte_pair_ids
 
+#: Rows of a range of ids, about; there are as many ranges as shuffle partitions at least.
+ROWS = 200_000
 #: A block closes once it holds this many ids.
 BLOCK = 1 << 18
 #: Pre-tokens that a worker remembers.
@@ -111,23 +117,36 @@ def read_block(image: bytes) -> tuple[list[tuple[int | None, int]], np.ndarray]:
     return [(int(x["id"]) if x["known"] else None, int(x["n"])) for x in table], unpack_ids(image[at:end], image[end:], n)
 
 
-def bounds(ids: DataFrame, n: int) -> list[int]:
-    """At most n - 1 ids that cut all ids in ranges of like many rows, from the column of ids alone."""
-    cut = ids.agg(F.percentile_approx("doc_id", [k / n for k in range(1, n)] or [0.5], 20 * n).alias("x")).first()["x"]
-    return sorted(set(cut or [])) if n > 1 else []
+def bounds(ids: DataFrame, n: int) -> tuple[int, list[int]]:
+    """(ranges of null ids, ids that cut the others in the other of n ranges of like many rows), from the column of ids alone.
+
+    An id of several ranges' rows is there several times.
+    """
+    found = ids.agg(F.count("*").alias("n"), F.count("doc_id").alias("known")).first()
+    nulls = round(n * (found["n"] - found["known"]) / found["n"]) if found["n"] else 0
+    rest = max(1, n - nulls)
+    if rest == 1 or not found["known"]:
+        return nulls, []
+    return nulls, sorted(ids.agg(F.percentile_approx("doc_id", [k / rest for k in range(1, rest)], 20 * n).alias("x")).first()["x"])
 
 
-def _place(doc_id: Column, cuts: list[int]) -> Column:
-    """How many of the sorted cuts are below the id, by halving; a null id comes first."""
-    if not cuts:
-        return F.lit(0)
-    steps = F.array(*(F.lit(1 << k) for k in reversed(range(len(cuts).bit_length()))))
-    every = F.lit(cuts).cast("array<bigint>")
+def _place(doc_id: Column, text: Column, nulls: int, cuts: list[int]) -> Column:
+    """A row's range: how many of the sorted cuts are below the id, by halving; rows of an id of several ranges go by the text's hash."""
+    part = F.shiftrightunsigned(F.xxhash64(text).bitwiseXOR(F.lit(-(1 << 63))), 11) / float(1 << 53)  # from 0 to 1 in the hash's order
+    among = lambda k: F.least(F.floor(part * k).cast("int"), F.lit(k - 1))
+    place = F.lit(nulls)
+    if cuts:
+        steps = F.array(*(F.lit(1 << k) for k in reversed(range(len(cuts).bit_length()))))
+        every = F.lit(cuts).cast("array<bigint>")
 
-    def step(low: Column, by: Column) -> Column:
-        return F.when((low + by <= len(cuts)) & (F.try_element_at(every, low + by) < doc_id), low + by).otherwise(low)
+        def step(low: Column, by: Column) -> Column:
+            return F.when((low + by <= len(cuts)) & (F.try_element_at(every, low + by) < doc_id), low + by).otherwise(low)
 
-    return F.when(doc_id.isNull(), 0).otherwise(F.aggregate(steps, F.lit(0), step))
+        place = F.aggregate(steps, F.lit(0), step) + nulls
+        for hot, k in collections.Counter(cuts).items():
+            if k > 1:
+                place = place + F.when(doc_id == hot, among(k)).otherwise(0)
+    return F.when(doc_id.isNull(), among(nulls) if nulls else F.lit(0)).otherwise(place)
 
 
 def encode_blocks(docs: DataFrame, path: str, end_id: int, id_col: str, text_col: str) -> DataFrame:
@@ -170,9 +189,9 @@ def encode_blocks(docs: DataFrame, path: str, end_id: int, id_col: str, text_col
             yield row(shard, -1, 0, 0, None, 8, seen.tobytes())
 
     ids = docs.select(F.col(id_col).cast("long").alias("doc_id"))
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-ids.count() // ROWS))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), whole_text(text_col).alias("text"))
-    ordered = rows.repartitionById(n, _place(F.col("doc_id"), bounds(ids, n))).sortWithinPartitions("doc_id", F.xxhash64("text"))
+    ordered = rows.repartitionById(n, _place(F.col("doc_id"), F.col("text"), *bounds(ids, n))).sortWithinPartitions("doc_id", F.xxhash64("text"))
     return ordered.mapInArrow(run, "shard long, block long, first long, n_ids long, table binary, width int, ids binary")
 
 

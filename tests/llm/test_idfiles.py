@@ -5,6 +5,7 @@ import public_tokenizers as P
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from quire.llm import idfiles
@@ -61,12 +62,31 @@ def test_empty_table(odd_docs):
 
 
 def test_ranges(spark):
-    from pyspark.sql import functions as F
-
-    ids = spark.range(1000).select((F.col("id") * 7 % 1000 - 300).alias("doc_id")).unionByName(spark.sql("SELECT cast(null AS bigint) doc_id"))
-    cuts = idfiles.bounds(ids, 7)
-    rows = ids.select("doc_id", idfiles._place(F.col("doc_id"), cuts).alias("p")).collect()
-    assert all(r.p == (0 if r.doc_id is None else sum(c < r.doc_id for c in cuts)) for r in rows)
+    ids = spark.range(1000).select((F.col("id") * 7 % 1000 - 300).alias("doc_id"), F.col("id").cast("string").alias("text")).unionByName(spark.sql("SELECT cast(null AS bigint) doc_id, 'x' text"))
+    nulls, cuts = idfiles.bounds(ids, 7)
+    rows = ids.select("doc_id", idfiles._place(F.col("doc_id"), F.col("text"), nulls, cuts).alias("p")).collect()
+    assert nulls == 0 and all(r.p == (0 if r.doc_id is None else sum(c < r.doc_id for c in cuts)) for r in rows)
     sizes = [sum(r.p == k for r in rows) for k in range(7)]
     assert max(sizes) < 1.3 * min(sizes)
-    assert idfiles.bounds(ids.limit(0), 7) == [] and idfiles.bounds(ids, 1) == []
+    assert idfiles.bounds(ids.limit(0), 7) == (0, []) and idfiles.bounds(ids, 1) == (0, [])
+
+
+def test_hot_ids_and_null_ids_are_split(spark):
+    doc_id = F.when(F.col("id") % 3 == 0, F.lit(500)).when(F.col("id") % 3 == 1, F.col("id"))  # a third of one id, a third null
+    rows = spark.range(3000).select(doc_id.alias("doc_id"), F.concat(F.lit("text "), F.col("id")).alias("text"))
+    nulls, cuts = idfiles.bounds(rows, 12)
+    placed = rows.select("doc_id", F.xxhash64("text").alias("h"), idfiles._place(F.col("doc_id"), F.col("text"), nulls, cuts).alias("p")).collect()
+    sizes = [sum(r.p == k for r in placed) for k in range(12)]
+    assert nulls == 4 and sum(sizes) == 3000 and max(sizes) < 2 * 250
+    order = [(r.p, r.doc_id is not None, r.doc_id or 0, r.h) for r in placed]
+    assert sorted(order) == sorted(order, key=lambda r: r[1:])  # ranges follow the order of ids and hashes
+
+
+def test_hot_ids_equal_brute_force(spark):
+    docs = spark.createDataFrame([(5 if i % 3 == 0 else None if i % 3 == 1 else i, f"text {i} " * (i % 4)) for i in range(90)], "doc_id long, text string").withColumns({c: F.lit(1) for c in ("shard", "block", "first", "ids", "rank", "n")})
+    blocks, ranks = idfiles.write_files(docs, BYTE)
+    got = sorted(map(tuple, idfiles.read_files(blocks, ranks).collect()), key=lambda r: r[1])
+    key = lambda r: (r[0] is not None, r[0] or 0, r[2], r[3])
+    assert sorted(((r[0], 0, *r[2:]) for r in got), key=key) == sorted(((r[0], 0, *r[2:]) for r in brute(docs)), key=key)
+    assert got[0][1] == 0 and all(a[1] + a[2] == b[1] for a, b in zip(got, got[1:]))
+    assert [r[0] for r in got] == [r[0] for r in brute(docs)]
