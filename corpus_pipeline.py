@@ -4,9 +4,10 @@ Stages, each over all that the one before kept, written as Parquet and read agai
 
 1. toxicity: a classifier fitted on the given labels; documents it predicts toxic go.
 2. near_dedup: of every class of copies and near copies the document of the smallest id stays.
-3. secrets: owner-specific, live-looking credentials are replaced by a mark; no document goes.
+3. secrets: owner-specific, live-looking credentials are replaced by a mark; no document goes. Owners and repositories are
+   counted over the raw table, copies that went before included, as copies are what marks an example.
 4. mixing: documents are sampled towards flatter source, language and topic shares.
-5. packing: the documents' token ids are cut and packed; a row for each piece.
+5. packing: the documents' token ids are cut and packed; a row for each piece, with its ids.
 
 All but the last return the columns of ``documents``.
 """
@@ -35,7 +36,8 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    out = secrets.redact(docs, owner=F.col("source"), repo=F.concat_ws("/", "source", "lang"))
+    raw = table(spark, sf_dir, "documents")
+    out = secrets.redact(docs, owner=F.col("source"), repo=F.concat_ws("/", "source", "lang"), corpus=raw)
     return out.withColumn("n_chars", F.coalesce(F.length("text").cast("long"), F.col("n_chars"))).select(*docs.columns)
 
 
@@ -45,7 +47,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.packed(docs, public_tokenizers.path("byte_bpe_50k.json"), memo=MEMO)
+    return packing.packed(docs, public_tokenizers.path("byte_bpe_50k.json"), keep_ids=True, memo=MEMO)
 
 
 STAGES = [("toxicity", toxicity_stage), ("near_dedup", near_dedup_stage), ("secrets", secrets_stage), ("mixing", mixing_stage), ("packing", packing_stage)]
