@@ -270,11 +270,18 @@ def _crossing(members: DataFrame, root: DataFrame, nodes: DataFrame, texts: Data
     rank = F.row_number().over(Window.partitionBy("node").orderBy("k", "element"))
     alone = F.col("n") - F.count("*").over(Window.partitionBy("node"))
     first = shared.join(facts.select("node", "root", "n"), "node").select("node", "root", "n", "element", rank.alias("rank"), alone.alias("alone"))
-    first = stage.keep(first.withColumn("place", F.col("rank") + F.col("alone")).filter(f"place <= {_FIRST}").select("node", "root", "n", "element", "place"), "first")
-    x, y = (first.select("element", *(F.col(c).alias(f"{c}_{k}") for c in ("node", "root", "n", "place"))) for k in "ab")
-    pairs = x.join(y, "element").filter("node_a < node_b and root_a <> root_b and 5 * least(n_a, n_b) >= 4 * greatest(n_a, n_b)")
+    first = stage.keep(first.withColumn("place", F.col("rank") + F.col("alone")).filter(f"place <= {_FIRST}").select("node", "root", "n", "element", "rank", "place"), "first")
+    x, y = (first.select("element", *(F.col(c).alias(f"{c}_{k}") for c in ("node", "root", "n", "rank", "place"))) for k in "ab")
+    # similar texts share 4/9 of both sizes, one of them so early, and what they share is no more than the shared ones
+    # up to any such element and what comes after it
+    conditions = [
+        "node_a < node_b and root_a <> root_b and 5 * least(n_a, n_b) >= 4 * greatest(n_a, n_b)",
+        "9 * (least(n_a - place_a, n_b - place_b) + 1) >= 4 * (n_a + n_b)",
+        "9 * (least(rank_a, rank_b) + least(n_a - place_a, n_b - place_b)) >= 4 * (n_a + n_b)",
+    ]
+    pairs = x.join(y, [x["element"] == y["element"], *map(F.expr, conditions)])
     pairs = pairs.groupBy(F.col("node_a").alias("a"), F.col("node_b").alias("b")).agg(F.count("*").alias("c"), *(F.max(k).alias(k) for k in ("n_a", "n_b", "place_a", "place_b")))
-    # all that they share are those first ones and what comes after the last of them; similar texts share 4/9 of both sizes
+    # all that they share are those first ones and what comes after the last of them
     pairs = pairs.filter("9 * (c + least(n_a - place_a, n_b - place_b)) >= 4 * (n_a + n_b)").select("a", "b")
     one, two = (facts.select(F.col("node").alias(k), F.col("bands").alias(f"bands_{k}")) for k in "ab")
     met = stage.keep(pairs, "crossing-all").join(one, "a").join(two, "b").filter("arrays_overlap(bands_a, bands_b)")
