@@ -170,38 +170,30 @@ def table_shape(x: Column) -> Column:
 
 
 def code_fences(text: str) -> str:
-    """Fences around runs of code-like lines, each run once."""
+    """Fences around runs of code-like lines; blank lines, comments and docstring quotes go on with a run."""
     import re
 
-    marks = [re.compile(p) for p in CODE_LINES]
-    out: list[str] = []
-    rows, k = text.split("\n"), 0
-    is_code = lambda s: any(m.match(s) for m in marks)
-    while k < len(rows):
-        if not is_code(rows[k]):
-            out.append(rows[k])
-            k += 1
-            continue
-        end = k + 1
-        while end < len(rows) and (not rows[end].strip() or is_code(rows[end]) or rows[end].strip().startswith(('"""', "'''", "#"))):
-            end += 1
-        run = rows[k:end]
-        whole = "\n".join(run)
-        if "def " in whole or "import " in whole or "class " in whole:
-            language = "python"
-        elif "function " in whole or "const " in whole or "let " in whole:
-            language = "javascript"
-        else:
-            language = "c" if "{" in whole and "}" in whole and ";" in whole else "python"
-        if not out or out[-1].strip() != "```":
+    rows, mark = text.split("\n"), re.compile("|".join(CODE_LINES))
+    kinds = "".join("c" if mark.match(s) else "g" if not s.strip() or s.strip().startswith(GOES_ON) else "-" for s in rows)
+    out, at = [], 0
+    for run in re.finditer("c[cg]*", kinds):
+        first, end = run.span()
+        code = "\n".join(rows[first:end])
+        named = (name for name, words in LANGUAGE_WORDS if any(w in code for w in words))
+        language = next(named, "c" if all(x in code for x in "{};") else "python")
+        out += rows[at:first]
+        if not first or rows[first - 1].strip() != "```":
             out.append(f"```{language}")
-        out += run
+        out += rows[first:end]
         if end < len(rows) and rows[end].strip() != "```":
             out.append("```")
-        k = end
-    return "\n".join(out)
+        at = end
+    return "\n".join(out + rows[at:])
 
 
+#: fixed values: what goes on with code, and the words that name its language
+GOES_ON = ('"""', "'''", "#")
+LANGUAGE_WORDS = (("python", ("def ", "import ", "class ")), ("javascript", ("function ", "const ", "let ")))
 #: fixed values: beginnings of lines that look like code
 CODE_LINES = (
     r"^\s*(async\s+)?def\s+\w+\s*\(",

@@ -138,7 +138,7 @@ def penalties(encrypted: Column | None = None, similarity: Column | None = None)
     """(condition, points, problem) over the columns of :func:`document_metrics`."""
     c, none = F.col, F.lit(False)
     return [
-        (none if encrypted is None else encrypted, F.lit(30), "ENCRYPTED"),
+        (none if encrypted is None else F.coalesce(encrypted, F.lit(False)), F.lit(30), "ENCRYPTED"),
         (c("page_count") == 0, F.lit(50), "NO_PAGES"),
         (c("avg_chars") < MIN_CHARS, F.lit(25), "FEW_CHARACTERS"),
         (c("garbled") > MAX_GARBLED, F.lit(20), "GARBLED"),
@@ -157,14 +157,20 @@ def level(score: Column) -> Column:
     return F.when(score >= 90, "VERY_CLEAN").when(score >= 75, "CLEAN").when(score >= 60, "NEEDS_CLEANING").otherwise("NOT_RECOMMENDED")
 
 
-def cleanliness(metrics: DataFrame) -> DataFrame:
-    """Score, problems, level, acceptance and advice."""
-    rules = penalties()
+def cleanliness(metrics: DataFrame, encrypted: Column | None = None, similarity: Column | None = None) -> DataFrame:
+    """Score, problems, level, acceptance and advice.
+
+    encrypted, similarity: whether a document is encrypted, and how alike two extractors' texts of it are (columns over
+    ``metrics``; None: not encrypted, not compared).
+    """
+    rules = penalties(encrypted, similarity)
     points = sum((F.when(c, p).otherwise(0) for c, p, _ in rules), F.lit(0))
     out = metrics.withColumn("score", F.greatest(F.lit(0), F.least(F.lit(100), F.lit(100) - points)).cast("double"))
     out = out.withColumn("problems", F.array_compact(F.array(*(F.when(c, F.lit(n)) for c, _, n in rules)))).withColumn("level", level(F.col("score")))
     c = F.col
     fine = c("level").isin("VERY_CLEAN", "CLEAN") & (c("avg_chars") >= MIN_CHARS) & (c("garbled") <= MAX_GARBLED) & (c("cid") == 0) & (c("image_ratio") <= MAX_IMAGES) & (c("column_ratio") <= MAX_COLUMNS)
+    if encrypted is not None:
+        fine &= ~F.coalesce(encrypted, F.lit(False))
     return out.withColumn("accepted", fine).withColumn("advice", advice())
 
 
@@ -300,7 +306,9 @@ def fuzzy_lookup(wanted: DataFrame, known: DataFrame) -> DataFrame:
         (long_.select("id", F.expr("right(text, 25)").alias("key"), tail.alias("half")), F.expr("right(source, 25)"), F.endswith(source, F.col("half"))),
         (wanted.select("id", first(text).alias("key"), F.lit("").alias("half")), first(source), F.lit(True)),
     ]
-    hits = [a.join(known.select("place", "target", "source", key.alias("key")), "key").filter(same).groupBy("id").agg(F.min(F.struct("place", "target")).alias("x")).select("id", F.lit(k).alias("tier"), "x.target") for k, (a, key, same) in enumerate(tiers, 1)]
+    # a key whose places are all alike good keeps its first place only, before the join
+    least = lambda key: known.select("place", "target", "source", key.alias("key")).groupBy("key").agg(F.min(F.struct("place", "target", "source")).alias("x")).select("key", "x.*")
+    hits = [a.join(least(key) if k in (1, 4) else known.select("place", "target", "source", key.alias("key")), "key").filter(same).groupBy("id").agg(F.min(F.struct("place", "target")).alias("x")).select("id", F.lit(k).alias("tier"), "x.target") for k, (a, key, same) in enumerate(tiers, 1)]
     best = reduce(lambda a, b: a.unionByName(b), hits).groupBy("id").agg(F.min(F.struct("tier", "target")).alias("x"))
     return wanted.join(best, "id", "left").select("id", "text", "x.tier", "x.target")
 

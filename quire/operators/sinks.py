@@ -77,21 +77,14 @@ def spliced_documents(docs: DataFrame, changes: DataFrame, text_col: str = "text
 
 
 def rewritten_page(html: str, texts: dict[int, str]) -> str:
-    """K7, K9: a page with text nodes replaced by number, white space around them kept."""
-    tree = tree_of(html)
+    """K7, K9: a page with text nodes replaced by number, where the parser found them; white space around them is kept."""
     out, at = [], 0
-    for index, (_, node) in enumerate(tree.nodes):
-        raw = next((x for x in (node, escape(node, quote=False)) if html.find(x, at) >= 0), None)
-        if raw is None:
-            continue
-        start = html.find(raw, at)
-        new = texts.get(index)
-        if new is not None:
+    for index, (start, end) in enumerate(tree_of(html).spans):
+        if texts.get(index) is not None:
+            raw = html[start:end]
             lead, tail = raw[: len(raw) - len(raw.lstrip())], raw[len(raw.rstrip()) :]
-            out.append(html[at:start] + lead + escape(new, quote=False) + tail)
-        else:
-            out.append(html[at : start + len(raw)])
-        at = start + len(raw)
+            out += [html[at:start], lead, escape(texts[index], quote=False), tail]
+            at = end
     return "".join(out) + html[at:]
 
 

@@ -86,7 +86,8 @@ def c6_block_chunks(s, d):
 
 
 def c7_masked_plan(s, d):
-    return _masked(s, d).select("doc_id", F.col("m.protected").alias("source_text"), F.size("m.spans").alias("n_spans"))
+    plan = workflow.chunked(_lines(s, d), SOFT, MOST).select("doc_id", "chunk", M.masked(F.col("source_text")).alias("m"))
+    return plan.select("doc_id", "chunk", F.col("m.protected").alias("source_text"), F.size("m.spans").alias("n_spans"))
 
 
 def c8_small(s, d):
@@ -142,11 +143,12 @@ def m5_placeholders(s, d):
     return bodies(s, d).select("doc_id", F.array_join(M.placeholders(x), ",").alias("found"))
 
 
+_NUMBERED = "CASE WHEN pos % 5 = 0 THEN (pos + 1) || '. ' || line WHEN pos % 11 = 1 THEN ' References ' ELSE line END"
 _MARK = "__LT_HTML_BLOCK_\\d{6}__"
 
 
 def _marked(s, d):
-    text = F.format_string("__LT_HTML_BLOCK_%06d__\n %s \n__LT_HTML_BLOCK_000099__\n%s\n__LT_HTML_BLOCK_000099__ again", F.col("doc_id") % 50, F.substring("body", 1, 40), F.upper(F.substring("body", 1, 20)))
+    text = F.format_string("__LT_HTML_BLOCK_%06d__\n %s \n__LT_HTML_BLOCK_000099__\n%s\n__LT_HTML_BLOCK_000099__ again", F.col("doc_id") % 50, F.col("body"), F.upper("body"))
     return bodies(s, d).select("doc_id", text.alias("text"))
 
 
@@ -167,7 +169,7 @@ def g1_term_matches(s, d):
 
 def _prompts(s, d):
     fmt = F.element_at(F.array(*map(F.lit, ("markdown", "html", "epub", "pdf"))), (F.col("doc_id") % 4 + 1).cast("int"))
-    p = G.prompt(fmt, F.substring("body", 1, 200), G.sorted_terms(terms_array()), F.lit("German"), F.when(F.col("doc_id") % 3 == 0, F.col("doc_id").cast("string")))
+    p = G.prompt(fmt, F.col("body"), G.sorted_terms(terms_array()), F.lit("German"), F.when(F.col("doc_id") % 3 == 0, F.col("doc_id").cast("string")))
     return bodies(s, d).select("doc_id", p.alias("p"))
 
 
@@ -268,7 +270,7 @@ _CUES = "WEBVTT\n\n1\n00:00:01.000 --> 00:00:02.000\nOne\n\nNOTE skip\n\n00:03.5
 
 
 def _vtt(s, d):
-    return bodies(s, d).select("doc_id", F.concat(F.lit(_CUES), F.lit("\n00:00:05.000 --> 00:00:06.000\n"), F.element_at(F.split("body", "\n"), 1)).alias("text"))
+    return bodies(s, d).select("doc_id", F.concat(F.lit(_CUES), F.lit("\n00:00:05.000 --> 00:00:06.000\n"), F.col("body")).alias("text"))
 
 
 def v11_subtitle_issues(s, d):
@@ -355,7 +357,7 @@ def b12_docx_blocks(s, d):
     rows = line_rows(s, d)
     style = F.element_at(F.array(*map(F.lit, ("Normal", "Heading 2", "Code", "Title"))), (F.col("pos") % 4 + 1).cast("int"))
     paragraphs = rows.select("doc_id", F.col("pos").alias("index"), F.col("line").alias("text"), style.alias("style"))
-    tables = bodies(s, d).select("doc_id", F.lit(0).alias("index"), F.split(F.element_at(F.split("body", "\n"), 1), " ").alias("cells"))
+    tables = bodies(s, d).select("doc_id", F.lit(0).alias("index"), F.split("body", "[ \n]").alias("cells"))
     return B.docx_blocks(paragraphs, tables).withColumn("block", F.col("block").cast("long"))
 
 
@@ -392,7 +394,7 @@ def i4_trimmed(s, d):
 
 
 def i5_balanced(s, d):
-    return B.parsed(_tex(s, d), lambda t: [B.Block("argument", t[m : B.balanced(t, m, "{", "}") + 1], start=m) for m in (i for i, c in enumerate(t) if c == "{" and not B.escaped(t, i)) if B.balanced(t, m, "{", "}") is not None])
+    return B.parsed(_tex(s, d), lambda t: [B.Block("argument", t[a : b + 1], start=a) for a, b in sorted(B.pairs(t, "{", "}").items())])
 
 
 def k1_translated(s, d):
@@ -423,7 +425,7 @@ def k4_report_table(s, d):
 
 def k6_cells(s, d):
     cells = B.parsed(_notebooks(s, d), B.notebook).select("doc_id", F.col("pos").cast("long").alias("pos"), "text")
-    parts = C.split_cells(cells.filter("pos = 0"), SOFT, MOST)
+    parts = C.split_cells(cells, SOFT, MOST)
     n = parts.groupBy("doc_id", "pos").agg(F.count("*").alias("n_parts"))
     parts = parts.join(n, ["doc_id", "pos"]).withColumn("restored_text", F.when((F.col("doc_id") % 4 != 0) | (F.col("part") > 0), F.upper("text")))
     return K.cells(cells, parts, True)
@@ -553,7 +555,7 @@ def oracle_sql() -> dict[str, str]:
         "c12_skips_batching": body + "SELECT source, count(*) = 1 OR bool_or(lang = 'es') AS skips FROM body GROUP BY 1",
         "m4_restored": body + "SELECT doc_id, body FROM body",
         "m5_placeholders": body + "SELECT doc_id, array_to_string(['__LT_URL_000001__', '__LT_REF_000002__'], ',') AS found FROM body",
-        "m6_marked_parts": body + f"SELECT doc_id, '__LT_HTML_BLOCK_' || lpad((doc_id % 50)::VARCHAR, 6, '0') || '__' AS marker, {_TRIM.format('substring(body, 1, 40)')} AS part FROM body UNION ALL SELECT doc_id, '__LT_HTML_BLOCK_000099__', 'again' FROM body",
+        "m6_marked_parts": body + f"SELECT doc_id, '__LT_HTML_BLOCK_' || lpad((doc_id % 50)::VARCHAR, 6, '0') || '__' AS marker, {_TRIM.format('body')} AS part FROM body UNION ALL SELECT doc_id, '__LT_HTML_BLOCK_000099__', 'again' FROM body",
         "m7_chosen_text": body + "SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'again' WHEN doc_id % 3 = 1 THEN 'plain' WHEN doc_id % 5 = 0 THEN 'source' END AS chosen FROM body",
         "g1_term_matches": body + f", {_TERMS_SQL} SELECT doc_id, source_term FROM body JOIN terms ON {contains}",
         "g5_attempts": body + "SELECT doc_id, greatest(0, 3 - doc_id % 6 + 1) AS left, CASE WHEN doc_id % 2 = 0 THEN 'DONE' WHEN doc_id % 6 >= 3 THEN 'FAILED' ELSE 'PENDING' END AS status FROM body",
@@ -572,7 +574,7 @@ def oracle_sql() -> dict[str, str]:
         "v13_forced_draft": "SELECT doc_id % 40 AS doc_id, bool_or(quality <> 1) AS draft FROM labels GROUP BY 1",
         "b1_paragraphs": f"WITH {LINES_SQL}, g AS (SELECT *, sum(({_BLANK} = '')::INT) OVER (PARTITION BY doc_id ORDER BY pos ROWS UNBOUNDED PRECEDING) AS gap FROM lines), r AS (SELECT doc_id, gap, min(pos) AS first, string_agg(rtrim(line, chr(32) || chr(9) || chr(13)), chr(10) ORDER BY pos) AS t FROM g WHERE {_BLANK} <> '' GROUP BY 1, 2) SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY first) AS block, {_TRIM.format('t')} AS text FROM r",
         "b8_archive_names": "WITH n AS (SELECT DISTINCT regexp_replace(url, '^https?://', '') AS name FROM pages), e AS (SELECT name, regexp_extract(name, '([^/]+)$', 1) AS href FROM n), r AS (SELECT DISTINCT href FROM e) SELECT href, CASE WHEN EXISTS (SELECT 1 FROM n WHERE n.name = r.href) THEN href WHEN (SELECT count(*) FROM e WHERE e.href = r.href AND ends_with(e.name, '/' || r.href)) = 1 THEN (SELECT min(e.name) FROM e WHERE e.href = r.href AND e.name <> r.href) ELSE href END AS name FROM r",
-        "b13_pdf_kinds": f"WITH {LINES_SQL}, x AS (SELECT doc_id, pos, {_TRIM.format('CASE WHEN pos % 5 = 0 THEN (pos + 1) || chr(46) || chr(32) || line WHEN pos % 11 = 1 THEN chr(32) || chr(82) || substring(chr(101) || $$ferences$$, 1) || chr(32) ELSE line END')} AS t FROM lines), h AS (SELECT doc_id, pos, regexp_replace(t, '\\s+', ' ', 'g') AS t FROM x), k AS (SELECT doc_id, pos, (regexp_matches(t, '^\\d+\\.\\s+\\S+') AND length(t) < 120) OR lower(t) = 'references' AS hd FROM h) SELECT doc_id, pos, CASE WHEN hd THEN 'heading' ELSE 'paragraph' END AS kind, CASE WHEN hd THEN 1 END AS level FROM k",
+        "b13_pdf_kinds": f"WITH {LINES_SQL}, x AS (SELECT doc_id, pos, {_TRIM.format(_NUMBERED)} AS t FROM lines), h AS (SELECT doc_id, pos, regexp_replace(t, '\\s+', ' ', 'g') AS t FROM x), k AS (SELECT doc_id, pos, (regexp_matches(t, '^\\d+\\.\\s+\\S+') AND length(t) < 120) OR lower(t) = 'references' AS hd FROM h) SELECT doc_id, pos, CASE WHEN hd THEN 'heading' ELSE 'paragraph' END AS kind, CASE WHEN hd THEN 1 END AS level FROM k",
         "i1_merged": f"WITH {_MERGE} SELECT doc_id, start, end_ AS \"end\" FROM merged",
         "i2_gaps": f"WITH {_MERGE}, g AS (SELECT doc_id, coalesce(lag(end_) OVER (PARTITION BY doc_id ORDER BY start), 0) AS start, start AS e FROM merged UNION ALL SELECT c_custkey, coalesce((SELECT max(end_) FROM merged m WHERE m.doc_id = c_custkey), 0), 500 FROM customer) SELECT doc_id, start, e AS \"end\" FROM g WHERE start < e",
         "i3_inside": f"WITH {_MERGE}, p AS (SELECT DISTINCT doc_id, (start * 7) % 500 AS at_ FROM span WHERE doc_id IN (SELECT doc_id FROM merged)) SELECT doc_id, at_ AS \"at\", EXISTS (SELECT 1 FROM merged m WHERE m.doc_id = p.doc_id AND m.start <= at_ AND at_ < m.end_) AS inside FROM p",

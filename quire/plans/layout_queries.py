@@ -134,13 +134,12 @@ def _pages(s, d):
 
 
 def p15_joined_pages(s, d):
-    line = blocks(s, d).filter("block_no = 5 and text <> ''").select("doc_id", "page_index", "text")
-    return L.joined_pages(line)
+    return L.joined_pages(_pages(s, d).filter("trim(text) <> ''"))
 
 
 def p16_fitting_size(s, d):
     b, size = blocks(s, d), F.col("x1") - F.col("x0")
-    return b.filter("block_no < 3").select("doc_id", "page_index", "block_no", L.fitting_size(F.col("text"), F.upper(F.concat("text", F.lit(" "), "text")), size, (F.col("y1") - F.col("y0")) * 3).alias("size"))
+    return b.select("doc_id", "page_index", "block_no", L.fitting_size(F.col("text"), F.upper(F.concat("text", F.lit(" "), "text")), size, (F.col("y1") - F.col("y0")) * 3).alias("size"))
 
 
 def p17_fuzzy_lookup(s, d):
@@ -184,7 +183,7 @@ def oracle_sql() -> dict[str, str]:
         "p11_large_images": _B + f", {_PAGE} SELECT doc_id, page_index, large_image FROM pages2",
         "p12_score": doc + f"SELECT doc_id, score::DOUBLE AS score, {_PROBLEMS} AS problems FROM scored",
         "p13_level": doc + f"SELECT doc_id, {_LEVEL} AS level, score >= 75 AND avg_chars >= 500 AND garbled <= 0.01 AND cid = 0 AND image_ratio <= 0.35 AND column_ratio <= 0.30 AS accepted FROM scored",
-        "p15_joined_pages": _B + f", p AS (SELECT doc_id, page_index, {_BARE} AS text FROM block WHERE block_no = 5), q AS (SELECT *, trim(CASE WHEN length(text) > 200 THEN right(text, 200) ELSE text END) AS tail FROM p WHERE text <> ''), o AS (SELECT *, {_OPEN} AS open_, {_GOES} AS goes FROM q), b AS (SELECT *, CASE WHEN coalesce(lag(open_) OVER w, false) AND goes THEN 0 ELSE 1 END AS brk FROM o WINDOW w AS (PARTITION BY doc_id ORDER BY page_index)), r AS (SELECT *, sum(brk) OVER (PARTITION BY doc_id ORDER BY page_index ROWS UNBOUNDED PRECEDING) AS run FROM b) SELECT doc_id, min(page_index) AS first_page, max(page_index) AS last_page, string_agg(text, ' ' ORDER BY page_index) AS text FROM r GROUP BY doc_id, run",
+        "p15_joined_pages": _B + f", p AS (SELECT doc_id, page_index, trim(string_agg(text, ' ' ORDER BY block_no)) AS text FROM block GROUP BY ALL), q AS (SELECT *, trim(CASE WHEN length(text) > 200 THEN right(text, 200) ELSE text END) AS tail FROM p WHERE text <> ''), o AS (SELECT *, {_OPEN} AS open_, {_GOES} AS goes FROM q), b AS (SELECT *, CASE WHEN coalesce(lag(open_) OVER w, false) AND goes THEN 0 ELSE 1 END AS brk FROM o WINDOW w AS (PARTITION BY doc_id ORDER BY page_index)), r AS (SELECT *, sum(brk) OVER (PARTITION BY doc_id ORDER BY page_index ROWS UNBOUNDED PRECEDING) AS run FROM b) SELECT doc_id, min(page_index) AS first_page, max(page_index) AS last_page, string_agg(text, ' ' ORDER BY page_index) AS text FROM r GROUP BY doc_id, run",
         "p17_fuzzy_lookup": f"WITH {BODY_SQL}, known AS (SELECT doc_id AS place, body AS source, md5(body) AS target FROM body WHERE doc_id % 3 = 0), wanted AS (SELECT doc_id AS id, CASE WHEN doc_id % 2 = 0 THEN body || ' more' ELSE body END AS text FROM body), hit AS (SELECT id, 1 AS tier, place, target FROM wanted JOIN known ON text = source UNION ALL SELECT id, 2, place, target FROM wanted JOIN known ON length(text) > 50 AND starts_with(source, left(text, (length(text) // 2)::INT)) UNION ALL SELECT id, 3, place, target FROM wanted JOIN known ON length(text) > 50 AND ends_with(source, right(text, (length(text) - length(text) // 2)::INT)) UNION ALL SELECT id, 4, place, target FROM wanted JOIN known ON {_FIRST5.format('text')} = {_FIRST5.format('source')}) SELECT w.id, h.tier, h.target FROM wanted w LEFT JOIN (SELECT id, tier, target, row_number() OVER (PARTITION BY id ORDER BY tier, place) AS k FROM hit) h ON w.id = h.id AND k = 1",
         "p19_advice": doc + f"SELECT doc_id, {_ADVICE} AS advice FROM scored",
     }

@@ -17,8 +17,8 @@ from quire.plans.common import table
 
 VIEWS = {
     "project": "SELECT c_custkey AS id, c_name AS name, c_name || '.md' AS source_file_name, lower(c_mktsegment) AS input_format, CASE c_custkey % 3 WHEN 0 THEN 'READY' WHEN 1 THEN 'FAILED' ELSE 'COMPLETED' END AS status, c_custkey % 97 AS updated_at FROM customer",
-    "chunk": "SELECT o_orderkey AS id, o_custkey AS project_id, o_orderkey AS chunk_order, CASE WHEN o_orderstatus = 'F' THEN 'DONE' WHEN o_orderstatus = 'O' THEN 'PENDING' WHEN o_orderkey % 2 = 0 THEN 'FAILED' ELSE 'NEED_REVIEW' END AS status, o_orderpriority AS source_text, CASE WHEN o_orderstatus = 'F' THEN upper(o_orderpriority) END AS target_text, o_orderkey % 4 AS retry_count FROM orders WHERE o_totalprice > 300000",
-    "block": "SELECT l_orderkey * 10 + l_linenumber AS id, l_orderkey AS chunk_id, o_custkey AS project_id, l_linenumber AS block_order, l_returnflag AS block_type FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_totalprice > 300000",
+    "chunk": "SELECT o_orderkey AS id, o_custkey AS project_id, o_orderkey AS chunk_order, CASE WHEN o_orderstatus = 'F' THEN 'DONE' WHEN o_orderstatus = 'O' THEN 'PENDING' WHEN o_orderkey % 2 = 0 THEN 'FAILED' ELSE 'NEED_REVIEW' END AS status, o_orderpriority AS source_text, CASE WHEN o_orderstatus = 'F' THEN upper(o_orderpriority) END AS target_text, o_orderkey % 4 AS retry_count FROM orders",
+    "block": "SELECT l_orderkey * 10 + l_linenumber AS id, l_orderkey AS chunk_id, o_custkey AS project_id, l_linenumber AS block_order, l_returnflag AS block_type FROM lineitem JOIN orders ON l_orderkey = o_orderkey",
     "report": "SELECT doc_id AS id, o_custkey AS project_id, o_orderkey AS chunk_id, CASE WHEN quality = 1 THEN 'PASS' ELSE 'FAIL' END AS status, doc_id AS created_at FROM labels JOIN orders ON o_orderkey = doc_id * 3 + 1",
     "attempt": "SELECT event_id AS id, o_custkey AS project_id, o_orderkey AS chunk_id, event_type AS status, event_id % 50 AS created_at, props AS prompt_preview FROM events JOIN orders ON o_orderkey = event_id",
     "span": "SELECT l_orderkey AS chunk_id, 'p' || CAST(l_linenumber AS VARCHAR(9)) AS placeholder, l_linenumber * 7 AS start_offset FROM lineitem WHERE l_returnflag = 'R'",

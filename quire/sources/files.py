@@ -203,8 +203,12 @@ def zipped(parts: list[tuple[str, bytes]]) -> bytes:
 
 
 def scratch(spark: SparkSession) -> str:
-    """A fresh path in the folder that the cluster shares, or in a temporary one where none is set."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.gettempdir()
+    """A fresh path in the folder that the cluster shares; a temporary one where none is set and the master is local."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = "file://" + tempfile.gettempdir()
     return f"{base.rstrip('/')}/quire-{uuid.uuid4().hex}"
 
 

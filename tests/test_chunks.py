@@ -119,6 +119,10 @@ def test_pages_are_rewritten(spark):
     assert K.rewritten_page(html, texts) == "<body><main><h1> A </h1><p>ONE &amp; TWO<b>X</b></p><pre>keep</pre></main></body>"
     pages = spark.createDataFrame([(1, html), (2, None), (3, "<p>same</p>")], "doc_id long, html string")
     nodes = spark.createDataFrame([(1, k, v) for k, v in texts.items()], "doc_id long, node int, text string")
+    assert K.rewritten_page("<p>x</p><span>a</span>", {1: "Z"}) == "<p>x</p><span>Z</span>"
+    assert K.rewritten_page("<p>Tom &amp;&nbsp;Ann</p> &quot;q&quot; <b>a</b>b", {0: "T & A", 1: "Q", 3: "c"}) == "<p>T &amp; A</p> Q <b>a</b>c"
+    assert K.rewritten_page("<i>a</i><i>a</i><!-- a --><i>\na\n</i>", {1: "1", 2: "2"}) == "<i>a</i><i>1</i><!-- a --><i>\n2\n</i>"
+    assert K.rewritten_page("<!DOCTYPE html>\n<p>a<br>a &lt; b", {1: "c", 2: "d<"}) == "<!DOCTYPE html>\n<p>c<br>d&lt;"
     got = {r.doc_id: r.html for r in K.rewritten_pages(pages, nodes).collect()}
     assert got[2] is None and got[3] == "<p>same</p>" and "ONE &amp; TWO" in got[1]
 
