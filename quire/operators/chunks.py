@@ -135,7 +135,7 @@ def split_cells(cells: DataFrame, soft: int = SOFT, most: int = MOST) -> DataFra
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(d.as_py(), p.as_py(), k, x) for d, p, t in zip(*batch.columns, strict=True) for k, x in enumerate(cell_parts(t.as_py(), soft, most))]
+            rows = [(d.as_py(), p.as_py(), k, x) for d, p, t in zip(*batch.columns, strict=True) for k, x in enumerate(cell_parts(t.as_py() or "", soft, most))]
             kinds = (pa.int64(), pa.int64(), pa.int32(), pa.string())
             columns = zip(*rows, strict=True) if rows else [()] * 4
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["doc_id", "pos", "part", "text"])

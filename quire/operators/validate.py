@@ -101,11 +101,11 @@ def subtitle_issues(source: Column, target: Column) -> Column:
     return F.array_compact(F.array(*(F.when(c, F.lit(x)) for c, x in checks)))
 
 
-def html_issues(pairs: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """V8, V9: (id, issues) of (id, source, target) pages or book files: attributes, protected text, node count."""
+def html_issues(pairs: DataFrame, id_col: str = "doc_id", skips: frozenset = PAGE_SKIP) -> DataFrame:
+    """V8, V9: (id, issues) of (id, source, target) pages or book files: attributes, text of ``skips``, node count."""
     def facts(html: str) -> tuple:
         tree = tree_of(html or "")
-        kept = [t for s, t in tree.nodes if set(s) & PAGE_SKIP]
+        kept = [t for s, t in tree.nodes if set(s) & skips]
         return tree.attributes, kept, sum(bool(t.strip()) for _, t in tree.nodes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

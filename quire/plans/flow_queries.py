@@ -452,7 +452,7 @@ def s1_formats(s, d):
 
 
 def s4_decoded_pages(s, d):
-    """Pages as bytes in turn of UTF-8 and latin-1, decoded by the first encoding that takes them."""
+    """Pages as bytes of ASCII characters, decoded by the first encoding that takes them (other encodings: tests)."""
     rows = table(s, d, "pages").select("page_id", F.encode(F.regexp_replace("html", r"[^\x00-\x7F]", "?"), "UTF-8").alias("content"))
     return S.parsed_bytes(rows, S.page_text, "text string", "page_id")
 
@@ -460,7 +460,7 @@ def s4_decoded_pages(s, d):
 def _archives(s, d, parts: Callable[[str], list[tuple[str, bytes]]], rows: DataFrame, key: str, text: str) -> DataFrame:
     def run(batches):
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([S.zipped(parts(x.as_py())) for x in batch.column(1)], pa.binary())], names=[key, "content"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([S.zipped(parts(x.as_py() or "")) for x in batch.column(1)], pa.binary())], names=[key, "content"])
 
     return rows.select(key, text).mapInArrow(run, f"{key} long, content binary")
 
@@ -479,6 +479,23 @@ def s9_books(s, d):
     return S.parsed_bytes(_archives(s, d, _book, table(s, d, "pages"), "page_id", "html"), S.epub_files, S.EPUB_SCHEMA, "page_id")
 
 
+def _books_out(s, d):
+    """Books' files with every text node of a chapter in capitals, put in archives and read back."""
+    pages = _pages(s, d)
+    nodes = B.parsed(pages, B.book_part, "html").select("doc_id", F.col("start").alias("node"), F.upper("text").alias("text"))
+    out = K.rewritten_pages(pages, nodes).select(F.col("doc_id").alias("page_id"), "html")
+    return S.parsed_bytes(_archives(s, d, _book, out, "page_id", "html"), S.epub_files, S.EPUB_SCHEMA, "page_id")
+
+
+def k9_books(s, d):
+    return _books_out(s, d)
+
+
+def v9_book_issues(s, d):
+    both = s9_books(s, d).select("page_id", "name", F.col("markup").alias("source")).join(_books_out(s, d).select("page_id", "name", F.col("markup").alias("target")), ["page_id", "name"])
+    return V.html_issues(both.select(F.concat_ws("/", "page_id", "name").alias("file"), "source", "target"), "file", B.BOOK_SKIP).select("file", F.array_join("issues", ",").alias("issues"))
+
+
 _W = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
 
 
@@ -587,6 +604,7 @@ def oracle_sql() -> dict[str, str]:
         "k10_block_texts": f"WITH {_FOLD} SELECT id AS block_id, lower(text) AS text FROM blk",
         "s1_formats": body + "SELECT doc_id, ['markdown', 'plain_text', 'html', 'latex', 'srt', 'vtt', 'ipynb', 'epub', 'docx', 'pdf'][doc_id % 10 + 1] AS format FROM body",
         "s4_decoded_pages": "SELECT page_id, regexp_replace(html, '[^\\x00-\\x7F]', '?', 'g') AS text FROM pages",
+        "v9_book_issues": "SELECT page_id || '/O/c.xhtml' AS file, '' AS issues FROM pages UNION ALL SELECT page_id || '/O/nav.xhtml', '' FROM pages",
         "s9_books": "SELECT page_id, 0 AS place, 'O/c.xhtml' AS name, html AS markup, false AS is_nav FROM pages UNION ALL SELECT page_id, 1, 'O/nav.xhtml', '<nav/>', true FROM pages",
         "s10_docx": "WITH r AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents) SELECT doc_id, 'paragraph' AS part, unnest(range(len(l))) AS pos, unnest(l) AS text, 'Normal' AS style FROM r",
         "s13_table_scan": "SELECT c_custkey AS id, c_name AS name FROM customer",

@@ -59,6 +59,18 @@ def test_cleanliness(spark):
     assert got[2].level == "NOT_RECOMMENDED" and not got[2].accepted and "LARGE_IMAGES" in got[2].problems and len(got[2].advice) >= 3
 
 
+def test_encrypted_and_unlike_extractors(spark):
+    from pyspark.sql import functions as F
+
+    text = "The plain English words of a clean page go on and on without any marks. " * 12
+    images = spark.createDataFrame([], "doc_id long, page_index long, x0 double, y0 double, x1 double, y1 double")
+    metrics = L.document_metrics(spark.createDataFrame([(i, p, 0, 50.0, 100.0, 500.0, 400.0, text) for i in (1, 2, 3) for p in range(3)], BLOCK), images)
+    got = {r.doc_id: r for r in L.cleanliness(metrics, F.col("doc_id") == 2, F.when(F.col("doc_id") == 3, 0.4)).collect()}
+    assert (got[1].score, got[1].accepted) == (100.0, True)
+    assert (got[2].score, got[2].problems, got[2].accepted) == (70.0, ["ENCRYPTED"], False)
+    assert (got[3].score, got[3].problems, got[3].accepted) == (90.0, ["EXTRACTORS_DIFFER"], True)
+
+
 def test_fitting_size(spark):
     def fits(text, width, height, size):
         per_line = max(1, int(width / max(1, size * 0.58)))
