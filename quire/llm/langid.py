@@ -53,7 +53,10 @@ _BASE, _GOLD = 0x9E3779B97F4A7C15 | 1, 0xD1342543DE82EF95
 
 def words_of(text: str) -> list[str]:
     """Runs of letters in lower case."""
-    return [word for part in segments(text) for word in _WORD.findall(part.lower())]
+    out: list[str] = []
+    for part in segments(text):
+        out += _WORD.findall(part.lower())
+    return out
 
 
 class Pieces:
@@ -246,11 +249,13 @@ class Model:
         out = [(UNKNOWN, 0.0)] * len(texts)
         if not self.languages:
             return out
-        self._learn({x for words in split for x in words if len(x) <= LONG})
+        every = set().union(*split)
+        long_ones = {x for x in every if len(x) > LONG}
+        self._learn(every - long_ones)
         for i, words in enumerate(split):
             if any(map(str.isalpha, "".join(words))):
-                long = [x for x in words if len(x) > LONG]
-                words = [x for x in words if len(x) <= LONG] if long else words
+                long = [x for x in words if x in long_ones] if long_ones else []
+                words = [x for x in words if x not in long_ones] if long else words
                 total = self.rows[np.fromiter(map(self.memo.__getitem__, words), np.int64, len(words))].sum(0) + self.priors
                 if long:
                     total = total + word_scores(pieces_of(self.path), long, self.table).sum(0)
