@@ -602,7 +602,7 @@ def oracle_sql() -> dict[str, str]:
         "k3_log": f"WITH {_DONE} SELECT project_id, chunk_order, status, id FROM done",
         "k4_report_table": "SELECT doc_id % 9 AS project_id, doc_id AS id, '| ' || doc_id || ' | ' || CASE WHEN quality = 1 THEN 'PASS | -' ELSE 'FAIL | EMPTY_OUTPUT; TERM_MISSING' END || ' |' AS row FROM labels",
         "k10_block_texts": f"WITH {_FOLD} SELECT id AS block_id, lower(text) AS text FROM blk",
-        "s1_formats": body + "SELECT doc_id, ['markdown', 'plain_text', 'html', 'latex', 'srt', 'vtt', 'ipynb', 'epub', 'docx', 'pdf'][doc_id % 10 + 1] AS format FROM body",
+        "s1_formats": body + ", path AS (SELECT doc_id, lower(regexp_extract('dir.v1/File.' || ['md', 'TXT', 'htm', 'tex', 'srt', 'vtt', 'ipynb', 'epub', 'docx', 'pdf'][doc_id % 10 + 1], '\\.([^./]+)$', 1)) AS e FROM body) SELECT doc_id, CASE e " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in S.SUFFIXES.items()) + " END AS format FROM path",
         "s4_decoded_pages": "SELECT page_id, regexp_replace(html, '[^\\x00-\\x7F]', '?', 'g') AS text FROM pages",
         "v9_book_issues": "SELECT page_id || '/O/c.xhtml' AS file, '' AS issues FROM pages UNION ALL SELECT page_id || '/O/nav.xhtml', '' FROM pages",
         "s9_books": "SELECT page_id, 0 AS place, 'O/c.xhtml' AS name, html AS markup, false AS is_nav FROM pages UNION ALL SELECT page_id, 1, 'O/nav.xhtml', '<nav/>', true FROM pages",
