@@ -135,7 +135,8 @@ def m3_masked(s, d):
 
 
 def m4_restored(s, d):
-    return _masked(s, d).select("doc_id", M.restored(F.col("m.protected"), F.col("m.spans")).alias("body"))
+    """Texts masked and restored, and whether an address stayed outside the placeholders."""
+    return _masked(s, d).select("doc_id", M.restored(F.col("m.protected"), F.col("m.spans")).alias("body"), F.col("m.protected").rlike(r"https?://\S").alias("bare_address"))
 
 
 def m5_placeholders(s, d):
@@ -549,6 +550,9 @@ _SPAN = "span AS (SELECT o_custkey AS doc_id, o_orderkey % 400 AS start, o_order
 _MERGE = f"{_SPAN}, far AS (SELECT *, max(end_) OVER (PARTITION BY doc_id ORDER BY start, end_ ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS f FROM span WHERE start < end_), isl AS (SELECT *, sum(CASE WHEN f IS NULL OR start > f THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY start, end_ ROWS UNBOUNDED PRECEDING) AS i FROM far), merged AS (SELECT doc_id, min(start) AS start, max(end_) AS end_ FROM isl GROUP BY doc_id, i)"
 _DONE = "done AS (SELECT conv_id AS project_id, conv_id * 1000 + turn AS id, turn AS chunk_order, text AS source_text, CASE WHEN turn % 4 <> 1 THEN lower(text) END AS restored_text, CASE WHEN turn % 4 <> 1 THEN 'DONE' ELSE 'FAILED' END AS status FROM conversations)"
 
+_MARKED = "printf('__LT_HTML_BLOCK_%06d__', doc_id % 50) || chr(10) || ' ' || body || ' ' || chr(10) || '__LT_HTML_BLOCK_000099__' || chr(10) || upper(body) || chr(10) || '__LT_HTML_BLOCK_000099__ again'"
+_PARTS = f"t AS (SELECT doc_id, {_MARKED} AS t FROM body), k AS (SELECT doc_id, regexp_extract_all(t, '{_MARK}') AS k, regexp_split_to_array(t, '{_MARK}')[2:] AS v FROM t), r AS (SELECT doc_id, unnest(range(len(k))) AS i, unnest(k) AS marker, unnest(v) AS part FROM k), parts AS (SELECT doc_id, marker, arg_max(part, i) AS part FROM r GROUP BY 1, 2)"
+
 
 def oracle_sql() -> dict[str, str]:
     body = f"WITH {BODY_SQL} "
@@ -560,6 +564,9 @@ def oracle_sql() -> dict[str, str]:
     c = lambda x, s: f"(length({x}) - length(replace({x}, '{s}', '')))"
     docx = [(" OR ".join(f"{c('after', l)} <> {c('after', r)}" for l, r in ("()", "[]", "{}")), "UNBALANCED_BRACKETS"), (f"abs({n_lines.format('body')} - {n_lines.format('after')}) > greatest(2.0, {n_lines.format('body')} * 0.5)", "PARAGRAPH_COUNT_CHANGED"), ("len(regexp_extract_all(body, '(?m)^#{1,6}\\s')) <> len(regexp_extract_all(after, '(?m)^#{1,6}\\s'))", "HEADING_COUNT_CHANGED"), ("length(body) > 0 AND (length(after) < length(body) * 0.1 OR length(after) > length(body) * 5)", "LENGTH_SUSPICIOUS")]
     issues = lambda xs: "coalesce(array_to_string(list_filter([" + ", ".join(f"CASE WHEN {k} THEN '{n}' END" for k, n in xs) + "], lambda x: x IS NOT NULL), ','), '')"
+    every = lambda x, p: f"regexp_extract_all({x}, {quoted(p)})"
+    latex = [(f"{_TRIM.format('y')} = ''", "EMPTY_ARTIFACT"), ("contains(x, '\\end{document}') AND NOT contains(y, '\\end{document}')", "END_DOCUMENT_MISSING"), (f"{every('x', V.ENVIRONMENT)} <> {every('y', V.ENVIRONMENT)}", "ENVIRONMENT_CHANGED")]
+    subtitles = [(f"len({every('x', V.TIMING)}) <> len({every('y', V.TIMING)})", "CUE_COUNT_CHANGED"), (f"{every('x', V.TIMING)} <> {every('y', V.TIMING)}", "TIMING_CHANGED"), ("starts_with(x, 'WEBVTT') AND NOT starts_with(y, 'WEBVTT')", "HEADER_MISSING")]
     contains = "CASE WHEN case_sensitive THEN contains(body, source_term) ELSE contains(lower(body), lower(source_term)) END"
     return {
         "c1_chunks": _fold_sql(SOFT, MOST, 0, True) + "SELECT doc_id, chunk, chapter, count(*) AS n_blocks, string_agg(text, chr(10) || chr(10) ORDER BY pos) AS source_text FROM plan GROUP BY 1, 2, 3",
@@ -570,10 +577,11 @@ def oracle_sql() -> dict[str, str]:
         "c9_batches": _BATCH + "SELECT * FROM batch",
         "c10_batch_statistics": _BATCH + "SELECT conv_id, sum(k) AS n_chunks, count(*) AS n_batches, avg(k) AS mean_size, max(k) AS most, min(k) AS least, count(*) FILTER (k = 1) AS singles, count(*) FILTER (k > 1) AS multis FROM (SELECT conv_id, batch, count(*) AS k FROM batch GROUP BY 1, 2) GROUP BY 1",
         "c12_skips_batching": body + "SELECT source, count(*) = 1 OR bool_or(lang = 'es') AS skips FROM body GROUP BY 1",
-        "m4_restored": body + "SELECT doc_id, body FROM body",
-        "m5_placeholders": body + "SELECT doc_id, array_to_string(['__LT_URL_000001__', '__LT_REF_000002__'], ',') AS found FROM body",
-        "m6_marked_parts": body + f"SELECT doc_id, '__LT_HTML_BLOCK_' || lpad((doc_id % 50)::VARCHAR, 6, '0') || '__' AS marker, {_TRIM.format('body')} AS part FROM body UNION ALL SELECT doc_id, '__LT_HTML_BLOCK_000099__', 'again' FROM body",
-        "m7_chosen_text": body + "SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'again' WHEN doc_id % 3 = 1 THEN 'plain' WHEN doc_id % 5 = 0 THEN 'source' END AS chosen FROM body",
+        # every address is to be hidden by a placeholder, so an engine that masks nothing differs
+        "m4_restored": body + "SELECT doc_id, body, false AS bare_address FROM body",
+        "m5_placeholders": body + ", h AS (SELECT doc_id, regexp_extract_all(body || ' __LT_URL_000001__ __LT_REF_000002__ __LT_URL_000001__ __LT_bad_000001__', '__LT_[A-Z_]+_\\d{6}__') AS h FROM body), e AS (SELECT doc_id, unnest(range(len(h))) AS i, unnest(h) AS h FROM h), f AS (SELECT doc_id, h, min(i) AS i FROM e GROUP BY 1, 2) SELECT doc_id, string_agg(h, ',' ORDER BY i) AS found FROM f GROUP BY 1",
+        "m6_marked_parts": body + f", {_PARTS} SELECT doc_id, marker, {_TRIM.format('part')} AS part FROM parts",
+        "m7_chosen_text": body + f", {_PARTS} SELECT b.doc_id, coalesce({_TRIM.format('part')}, CASE WHEN b.doc_id % 3 = 1 AND b.doc_id % 2 = 1 THEN 'plain' END, CASE WHEN b.doc_id % 5 = 0 THEN 'source' END) AS chosen FROM body b LEFT JOIN parts p ON p.doc_id = b.doc_id AND b.doc_id % 2 = 0 AND marker = '__LT_HTML_BLOCK_000099__'",
         "g1_term_matches": body + f", {_TERMS_SQL} SELECT doc_id, source_term FROM body JOIN terms ON {contains}",
         "g5_attempts": body + "SELECT doc_id, greatest(0, 3 - doc_id % 6 + 1) AS left, CASE WHEN doc_id % 2 = 0 THEN 'DONE' WHEN doc_id % 6 >= 3 THEN 'FAILED' ELSE 'PENDING' END AS status FROM body",
         "g6_batch_status": body + "SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 'FAILED' WHEN doc_id % 2 = 0 THEN 'DONE' ELSE 'NEED_REVIEW' END AS status FROM body",
@@ -585,8 +593,8 @@ def oracle_sql() -> dict[str, str]:
         "v5_missing_terms": pair + f", {_TERMS_SQL} SELECT doc_id, source_term FROM pair JOIN terms ON {contains} AND NOT contains(after, target_term)",
         "v6_docx_issues": pair + f"SELECT doc_id, {issues(docx)} AS issues FROM pair",
         "v7_untranslated": _fold_sql(SOFT, MOST, 0, True) + "SELECT doc_id, id FROM plan WHERE chunk % 3 = 0",
-        "v10_latex_issues": body + "SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN '' ELSE 'END_DOCUMENT_MISSING,ENVIRONMENT_CHANGED' END AS issues FROM body",
-        "v11_subtitle_issues": body + "SELECT doc_id, ['', 'TIMING_CHANGED', 'HEADER_MISSING'][doc_id % 3 + 1] AS issues FROM body",
+        "v10_latex_issues": body + f", x AS (SELECT doc_id, body || '\\begin{{document}} \\end{{document}}' AS x FROM body), xy AS (SELECT *, CASE WHEN doc_id % 2 = 0 THEN x ELSE replace(x, '\\end{{document}}', '') END AS y FROM x) SELECT doc_id, {issues(latex)} AS issues FROM xy",
+        "v11_subtitle_issues": body + f", x AS (SELECT doc_id, {quoted(_CUES)} || chr(10) || '00:00:05.000 --> 00:00:06.000' || chr(10) || body AS x FROM body), xy AS (SELECT *, CASE doc_id % 3 WHEN 0 THEN x WHEN 1 THEN replace(x, '00:03.500', '00:03.600') ELSE replace(x, 'WEBVTT' || chr(10), '') END AS y FROM x) SELECT doc_id, {issues(subtitles)} AS issues FROM xy",
         "v12_notebook_issues": body + "SELECT doc_id, ['', 'CELL_COUNT_CHANGED', 'CELL_CONTENT_CHANGED'][doc_id % 3 + 1] AS issues FROM body",
         "v13_forced_draft": "SELECT doc_id % 40 AS doc_id, bool_or(quality <> 1) AS draft FROM labels GROUP BY 1",
         "b1_paragraphs": f"WITH {LINES_SQL}, g AS (SELECT *, sum(({_BLANK} = '')::INT) OVER (PARTITION BY doc_id ORDER BY pos ROWS UNBOUNDED PRECEDING) AS gap FROM lines), r AS (SELECT doc_id, gap, min(pos) AS first, string_agg(rtrim(line, chr(32) || chr(9) || chr(13)), chr(10) ORDER BY pos) AS t FROM g WHERE {_BLANK} <> '' GROUP BY 1, 2) SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY first) AS block, {_TRIM.format('t')} AS text FROM r",
