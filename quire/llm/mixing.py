@@ -58,7 +58,9 @@ CONTACT = re.compile(r"(?:(?<![\w.+-])|(?<=\w)(?=[.+-])|(?<=\d{3}[- ]\d{4}))[\w.
 PHONE = re.compile(r"[(\d](?:(?<=\()\d{3}\)|(?<=\d)\d{2}[- ]\d{4})", re.ASCII)
 LINKS = ("@", "://", "www.")
 CODE = ("{", "}", ";", "=", "<", ">", "\\", "()", "::")
-NUMBERS, LISTING = re.compile(TOPICS["numbers"], re.ASCII), re.compile(TOPICS["listing"])
+#: For runs of characters in UTF-8: 1 for a byte of the class, 0 for others; and all digits as one, to see where telephone numbers can be.
+RUNS = {name: bytes(b in chars for b in range(256)) for name, chars in (("numbers", b"0123456789"), ("listing", b"|#*%&$"), ("words", bytes({*range(256)} - {*b" \t\n\r\v\f"})))}
+DIGITS, PHONES = bytes.maketrans(b"123456789", b"0" * 9), (b"(000)", b"000-0000", b"000 0000")
 NO_TOPIC = "prose"
 
 
@@ -74,10 +76,21 @@ def token_weight(text: Column) -> Column:
     return count(text)
 
 
+def runs(raw: bytes, name: str) -> int:
+    """The longest runs of characters of a class of ``RUNS``: its ones after a zero."""
+    ones = raw.translate(RUNS[name])
+    return ones.count(b"\0\1") + ones.startswith(b"\1")
+
+
 def marks(text: str) -> dict[str, int]:
     """The matches of each of ``TOPICS`` in a text; the digits of a contact, such as a telephone number, aren't numbers too."""
-    rest, contacts = (CONTACT if any(x in text for x in LINKS) else PHONE).subn(" ", text)
-    return {"contact": contacts, "code": sum(map(text.count, CODE)), "numbers": len(NUMBERS.findall(rest)), "listing": len(LISTING.findall(text))}
+    raw = text.encode("utf-8", "surrogatepass")
+    linked, plain, contacts = any(x in text for x in LINKS), raw.translate(DIGITS), 0
+    rest = raw
+    if linked or any(x in plain for x in PHONES):
+        rest, contacts = (CONTACT if linked else PHONE).subn(" ", text)
+        rest = rest.encode("utf-8", "surrogatepass")
+    return {"contact": contacts, "code": sum(map(text.count, CODE)), "numbers": runs(rest, "numbers"), "listing": runs(raw, "listing")}
 
 
 def topic_of(text: Column) -> Column:
@@ -87,7 +100,7 @@ def topic_of(text: Column) -> Column:
     def topic(texts: pa.Array) -> pa.Array:
         out = []
         for x in texts:
-            words = max(1, len((value := x.as_py() or "").encode().split()))  # bytes: ASCII white space only
+            words = max(1, runs((value := x.as_py() or "").encode(), "words"))  # bytes: ASCII white space only
             n, name = max((n, name) for name, n in marks(value).items())
             out.append(name if n >= TOPIC_SHARE * words else NO_TOPIC)
         return pa.array(out, pa.string())

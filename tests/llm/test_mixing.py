@@ -194,6 +194,18 @@ def test_marks_equal_the_patterns(spark):
     assert len(M.marks("a" * 200_000 + " @")) == len(M.TOPICS)  # in time that grows with the text, not its square
 
 
+def test_marks_are_counted_by_bytes(monkeypatch):
+    texts = ["12 3\x854\u00a05 \u0663", "||# * 9%", "a\tb\x0bc\x1cd\x85e\u00a0f\n", "1", "é1é|é", "\ud800 7", ""]
+    for text in texts:
+        raw = text.encode("utf-8", "surrogatepass")
+        assert M.runs(raw, "words") == len(raw.split())
+        assert M.runs(raw, "numbers") == len(re.findall(M.TOPICS["numbers"], text, re.ASCII)) and M.runs(raw, "listing") == len(re.findall(M.TOPICS["listing"], text))
+    phones = ["(555)", "555-1234", "555 1234", "x9876-54321", "1 234 5678"]
+    assert all(M.marks(x)["contact"] == len(re.findall(M.TOPICS["contact"], x, re.ASCII)) == 1 for x in phones)
+    monkeypatch.setattr(M, "PHONE", None)  # texts without a contact aren't searched by a pattern
+    assert M.marks("12 plain | words 345; 55-1234")["contact"] == 0
+
+
 def test_mixed_and_decisions_agree_on_topics(make_docs, dims):
     docs = make_docs(["call 555-1234 now", "plain words " * 9, "x = f(); y = g();", "| a | b |"] * 60).withColumns({"source": F.lit("s"), "lang": F.lit("en")})
     dims = dims | {"topic": M.topic_of(whole_text("text"))}
