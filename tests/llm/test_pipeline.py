@@ -2,7 +2,9 @@
 
 import random
 
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 from test_bagminhash import brute
 from test_packing import verify
 from test_toxicity import BAD, GOOD
@@ -83,3 +85,41 @@ def test_odd_rows_and_clashing_columns(spark, folder, odd_docs):
         assert out.count() <= docs.count()
         assert stage(spark, docs.limit(0), path).count() == 0
     assert C.packing_stage(spark, docs, path).count() >= docs.count()
+
+
+READ, SENT = "spark.sql.parquet.columnarReaderBatchSize", "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+@pytest.mark.parametrize("name", [n for n, _ in C.STAGES])
+def test_whole_texts_are_read_in_small_batches(spark, folder, name):
+    """A stage, called by itself, reads and hands on few whole texts at once, and still all of them."""
+    path, texts = folder
+    were = {k: spark.conf.get(k) for k in (READ, SENT)}
+    try:
+        for k in were:
+            spark.conf.set(k, 10_000)
+        docs = spark.read.parquet(f"{path}/documents.parquet")
+        dict(C.STAGES)[name](spark, docs.limit(0), path)
+        assert int(spark.conf.get(READ)) <= 256
+        many = docs.crossJoin(spark.range(10)).coalesce(1)
+        sizes = [r.n for r in many.mapInArrow(lambda batches: (pa.RecordBatch.from_pydict({"n": [b.num_rows]}) for b in batches), "n long").collect()]
+        assert sum(sizes) == 10 * len(texts) and max(sizes) <= 512
+    finally:
+        for k, v in were.items():
+            spark.conf.set(k, v)
+
+
+def test_smaller_batches_stay(spark):
+    were = {k: spark.conf.get(k) for k in (READ, SENT)}
+    try:
+        for given, left in ((64, {READ: 64, SENT: 64}), (100_000, C.BATCHES)):
+            for k in were:
+                spark.conf.set(k, given)
+            C.small_batches(spark)
+            assert {k: int(spark.conf.get(k)) for k in were} == left
+        spark.conf.set(SENT, 0)  # no bound
+        C.small_batches(spark)
+        assert int(spark.conf.get(SENT)) == C.BATCHES[SENT]
+    finally:
+        for k, v in were.items():
+            spark.conf.set(k, v)
